@@ -9,11 +9,12 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -42,10 +43,15 @@ LOWER[0x41:0x5B] += 0x20
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
-    sc = df.sparkSession.sparkContext
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trovex-checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:
@@ -155,3 +161,47 @@ def rows_left(first: np.ndarray) -> np.ndarray:
     """For each word, how many words its row has from it on."""
     counts = np.diff(first)
     return np.repeat(first[1:], counts) - np.arange(first[-1] if len(first) else 0)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like checkpoint, but as compressed Parquet columns: for intermediate tables that are large and read in parts."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Table:
+    """An open-addressed map of distinct 64-bit keys to their indices, for lookups of whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.mask = np.uint64((1 << max(4, int(len(keys) * 2).bit_length())) - 1)
+        size = int(self.mask) + 1
+        self.at = np.full(size, -1, np.int32)
+        self.keys = np.zeros(size, np.uint64)
+        todo = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(todo):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = todo[free]  # of several for one slot the last stays
+            placed = self.at[slot] == todo
+            self.keys[slot[placed]] = keys[todo[placed]]
+            todo, slot = todo[~placed], (slot[~placed] + 1) & int(self.mask)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        x = keys * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(32))) & self.mask).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, or -1."""
+        slot = self._slot(keys)
+        out = self.at[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & int(self.mask)
+            got = self.at[slot]
+            out[todo] = got
+            on = (got >= 0) & (self.keys[slot] != keys[todo])
+            todo, slot = todo[on], slot[on]
+        return out
