@@ -1,18 +1,30 @@
-"""The queries of this subpackage, and the SQL of those that SQL can express."""
+"""The queries of this subpackage. None has SQL: each has a part (trees, hashes, byte merges, sampling) that SQL lacks."""
 
 from __future__ import annotations
 
 from .bpe_count import op4_token_counts
 from .decontaminate import op5_benchmark_decontamination
+from .media import op7_media_columns
+from .mixing import op8_source_mixing
+from .ppm import op3_lm_scoring
+from .quality import op6_quality_classifier
 from .simhash import op10_simhash_near_dedup
 from .substring_dedup import op2_substring_dedup
+from .toxicity import op9_toxicity
+from .url_filter import op1_url_filters
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_url_filters,
         op2_substring_dedup,
+        op3_lm_scoring,
         op4_token_counts,
         op5_benchmark_decontamination,
+        op6_quality_classifier,
+        op7_media_columns,
+        op8_source_mixing,
+        op9_toxicity,
         op10_simhash_near_dedup,
     )
 }
