@@ -137,6 +137,14 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[:n])
 
 
+def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of word hashes."""
+    up, down = powers("word", len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
 def sliding_min(g: np.ndarray, w: int) -> np.ndarray:
     """min(g[i:i+w]) for each i, by doubling."""
     out, have = g, 1

@@ -1,13 +1,15 @@
 """Substring dedup by prefix-partitioned suffix trees (operator 2).
 
 Suffixes are word sequences, cut off at `window` words, which is the depth that counts. Which suffixes can share a
-deep node is settled first: winnowing picks an anchor (a gram of half the window) in each window, by content alone,
-so equal windows have equal anchors; suffixes whose anchor occurs once cannot repeat and are dropped. The rest are
+deep node is settled first: winnowing picks an anchor (a gram of a third of the window) in each window, by content alone,
+so equal windows have equal anchors; suffixes whose anchor occurs once cannot repeat and are dropped. Of texts that are
+equal as a whole only the first is looked at: the others repeat it from end to end. The rest are
 split by a variable-length prefix: the suffix's words up to the end of its anchor. Prefixes that end in one anchor make
 up one group, whose size is known from the anchors' counts. Groups within `group_rows` are sorted into suffix arrays
 with common prefix lengths, whose runs of full depth are the tree's deep internal nodes. Larger groups (a passage that
-a third of all documents share) are split by longer prefixes down to the full depth, where a node's leaves are all
-alike and only the first counts, so its leaves are pre-aggregated by a minimum and never gathered.
+a third of all documents share) are split by longer prefixes, first all that an anchor's windows cover, then, where such
+a span is the first of its kind, each window down to the full depth. There a node's leaves are all alike and only the
+first counts, so its leaves are pre-aggregated by a minimum and never gathered.
 
 Every leaf of a deep node but the first, by (doc_id, start), is a repeat; its words go.
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, NOT_SPACE, gram_hashes, mix, rows_left, slices, winnow, word_hashes, words
+from .common import NO_ID, NOT_SPACE, gram_hashes, mix, rows_left, slices, span_hashes, winnow, word_hashes, words
 
 WINDOW = 20
 GROUP_ROWS = 2000  #: anchors in one suffix group
@@ -39,7 +41,7 @@ def _runs(buf: np.ndarray, off: np.ndarray, window: int):
     """Words of a slice and, for each run of windows with one anchor: document, first and last window, anchor, anchor's hash."""
     starts, ends, first = words(buf, off, NOT_SPACE)
     h = word_hashes(buf, starts, ends)
-    k = window // 2
+    k = min(window, window // 3 + 1)
     z = np.zeros(0, np.int64)
     if len(h) < window:
         return h, first, z, z, z, z, z.astype(np.uint64)
@@ -76,7 +78,7 @@ def _anchors(window: int):
 
 
 def _suffixes(window: int):
-    """For each run whose anchor repeats: its context (the words that its windows cover), or, in a large group, each window by itself."""
+    """For each run whose anchor repeats: its context (the words that its windows cover), under its anchor or, in a large group, its own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,29 +96,48 @@ def _suffixes(window: int):
                 own, large = own[fits], sizes[at[lo] : at[hi]][fits]
                 sym = (h >> np.uint64(32)).astype(">u4")
                 raw = sym.tobytes()
-                rel = w0 - first[doc]
-                few = own[large == 0]
-                ctx = [raw[4 * a : 4 * (z + window)] for a, z in zip(w0[few].tolist(), w1[few].tolist())]
-                out = [[anchor[few].view(np.int64)], [doc[few]], [rel[few]], [ctx], [np.full(len(few), False)]]
-                many = own[large == 1]
-                if len(many):
-                    count = w1[many] - w0[many] + 1
-                    each = np.repeat(w0[many], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    d = np.repeat(doc[many], count)
-                    full = gram_hashes(h, window)[each]
-                    other = gram_hashes(mix(h + np.uint64(77)), window)[each]
-                    for o, x in zip(out, (full.view(np.int64), d, each - first[d], [v.tobytes() for v in other], np.full(len(each), True))):
-                        o.append(x)
-                ctx = [x for part in out[3] for x in part]
-                key, doc_, start, whole = (np.concatenate(out[i]) for i in (0, 1, 2, 4))
+                rel = (w0 - first[doc])[own]
+                whole = large == 1
+                ctx = [raw[4 * a : 4 * (z + window)] for a, z in zip(w0[own].tolist(), w1[own].tolist())]
+                key = np.where(whole, span_hashes(h, w0[own], w1[own] + window), anchor[own])
+                other = span_hashes(mix(h + np.uint64(77)), w0[own], w1[own] + window)
+                who = doc[own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ids[lo:hi][doc_]), pa.array(prints[lo:hi][doc_]), pa.array(start.astype(np.int32)), pa.array(ctx, pa.binary()), pa.array(whole)],
-                    ["key", "k", "th", "start", "ctx", "whole"],
+                    [pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(ids[lo:hi][who]), pa.array(prints[lo:hi][who]), pa.array(rel.astype(np.int32)), pa.array(ctx, pa.binary()), pa.array(whole)],
+                    ["key", "other", "k", "th", "start", "ctx", "whole"],
                 )
 
     return run
 
 
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column and its values' lengths."""
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8), np.diff(off)
+
+
+def _windows(window: int):
+    """Each window of each context, by two hashes of its full depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            buf, length = _binary(b.column(3))
+            sym = buf.view(">u4").astype(np.uint64)
+            size = length // 4
+            count = size - window + 1
+            row = np.repeat(np.arange(len(size)), count)
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(np.cumsum(size) - size, count) + within
+            one, two = gram_hashes(mix(sym + np.uint64(1)), window)[at], gram_hashes(mix(sym + np.uint64(99)), window)[at]
+            k, th, start = (b.column(i).to_numpy() for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(k[row]), pa.array(th[row]), pa.array((start[row] + within).astype(np.int32))], ["key", "other", "k", "th", "start"])
+
+    return run
+
+
 def _repeats(key, k, start, length, buf, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Subtrees of whole groups: (context, window within it) of each leaf of a deep node that is not its first."""
     count = length // 4 - window + 1
@@ -145,10 +166,8 @@ def _subtrees(window: int):
         key, k, th, start = (t.column(i).to_numpy() for i in range(4))
         ctx = t.column(4).combine_chunks()
         ctx = ctx.chunk(0) if isinstance(ctx, pa.ChunkedArray) else ctx
-        _, off, data = ctx.buffers()
-        off = np.frombuffer(off, np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
-        buf = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
-        row, within = _repeats(key, k, start.astype(np.int64), np.diff(off), buf, window)
+        buf, length = _binary(ctx)
+        row, within = _repeats(key, k, start.astype(np.int64), length, buf, window)
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (within[1:] != within[:-1] + 1)
         a = np.flatnonzero(new)
@@ -177,47 +196,64 @@ def _subtrees(window: int):
     return run
 
 
+def _later(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """leaves: (key, other, k, start, ..) of nodes at full depth. Those that are not their node's first, and the firsts."""
+    firsts = leaves.groupBy("key", "other").agg(F.min(F.struct("k", "start")).alias("first"))
+    marked = leaves.join(firsts, ["key", "other"])
+    return marked.where(F.struct("k", "start") > F.col("first")), marked.where(F.struct("k", "start") == F.col("first"))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(k, spans array<struct<th,start,size>>): the repeated word spans of each document that has any.
+    """(k, own, spans array<struct<th,start,size>>) for each id that has the first copy of a text.
 
-    k is doc_id (NO_ID for null), th the text's xxhash64; start counts words from 0.
+    k is doc_id (NO_ID for null); own are the md5 of its texts that are first copies: every other text under it repeats one
+    from end to end; spans are the repeated word spans of own texts (th: the text's xxhash64; start counts words from 0).
     """
     keyed = docs.selectExpr(_KEY, _TEXT)
-    anchors = keyed.mapInArrow(_anchors(window), "anchor long, k long, run int")
+    copies = keyed.select("k", F.md5("text").alias("md5")).where("md5 is not null").groupBy("md5").agg(F.min("k").alias("k"))
+    own = copies.groupBy("k").agg(F.collect_set("md5").alias("own"))
+    firsts = keyed.join(own, "k").where(F.array_contains("own", F.md5("text"))).select("k", "text")
+    anchors = firsts.mapInArrow(_anchors(window), "anchor long, k long, run int")
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    runs = (
-        anchors.join(counts, "anchor")
-        .groupBy("k")
-        .agg(F.collect_set(F.struct("run", F.when(F.col("n") > group_rows, 1).otherwise(0).alias("large"))).alias("runs"))
-    )
-    runs = runs.withColumn("runs", F.array_sort("runs"))
-    chosen = keyed.join(runs, "k", "left").where("runs is not null").select("k", "text", F.xxhash64("text").alias("th"), "runs")
-    suffixes = chosen.mapInArrow(_suffixes(window), "key long, k long, th long, start int, ctx binary, whole boolean")
+    large = F.when(F.col("n") > group_rows, 1).otherwise(0).alias("large")
+    runs = anchors.join(counts, "anchor").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("run", large))).alias("runs"))
+    chosen = keyed.join(runs, "k").select("k", "text", F.xxhash64("text").alias("th"), "runs")
+    suffixes = chosen.mapInArrow(_suffixes(window), "key long, other long, k long, th long, start int, ctx binary, whole boolean")
     grouped = suffixes.where("not whole").select("key", "k", "th", "start", "ctx")
     spans = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), "k long, th long, start int, size int")
-    deep = suffixes.where("whole").select("key", "ctx", "k", "th", "start")
-    firsts = deep.groupBy("key", "ctx").agg(F.min(F.struct("k", "start")).alias("first"))
-    later = deep.join(firsts, ["key", "ctx"]).where(F.struct("k", "start") > F.col("first")).select("k", "th", "start", F.lit(window).alias("size"))
-    return spans.unionByName(later).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("th", "start", "size"))).alias("spans"))
-
-
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        kept, totals, gone = [], [], []
-        for t, th, spans in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
-            w = (t.as_buffer() or b"").to_pybytes().split() if t.is_valid else []
-            totals.append(len(w))
-            if spans.is_valid:
-                parts, end = [], 0
-                for s in spans.as_py():
-                    if s["th"] == th:
-                        parts += w[end : s["start"]] if s["start"] > end else ()
-                        end = max(end, s["start"] + s["size"])
-                w = parts + w[end:]
-            gone.append(totals[-1] - len(w))
-            kept.append(b" ".join(w).decode())
-        new = [pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*b.columns[3:], *new], [*b.schema.names[3:], "kept_text", "n_words", "n_removed"])
+    later, first = _later(suffixes.where("whole").select("key", "other", "k", "th", "start", "ctx"))
+    spans = spans.unionByName(later.select("k", "th", "start", F.expr("cast(octet_length(ctx) / 4 as int)").alias("size")))
+    each = first.select("k", "th", "start", "ctx").mapInArrow(_windows(window), "key long, other long, k long, th long, start int")
+    spans = spans.unionByName(_later(each)[0].select("k", "th", "start", F.lit(window).alias("size")))
+    return own.join(spans.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("th", "start", "size"))).alias("spans")), "k", "left")
+
+
+def _strip(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _stripped(b, window)
+
+    return run
+
+
+def _stripped(b: pa.RecordBatch, window: int) -> pa.RecordBatch:
+    kept, totals, gone = [], [], []
+    for t, th, spans, copy in zip(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+        w = (t.as_buffer() or b"").to_pybytes().split() if t.is_valid else []
+        totals.append(len(w))
+        if copy and len(w) >= window:
+            w = []
+        elif spans.is_valid:
+            parts, end = [], 0
+            for s in spans.as_py():
+                if s["th"] == th:
+                    parts += w[end : s["start"]] if s["start"] > end else ()
+                    end = max(end, s["start"] + s["size"])
+            w = parts + w[end:]
+        gone.append(totals[-1] - len(w))
+        kept.append(b" ".join(w).decode())
+    new = [pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())]
+    return pa.RecordBatch.from_arrays([*b.columns[4:], *new], [*b.schema.names[4:], "kept_text", "n_words", "n_removed"])
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS, columns: list[str] | None = None) -> DataFrame:
@@ -226,9 +262,10 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP
     more = [c for c in columns if c != "doc_id"]  # doc_id comes back from k, so that both reads of the texts can share one exchange
     rows = docs.select(F.expr(_KEY), F.expr(_TEXT), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(more)])
     joined = rows.join(repeated_spans(docs, window, group_rows), "k", "left")
-    joined = joined.select("text", F.xxhash64("text").alias("th"), "spans", F.expr(f"nullif(k, {NO_ID})").alias("_id"), *[f"_c{i}" for i in range(len(more))])
+    copy = ~F.coalesce(F.array_contains("own", F.md5("text")), F.lit(False))
+    joined = joined.select("text", F.xxhash64("text").alias("th"), "spans", copy.alias("copy"), F.expr(f"nullif(k, {NO_ID})").alias("_id"), *[f"_c{i}" for i in range(len(more))])
     kinds = ["_id long", *[f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(more)]]
-    out = joined.mapInArrow(_strip, ", ".join([*kinds, "kept_text string", "n_words long", "n_removed long"]))
+    out = joined.mapInArrow(_strip(window), ", ".join([*kinds, "kept_text string", "n_words long", "n_removed long"]))
     names = {"doc_id": "_id"} | {c: f"_c{i}" for i, c in enumerate(more)}
     return out.select(*[F.col(names[c]).alias(c) for c in columns], "kept_text", "n_words", "n_removed")
 
