@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1  #: stands for a null doc_id where ids are ordered: after all others
 
 _rng = np.random.default_rng(20240607)
@@ -183,7 +183,7 @@ class Table:
     """An open-addressed map of distinct 64-bit keys to their indices, for lookups of whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.mask = np.uint64((1 << max(4, int(len(keys) * 2).bit_length())) - 1)
+        self.mask = np.uint64((1 << max(4, int(len(keys) * 1.4).bit_length())) - 1)
         size = int(self.mask) + 1
         self.at = np.full(size, -1, np.int32)
         self.keys = np.zeros(size, np.uint64)

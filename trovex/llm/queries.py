@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from ..model import ship
 from .bpe_count import op4_token_counts
 from .decontaminate import op5_benchmark_decontamination
 from .media import op7_media_columns
@@ -14,7 +17,7 @@ from .toxicity import op9_toxicity
 from .url_filter import op1_url_filters
 
 QUERIES = {
-    f.__name__: f
+    f.__name__: wraps(f)(lambda spark, sf_dir, f=f: f(ship(spark), sf_dir))
     for f in (
         op1_url_filters,
         op2_substring_dedup,
