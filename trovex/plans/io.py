@@ -77,7 +77,7 @@ def src7_read_vectors(spark, sf):
     return v.select("row_idx", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query(fx.sql("allrun", " SELECT substring(qid, 2)::INT // 25 AS query_idx, rank::INT AS rank, substring(docid, 2)::INT AS doc_idx, round(score::FLOAT, 4) AS distance FROM allrun WHERE rank <= 10"))
+@query(fx.sql("allrun", " SELECT substring(qid, 2)::INT // 25 AS query_idx, rank::INT AS rank, substring(docid, 2)::INT AS doc_idx, round(score::FLOAT::DOUBLE, 4) AS distance FROM allrun WHERE rank <= 10"))
 def src8_read_truth_bin(spark, sf):
     path = scratch(spark, "truth")
     r = fx.run(spark, sf).where("rank <= 10").select(F.expr("cast(substring(qid, 2) as int) div 25").cast("int").alias("query_idx"), "rank", F.expr("cast(substring(docid, 2) as int)").alias("doc_idx"), F.col("score").alias("distance"))

@@ -83,7 +83,7 @@ def prj10_crop_pairs(spark, sf):
     return P.crop_pairs(fx.corpus(spark, sf))
 
 
-IDS = "SELECT l_orderkey AS id, list(l_partkey::INT ORDER BY l_linenumber) AS ids FROM lineitem GROUP BY l_orderkey"
+IDS = "SELECT l_orderkey AS id, list(l_partkey::INT ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY l_orderkey"
 
 
 def _ids(spark, sf):

@@ -6,10 +6,12 @@ distances unless it is of the e2e form. Parts of a folder are numbered in their
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def read_vectors(spark: SparkSession, path: str, start: int = 0, count: int | No
                     part = x[lo : lo + CHUNK]
                     idx = base + lo + np.arange(len(part))
                     ok = (idx >= start) & (idx < (start + count if count is not None else np.iinfo(np.int64).max))
-                    yield pd.DataFrame({"row_idx": idx[ok], "embedding": list(part[ok])})
+                    yield pd.DataFrame({"row_idx": idx[ok], "embedding": pd.Series(list(part[ok]), dtype=object)})
 
     files = _files(spark, path).withColumn("part", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
     # the header alone tells how many rows a part has; one row for each file
@@ -62,14 +64,12 @@ def write_vectors(df: DataFrame, path: str, per_part: int = 100_000) -> DataFram
 
 def _write(packed: DataFrame, path: str) -> DataFrame:
     """Each partition's task puts its files; a retry overwrites them, so a lost executor leaves nothing half done."""
-    import pyarrow.fs as fs
-
-    plain = path.removeprefix("file://")
+    path = re.sub(r"^file:/*", "/", path)
 
     def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples():
-                system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), plain)
+                system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
                 system.create_dir(base, recursive=True)
                 with system.open_output_stream(f"{base}/part-{r.part:05d}.bin") as f:
                     f.write(r.content)
