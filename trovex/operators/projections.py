@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 DOCID = r"^clueweb22-([a-z]+)(\d{2})(\d{2})-(\d{2})-(\d{5})$"
 
@@ -115,7 +116,7 @@ def pad_tokens(df: DataFrame, multiple: int = 16, pad: int = 0) -> DataFrame:
     return rows.select("id", F.concat("input_ids", fill(pad)).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), n), fill(0)).alias("mask"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfd(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical decomposition, which Spark has no function for."""
     for s in parts:

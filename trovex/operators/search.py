@@ -10,8 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +59,7 @@ def _blocked(q: DataFrame, p: DataFrame, k: int | None, exclude_self: bool = Fal
         part = q if passes == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
         rows = part.select("qid", "embedding").orderBy("qid").toArrow()
         ids = np.array(rows.column(0).to_pylist(), object)
-        matrix = np.array(rows.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
+        matrix = np.array(rows.column(1).to_pylist(), np.float64).reshape(len(ids), width)
         sent = spark.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -162,25 +161,22 @@ def knn_ivf(q: DataFrame, p: DataFrame, k: int, nlist: int = 16, nprobe: int = 4
     return ranked(pairs.select("qid", "docid", F.round(dot("qe", "embedding"), 6).alias("score")), k=k)
 
 
-def knn_approx(q: DataFrame, p: DataFrame, k: int, complexity: int | None = None, tables: int = 8, width: float = 0.6, seed: int = 7, exclude_self: bool = False) -> DataFrame:
-    """Approximate search with a candidate budget (default 5k, at least k): random projection buckets, near ones probed first, exact rerank.
+def quantized(p: DataFrame) -> DataFrame:
+    """The index of `knn_approx`: every vector as signed bytes, scaled by its own largest entry, a quarter of the size."""
+    top = F.greatest(F.array_max(F.transform("embedding", F.abs)).cast("double"), F.lit(1e-30))
+    rows = p.select("docid", "embedding", (top / 127).alias("scale"))
+    return rows.select("docid", F.transform("embedding", lambda v: F.round(v.cast("double") / F.col("scale")).cast("tinyint")).alias("codes"), "scale")
 
-    A larger budget keeps more candidates, so recall rises with it.
-    """
-    budget = max(k, 5 * k if complexity is None else complexity)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed)
-    model = lsh.fit(p.select(array_to_vector("embedding").alias("features")).limit(1))
 
-    def keys(df: DataFrame, ident: str, spread: int) -> DataFrame:
-        h = model.transform(df.select(ident, array_to_vector("embedding").alias("features"))).select(ident, F.posexplode("hashes").alias("t", "h"))
-        h = h.select(ident, "t", vector_to_array("h")[0].cast("int").alias("b"))
-        return h.select(ident, "t", F.explode(F.array(*[F.col("b") + i for i in range(-spread, spread + 1)])).alias("b"))
+def knn_approx(q: DataFrame, p: DataFrame, k: int, complexity: int | None = None, exclude_self: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """Approximate search with a candidate budget (default 5k, at least k): the best `complexity` by quantized vectors, exactly reranked.
 
-    hits = keys(q, "qid", 1).join(keys(p, "docid", 0), ["t", "b"])
-    if exclude_self:
-        hits = hits.where("substring(qid, 2) <> substring(docid, 2)")
-    votes = hits.groupBy("qid", "docid").agg(F.count("*").cast("double").alias("score"))
-    cands = ranked(votes, k=budget).select("qid", "docid")
+    A larger budget keeps more candidates, so recall rises with it. The index may be built once, written and passed in.
+    """
+    budget = max(k, 5 * k if complexity is None else complexity)
+    index = quantized(p) if index is None else index
+    coarse = index.select("docid", F.transform("codes", lambda c: c.cast("double") * F.col("scale")).alias("embedding"))
+    cands = ranked(_blocked(q, coarse, budget, exclude_self), k=budget).select("qid", "docid")
     return _rerank(cands, q, p, k)
 
 
