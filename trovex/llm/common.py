@@ -213,3 +213,8 @@ class Table:
             on = (got >= 0) & (self.keys[slot] != keys[todo])
             todo, slot = todo[on], slot[on]
         return out
+
+
+def raw(value: pa.Scalar) -> bytes:
+    """A string's UTF-8 bytes; none for a null."""
+    return value.as_buffer().to_pybytes() if value.is_valid else b""

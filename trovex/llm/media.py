@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import raw
+
 ROW = 64
 SEGMENTS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 _SEGMENT = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
@@ -164,7 +166,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            payloads = [pad((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"") for t in b.column(0)]
+            payloads = [pad(raw(t)) for t in b.column(0)]
             for lo in range(0, max(len(payloads), 1), 256):
                 part = payloads[lo : lo + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in part], pa.string()), pa.array([encode(p) for p in part], pa.binary())], ["digest", "media"])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, raw
 
 SMALL = 64  #: members of a bucket that are compared pair by pair
 
@@ -35,8 +35,8 @@ def fingerprint(text: bytes, size: int = 3) -> bytes:
     votes, n = np.zeros(64, np.int64), len(w) - size + 1
     for lo in range(0, n, 1 << 16):
         hi = min(n, lo + (1 << 16))
-        raw = b"".join([digest(join(t), 42) for t in zip(*(w[lo + i : hi + i] for i in range(size)))])
-        votes += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+        joined = b"".join([digest(join(t), 42) for t in zip(*(w[lo + i : hi + i] for i in range(size)))])
+        votes += np.unpackbits(np.frombuffer(joined, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
     return np.packbits(votes * 2 > n).tobytes()
 
 
@@ -45,8 +45,8 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b"".join(fingerprint((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"", size) for t in b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            prints = b"".join(fingerprint(raw(t), size) for t in b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(prints, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .common import fold
+from .common import fold, raw
 from .quality import sample_labels
 
 MAX_ROWS = 20_000
@@ -96,7 +96,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for t in b.column(2):
-            w = windows((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"")
+            w = windows(raw(t))
             runs = np.array([zlib.crc32(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], np.uint64)
             sig = [int(((runs * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (2654435761, 2246822519)]
             rows.append((*sig, sorted(set(w))))
@@ -124,7 +124,7 @@ def _measured(pair):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = distance(*pair.value)
         for b in batches:
-            x = [d.features((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"") for t in b.column(1)]
+            x = [d.features(raw(t)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
     return run
@@ -149,7 +149,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2, m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = distance(*pair.value)
         for b in batches:
-            x = np.array([d.features((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"") for t in b.column(2)], float).reshape(-1, WIDTH)
+            x = np.array([d.features(raw(t)) for t in b.column(2)], float).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(forest.value.predict(x))], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", mod) == held_out).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -25,6 +25,7 @@ from . import gbdt
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.5
+WIDTH = 22  #: features of a URL
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -80,7 +81,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[gbdt.Forest, d
         for s in _suffixes(r.host):
             b, n = rates.get(s, (0, 0))
             rates[s] = b + int(r.label), n + 1
-    x = np.array([features(r.url, r.host, r.path, rates) for r in sample], float).reshape(len(sample), -1)
+    x = np.array([features(r.url, r.host, r.path, rates) for r in sample], float).reshape(len(sample), WIDTH)
     return gbdt.fit(x, np.array([float(r.label) for r in sample]), trees=40), rates
 
 
