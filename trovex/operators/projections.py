@@ -16,7 +16,8 @@ DOCID = r"^clueweb22-([a-z]+)(\d{2})(\d{2})-(\d{2})-(\d{5})$"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"^[\p{Z}\s\x0b]+|[\p{Z}\s\x0b]+$", "")
 
 
 def prepare_queries(queries: DataFrame, prefix: str) -> DataFrame:
@@ -47,7 +48,7 @@ def clean_web_text(docs: DataFrame) -> DataFrame:
     """title is the first line; line breaks, tabs and quotes go without a space in their place."""
     gone = F.translate(F.col("text"), "\n\t\r'\"", "")
     title = F.translate(F.split_part("text", F.lit("\n"), F.lit(1)), "\t\r'\"", "")
-    return docs.select("docid", F.trim(title).alias("title"), F.trim(gone).alias("text"))
+    return docs.select("docid", _strip(title).alias("title"), _strip(gone).alias("text"))
 
 
 def parse_docid(df: DataFrame) -> DataFrame:

@@ -48,11 +48,27 @@ def knn_exact(q: DataFrame, p: DataFrame, k: int, exclude_self: bool = False) ->
     return ranked(pairs.select("qid", "docid", F.round(dot("qe", "pe"), 6).alias("score")), k=k)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equally long lists of numbers as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _best(q: np.ndarray, g: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query and group."""
+    order = np.lexsort((doc, -score, g, q))
+    q, g, doc, score = q[order], g[order], doc[order], score[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (g[1:] != g[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+    keep = np.arange(len(q)) - first < k
+    return q[keep], g[keep], doc[keep], score[keep]
+
+
 def _blocked(q: DataFrame, p: DataFrame, k: int | None, exclude_self: bool = False, group: str | None = None) -> DataFrame:
     spark = p.sparkSession
-    first = q.agg(F.max(F.size("embedding")), F.count("*")).first()
-    width, n = first[0] or 1, first[1]
-    passes = max(1, -(-n * width * 4 // MATRIX_BYTES))
+    width, n = q.agg(F.max(F.size("embedding")), F.count("*")).first()
+    width = width or 1
+    passes = max(1, -(-n * width * 8 // MATRIX_BYTES))
     kind = dict(p.dtypes)
     out = None
     for i in range(passes):
@@ -65,51 +81,45 @@ def _blocked(q: DataFrame, p: DataFrame, k: int | None, exclude_self: bool = Fal
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             """Block products. With k, only a partition's best k of each query (and group) leave it."""
             ids, matrix = sent.value
-            best: dict = {}
+            held: list[tuple[np.ndarray, ...]] = []
             for b in batches:
                 if not b.num_rows or not len(ids):
                     continue
-                docs = np.array(b.column(0).to_pylist(), object)
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                groups = np.array(b.column(2).to_pylist(), object) if group else np.zeros(len(docs), np.int64)
+                docs, x = np.array(b.column(0).to_pylist(), str), _matrix(b.column(1))
+                own = {d[1:]: c for c, d in enumerate(docs.tolist())} if exclude_self else {}
+                groups = b.column(2).to_numpy(zero_copy_only=False) if group else np.zeros(len(docs), np.int64)
                 for lo in range(0, len(ids), 256):
                     s = np.round(matrix[lo : lo + 256] @ x.T, 6)
-                    for r in range(len(s)):
-                        qid = ids[lo + r]
-                        ok = np.array([d[1:] != qid[1:] for d in docs]) if exclude_self else np.ones(len(docs), bool)
+                    for r, qid in enumerate(ids[lo : lo + 256] if exclude_self else ()):
+                        if (c := own.get(qid[1:])) is not None:
+                            s[r, c] = -np.inf
+                    for g in np.unique(groups):
+                        at = np.flatnonzero(groups == g)
+                        sub = s[:, at]
+                        ok = np.isfinite(sub)
+                        if k is not None and len(at) > k:
+                            ok &= sub >= np.partition(sub, len(at) - k, axis=1)[:, len(at) - k, None]
+                        r, c = np.nonzero(ok)
+                        found = lo + r, groups[at[c]], docs[at[c]], sub[r, c]
                         if k is None:
-                            take = np.flatnonzero(ok)
-                            yield _batch(np.full(len(take), qid, object), docs[take], s[r][take], None if not group else groups[take], kind, group)
-                            continue
-                        for g in np.unique(groups[ok]) if group else [0]:
-                            own = np.flatnonzero(ok & (groups == g)) if group else np.flatnonzero(ok)
-                            held = best.get((qid, g))
-                            score, doc = s[r][own], docs[own]
-                            if len(own) > k:
-                                edge = np.partition(score, len(own) - k)[len(own) - k]
-                                keep = score >= edge
-                                score, doc = score[keep], doc[keep]
-                            if held is not None:
-                                score, doc = np.concatenate((held[0], score)), np.concatenate((held[1], doc))
-                            order = np.lexsort((doc, -score))[:k]
-                            best[qid, g] = score[order], doc[order]
-            if k is not None and best:
-                yield _batch(
-                    np.concatenate([np.full(len(v[0]), q_, object) for (q_, _), v in best.items()]), np.concatenate([v[1] for v in best.values()]), np.concatenate([v[0] for v in best.values()]),
-                    np.concatenate([np.full(len(v[0]), g, object) for (_, g), v in best.items()]) if group else None, kind, group,
-                )
+                            yield _batch(ids, *found, kind, group)
+                        else:
+                            held.append(found)
+                if k is not None:
+                    held = [_best(*(np.concatenate(v) for v in zip(*held)), k)]
+            if held:
+                yield _batch(ids, *held[0], kind, group)
 
         columns = p.select("docid", "embedding", *([group] if group else []))
-        part = columns.mapInArrow(run, "qid string, docid string, score double" + (f", {group} {kind[group]}" if group else ""))
-        out = part if out is None else out.unionByName(part)
+        found = columns.mapInArrow(run, "qid string, docid string, score double" + (f", {group} {kind[group]}" if group else ""))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def _batch(q, d, s, g, kind, group) -> pa.RecordBatch:
-    columns = [pa.array(list(q), pa.string()), pa.array(list(d), pa.string()), pa.array(s.astype(np.float64))]
-    names = ["qid", "docid", "score"]
+def _batch(ids, q, g, doc, score, kind, group) -> pa.RecordBatch:
+    columns, names = [pa.array(ids[q], pa.string()), pa.array(doc.tolist(), pa.string()), pa.array(score)], ["qid", "docid", "score"]
     if group:
-        columns.append(pa.array([x for x in g], {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind[group]]))
+        columns.append(pa.array(g.tolist(), {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind[group]]))
         names.append(group)
     return pa.RecordBatch.from_arrays(columns, names)
 
@@ -145,7 +155,7 @@ def _rerank(cands: DataFrame, q: DataFrame, p: DataFrame, k: int) -> DataFrame:
     return ranked(full.select("qid", "docid", F.round(dot("qe", "pe"), 6).alias("score")), k=k)
 
 
-def knn_ivf(q: DataFrame, p: DataFrame, k: int, nlist: int = 16, nprobe: int = 4, seed: int = 7, sample: int = 50_000, exclude_self: bool = False) -> DataFrame:
+def knn_ivf(q: DataFrame, p: DataFrame, k: int, nlist: int = 16, nprobe: int = 12, seed: int = 7, sample: int = 50_000, exclude_self: bool = False) -> DataFrame:
     """Coarse cells by k-means, fitted on at most `sample` vectors of least id hash; every vector is indexed; nprobe cells are searched exactly."""
     fit = p.orderBy(F.xxhash64("docid"), "docid").limit(sample).select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=20).fit(fit)

@@ -11,7 +11,7 @@ from . import fixtures as fx
 from .evaluation import JOINED, TOKENS
 from .registry import query
 
-STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+STRIP = r"regexp_replace({}, '^[\p{{Z}}\s\x0b]+|[\p{{Z}}\s\x0b]+$', '', 'g')"
 
 
 @query("SELECT doc_id AS query_id, " + STRIP.format("'query: ' || " + STRIP.format("substring(text, 1, 60)")) + " AS text FROM documents")
@@ -37,7 +37,10 @@ def prj4_prepare_dual(spark, sf):
     return P.prepare_dual(c, " | ")
 
 
-@query(fx.sql("corpus", r" SELECT docid, trim(translate(title, chr(9) || chr(13) || '''""', '')) AS title, trim(translate(text, chr(10) || chr(9) || chr(13) || '''""', '')) AS text FROM corpus".replace('""', '"')))
+QUOTES = "chr(9) || chr(13) || chr(34) || chr(39)"
+
+
+@query(fx.sql("corpus", " SELECT docid, " + STRIP.format(f"translate(title, {QUOTES}, '')") + " AS title, " + STRIP.format(f"translate(text, chr(10) || {QUOTES}, '')") + " AS text FROM corpus"))
 def prj5_clean_web_text(spark, sf):
     return P.clean_web_text(fx.corpus(spark, sf))
 

@@ -53,7 +53,7 @@ def _parts(df: DataFrame, per_part: int) -> DataFrame:
 def write_vectors(df: DataFrame, path: str, per_part: int = 100_000) -> DataFrame:
     """df: (row_idx, embedding). Writes part-NNNNN.bin files through Spark's own file system; returns (part, n)."""
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx")
         x = np.array(pdf["embedding"].tolist(), "<f4")
         return pd.DataFrame({"part": [key[0]], "n": [len(x)], "content": [np.array(x.shape, "<i4").tobytes() + x.tobytes()]})
@@ -98,7 +98,7 @@ def read_truth_bin(spark: SparkSession, path: str, e2e: bool = False) -> DataFra
 def write_truth_bin(df: DataFrame, path: str, e2e: bool = False) -> DataFrame:
     """df: (query_idx, rank, doc_idx[, distance]), k rows for each query: one file, for a stated query set."""
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["query_idx", "rank"])
         n = pdf["query_idx"].nunique()
         k = len(pdf) // max(n, 1)
