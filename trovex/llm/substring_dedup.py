@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, NOT_SPACE, gram_hashes, mix, rows_left, slices, span_hashes, winnow, word_hashes, words
+from .common import NO_ID, NOT_SPACE, gram_hashes, mix, raw, rows_left, slices, span_hashes, winnow, word_hashes, words
 
 WINDOW = 20
 GROUP_ROWS = 2000  #: anchors in one suffix group
+_ROW = np.uint64(0xD1342543DE82EF95)
 CHUNK = 20_000  #: contexts that a subtree task sorts at once, groups kept whole
 
 _KEY = f"coalesce(cast(doc_id as bigint), {NO_ID}) as k"
@@ -58,21 +59,21 @@ def _runs(buf: np.ndarray, off: np.ndarray, window: int):
     return h, first, doc[lo], ok[lo], ok[hi - 1] if len(lo) else z, at[lo], g[at[lo]]
 
 
-def _ordinals(doc: np.ndarray) -> np.ndarray:
-    """0, 1, .. within each run of equal values of a sorted array."""
-    new = np.ones(len(doc), bool)
-    new[1:] = doc[1:] != doc[:-1]
-    at = np.flatnonzero(new)
-    return np.arange(len(doc)) - np.repeat(at, np.diff(np.append(at, len(doc))))
-
-
 def _anchors(window: int):
+    """Each document's distinct anchors, with how often it has them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, buf, off in slices(b.column(1)):
                 _, _, doc, _, _, _, anchor = _runs(buf, off, window)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(_ordinals(doc).astype(np.int32))], ["anchor", "k", "run"])
+                order = np.lexsort((anchor, doc))
+                d, a = doc[order], anchor[order]
+                new = np.ones(len(d), bool)
+                new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1])
+                at = np.flatnonzero(new)
+                times = np.diff(np.append(at, len(d))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(ids[lo:hi][d[at]]), pa.array(times)], ["anchor", "k", "times"])
 
     return run
 
@@ -90,15 +91,17 @@ def _suffixes(window: int):
             for lo, hi, buf, off in slices(b.column(1)):
                 h, first, doc, w0, w1, _, anchor = _runs(buf, off, window)
                 rows = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
-                base = np.searchsorted(doc, np.arange(hi - lo))
-                own = base[rows] + seen[at[lo] : at[hi]]
-                fits = own < np.append(base[1:], len(doc))[rows]  # another text under this id may have more runs
-                own, large = own[fits], sizes[at[lo] : at[hi]][fits]
+                known = mix(seen[at[lo] : at[hi]].view(np.uint64) + rows.astype(np.uint64) * _ROW)
+                order = np.argsort(known)
+                mine = mix(anchor + doc.astype(np.uint64) * _ROW)
+                place = np.minimum(np.searchsorted(known[order], mine), max(len(known) - 1, 0))
+                own = np.flatnonzero(known[order][place] == mine) if len(known) else np.zeros(0, np.int64)
+                large = sizes[at[lo] : at[hi]][order[place[own]]] if len(own) else np.zeros(0, np.int32)
                 sym = (h >> np.uint64(32)).astype(">u4")
-                raw = sym.tobytes()
+                symbols = sym.tobytes()
                 rel = (w0 - first[doc])[own]
                 whole = large == 1
-                ctx = [raw[4 * a : 4 * (z + window)] for a, z in zip(w0[own].tolist(), w1[own].tolist())]
+                ctx = [symbols[4 * a : 4 * (z + window)] for a, z in zip(w0[own].tolist(), w1[own].tolist())]
                 key = np.where(whole, span_hashes(h, w0[own], w1[own] + window), anchor[own])
                 other = span_hashes(mix(h + np.uint64(77)), w0[own], w1[own] + window)
                 who = doc[own]
@@ -171,7 +174,7 @@ def _subtrees(window: int):
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (within[1:] != within[:-1] + 1)
         a = np.flatnonzero(new)
-        z = np.append(a[1:], len(row)) - 1
+        z = np.append(a[1:], len(row))[: len(a)] - 1
         lo = start[row[a]] + within[a]
         size = within[z] - within[a] + window
         return pa.RecordBatch.from_arrays([pa.array(k[row[a]]), pa.array(th[row[a]]), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32))], ["k", "th", "start", "size"])
@@ -213,10 +216,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROU
     copies = keyed.select("k", F.md5("text").alias("md5")).where("md5 is not null").groupBy("md5").agg(F.min("k").alias("k"))
     own = copies.groupBy("k").agg(F.collect_set("md5").alias("own"))
     firsts = keyed.join(own, "k").where(F.array_contains("own", F.md5("text"))).select("k", "text")
-    anchors = firsts.mapInArrow(_anchors(window), "anchor long, k long, run int")
-    counts = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # one exchange by anchor serves both the counts and the join with them
+    anchors = firsts.mapInArrow(_anchors(window), "anchor long, k long, times int").repartition("anchor")
+    counts = anchors.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
     large = F.when(F.col("n") > group_rows, 1).otherwise(0).alias("large")
-    runs = anchors.join(counts, "anchor").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("run", large))).alias("runs"))
+    runs = anchors.join(counts, "anchor").groupBy("k").agg(F.collect_set(F.struct("anchor", large)).alias("runs"))
     chosen = keyed.join(runs, "k").select("k", "text", F.xxhash64("text").alias("th"), "runs")
     suffixes = chosen.mapInArrow(_suffixes(window), "key long, other long, k long, th long, start int, ctx binary, whole boolean")
     grouped = suffixes.where("not whole").select("key", "k", "th", "start", "ctx")
@@ -239,7 +243,7 @@ def _strip(window: int):
 def _stripped(b: pa.RecordBatch, window: int) -> pa.RecordBatch:
     kept, totals, gone = [], [], []
     for t, th, spans, copy in zip(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-        w = (t.as_buffer() or b"").to_pybytes().split() if t.is_valid else []
+        w = raw(t).split()
         totals.append(len(w))
         if copy and len(w) >= window:
             w = []
