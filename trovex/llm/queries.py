@@ -1,4 +1,4 @@
-"""The queries of this subpackage. None has SQL: each has a part (trees, hashes, byte merges, sampling) that SQL lacks."""
+"""The queries of this subpackage. SQL expresses two of them; the others have a part (trees, hashes, byte merges, raking) that it lacks."""
 
 from __future__ import annotations
 
@@ -31,4 +31,27 @@ QUERIES = {
         op10_simhash_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i:i + 19] AS win FROM d, unnest(range(1, len(w) - 18)) t(i)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM windows),
+gone AS (SELECT DISTINCT doc_id, p FROM ranked, unnest(range(i, i + 20)) t(p) WHERE r > 1),
+each AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5 = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {WORDS} AS w FROM benchmark)),
+items AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS win FROM b, unnest(range(1, len(w) - n + 2)) t(i) WHERE n > 0),
+wins AS (SELECT doc_id, i, n, w[i:i + n - 1] AS win FROM d, (SELECT DISTINCT n FROM items) s, unnest(range(1, len(w) - n + 2)) t(i)),
+hits AS (SELECT doc_id, i, n, item_id FROM wins JOIN items USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) t(p) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op5_benchmark_decontamination": OP5}
