@@ -46,15 +46,21 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, query): the first 80 characters of the document of each query's id."""
+    """(qid, query): the first line of the document of each query's id."""
     d = table(spark, sf, "documents").where("doc_id % 25 = 0")
-    return d.select(F.expr("concat('q', doc_id)").alias("qid"), F.substring("text", 1, 80).alias("query"))
+    return d.select(F.expr("concat('q', doc_id)").alias("qid"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("query"))
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, answers): the first 30 characters of one benchmark text in ten as an answer."""
-    b = table(spark, sf, "benchmark").where("item_id % 10 = 0")
-    return b.select(F.expr("concat('q', item_id)").alias("qid"), F.array(F.substring("text", 1, 30)).alias("answers"))
+    """(qid, answers): a benchmark text, or a phrase of its language, answers each query."""
+    b = table(spark, sf, "benchmark")
+    return b.select(F.expr("concat('q', item_id * 25)").alias("qid"), F.array("text", F.lit("is the"), F.lit("ist der")).alias("answers"))
+
+
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, docid, rank, text, answers): the run's documents and its queries' answers."""
+    texts = corpus(spark, sf).select("docid", "text")
+    return run(spark, sf).select("qid", "docid", "rank").join(texts, "docid").join(answers(spark, sf), "qid")
 
 
 def web_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,6 +93,9 @@ def keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("user_id % 5 <> 0").select(F.expr("concat('k', user_id)").alias("api_key")).distinct()
 
 
+TOKENS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{Z}}\p{{C}}\p{{L}}\p{{N}}\p{{M}}]'), x -> lower(x))"
+JOINED = "chr(1) || array_to_string(" + TOKENS + ", chr(1)) || chr(1)"
+
 #: The same tables in DuckDB's SQL, each by name; `sql` puts those that a query names before it.
 SQL = {
     "vp": "SELECT 'd' || vec_id AS docid, embedding::DOUBLE[] AS embedding, label, vec_id, (vec_id % 4)::INT AS shard FROM embeddings",
@@ -97,8 +106,9 @@ SQL = {
     "run": f"SELECT qid, docid, score, rank FROM allrun WHERE rank <= {DEPTH}",
     "perturbed": "SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM run WHERE substring(docid, 2)::BIGINT % 7 <> 0",
     "corpus": "SELECT 'd' || doc_id AS docid, split_part(text, chr(10), 1) AS title, text, lang, doc_id FROM documents",
-    "query_texts": "SELECT 'q' || doc_id AS qid, substring(text, 1, 80) AS query FROM documents WHERE doc_id % 25 = 0",
-    "answers": "SELECT 'q' || item_id AS qid, substring(text, 1, 30) AS answer FROM benchmark WHERE item_id % 10 = 0",
+    "query_texts": "SELECT 'q' || doc_id AS qid, split_part(text, chr(10), 1) AS query FROM documents WHERE doc_id % 25 = 0",
+    "answers": "SELECT 'q' || (item_id * 25) AS qid, unnest([text, 'is the', 'ist der']) AS answer FROM benchmark",
+    "cands": f"SELECT qid, docid, rank, bool_or(contains({JOINED.format('c.text')}, {JOINED.format('a.answer')})) AS hit FROM run JOIN corpus c USING (docid) JOIN answers a USING (qid) GROUP BY qid, docid, rank",
     "web_ids": "SELECT format('clueweb22-{}{:02d}{:02d}-{:02d}-{:05d}', lang, doc_id % 3, doc_id % 7, doc_id % 11, doc_id % 100000) AS docid, doc_id, lang, text FROM documents",
     "outlinks": """SELECT 'd' || page_id AS docid, regexp_extract_all(html, 'href="([^"]*)"', 1) AS outlinks FROM pages""",
     "words": "SELECT 'd' || doc_id AS docid, unnest(string_split(lower(text), ' ')) AS token FROM documents",
@@ -107,7 +117,7 @@ SQL = {
     "keys": "SELECT DISTINCT 'k' || user_id AS api_key FROM events WHERE user_id % 5 <> 0",
     "judged": "SELECT r.qid, r.docid, r.rank, (j.docid IS NOT NULL)::INT AS rel, coalesce(n.n, 0) AS n_rel, count(*) OVER (PARTITION BY r.qid) AS n_run FROM run r LEFT JOIN (SELECT DISTINCT qid, docid FROM qrels) j ON r.qid = j.qid AND r.docid = j.docid LEFT JOIN (SELECT qid, count(DISTINCT docid) AS n FROM qrels GROUP BY qid) n ON r.qid = n.qid",
 }
-_NEEDS = {"qrels": ["vq", "vp"], "pairs": ["vq", "vp"], "allrun": ["pairs"], "run": ["allrun"], "perturbed": ["run"], "weights": ["words"], "judged": ["run", "qrels"]}
+_NEEDS = {"qrels": ["vq", "vp"], "pairs": ["vq", "vp"], "allrun": ["pairs"], "run": ["allrun"], "perturbed": ["run"], "weights": ["words"], "judged": ["run", "qrels"], "cands": ["run", "corpus", "answers"]}
 
 
 def sql(names: str, body: str) -> str:

@@ -242,12 +242,11 @@ def snk7_write_rotated(spark, sf):
     return per.agg(F.bool_and(F.col("n") <= 100).alias("all_small"), F.sum("n").alias("n"))
 
 
-IMPACTS = ", i AS (SELECT docid, token, ceil(weight)::INT AS weight FROM weights WHERE substring(docid, 2)::BIGINT % 10 = 0)"
+IMPACTS = ", i AS (SELECT docid, token, ceil(weight)::INT AS weight FROM weights)"
 
 
 def _impacts(spark, sf):
-    w = fx.weights(spark, sf).where("cast(substring(docid, 2) as bigint) % 10 = 0")
-    return w.select("docid", "token", F.ceil("weight").cast("int").alias("weight"))
+    return fx.weights(spark, sf).select("docid", "token", F.ceil("weight").cast("int").alias("weight"))
 
 
 @query(fx.sql("weights", IMPACTS + " SELECT docid AS id, count(*) AS n, sum(weight)::BIGINT AS total FROM i GROUP BY docid"))

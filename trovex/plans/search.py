@@ -194,26 +194,25 @@ def ev26b_quantize_ceil(spark, sf):
     return E.quantize_impacts(fx.weights(spark, sf), "ceil")
 
 
-def _batch(spark, sf):
-    """Scores of 20 queries of one batch against the batch's own vectors; a query's target is the next vector."""
-    q = fx.queries(spark, sf).where("vec_id < 500").select("qid", "embedding", "vec_id")
-    p = fx.vectors(spark, sf).where("vec_id < 501 and vec_id % 25 = 1")
-    s = search.all_pairs_scores(q, p)
-    return s.select("qid", "score", (F.substring("qid", 2, 9).cast("long") + 1 == F.substring("docid", 2, 9).cast("long")).alias("is_target"))
+def _scored(spark, sf, offset):
+    """(qid, score, is_target): each query against the vectors of its batch of 20 that come `offset` after a query; its target is its own next one."""
+    q = fx.queries(spark, sf).select("qid", F.col("embedding").alias("qe"), F.col("vec_id").alias("qv"), F.expr("vec_id div 500").alias("batch"))
+    p = fx.vectors(spark, sf).where(F.col("vec_id") % 25 == offset).select(F.col("embedding").alias("pe"), F.col("vec_id").alias("pv"), F.expr("vec_id div 500").alias("batch"))
+    return q.join(p, "batch").select("qid", F.round(search.dot("qe", "pe"), 6).alias("score"), (F.col("qv") + 1 == F.col("pv")).alias("is_target"))
 
 
-BATCH = ", b AS (SELECT q.qid, round(list_inner_product(q.embedding, p.embedding), 6) AS score, q.vec_id + 1 = p.vec_id AS is_target FROM vq q, vp p WHERE q.vec_id < 500 AND p.vec_id < 501 AND p.vec_id % 25 = 1)"
+BATCH = ", b AS (SELECT q.qid, round(list_inner_product(q.embedding, p.embedding), 6) AS score, q.vec_id + 1 = p.vec_id AS is_target, p.vec_id % 25 AS o FROM vq q JOIN vp p ON q.vec_id // 500 = p.vec_id // 500 WHERE p.vec_id % 25 IN (1, 2))"
+LOSS = "round(ln(sum(exp(score / 0.5))) - max(score / 0.5) FILTER (is_target), 5) AS loss"
 
 
-@query(fx.sql("vq vp", BATCH + " SELECT qid, round(ln(sum(exp(score / 0.5))) - max(score / 0.5) FILTER (is_target), 5) AS loss FROM b GROUP BY qid"))
+@query(fx.sql("vq vp", BATCH + f" SELECT qid, {LOSS} FROM b WHERE o = 1 GROUP BY qid"))
 def ev19_contrastive_scores(spark, sf):
-    return E.contrastive_scores(_batch(spark, sf), 0.5)
+    return E.contrastive_scores(_scored(spark, sf, 1), 0.5)
 
 
-@query(fx.sql("vq vp", BATCH + ", n AS (SELECT q.qid, round(list_inner_product(q.embedding, p.embedding), 6) AS score, false FROM vq q, vp p WHERE q.vec_id < 500 AND p.vec_id % 25 = 2), a AS (SELECT * FROM b UNION ALL SELECT * FROM n) SELECT qid, round(ln(sum(exp(score / 0.5))) - max(score / 0.5) FILTER (is_target), 5) AS loss FROM a GROUP BY qid"))
+@query(fx.sql("vq vp", BATCH + f" SELECT qid, {LOSS} FROM b GROUP BY qid"))
 def ev20_cached_negative_scores(spark, sf):
-    q, pool = fx.queries(spark, sf).where("vec_id < 500"), fx.vectors(spark, sf).where("vec_id % 25 = 2")
-    return E.cached_negative_scores(_batch(spark, sf), search.all_pairs_scores(q, pool), 0.5)
+    return E.cached_negative_scores(_scored(spark, sf, 1), _scored(spark, sf, 2), 0.5)
 
 
 @query(fx.sql("run", " SELECT qid, round(ln(sum(exp(score))) - max(score) FILTER (rank = 1), 5) AS loss FROM run WHERE rank <= 8 GROUP BY qid"))

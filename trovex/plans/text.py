@@ -8,15 +8,15 @@ from ..model import table
 from ..operators import filters, joins
 from ..operators import projections as P
 from . import fixtures as fx
-from .evaluation import JOINED, TOKENS
+from .fixtures import TOKENS
 from .registry import query
 
 STRIP = r"regexp_replace({}, '^[\p{{Z}}\s\x0b]+|[\p{{Z}}\s\x0b]+$', '', 'g')"
 
 
-@query("SELECT doc_id AS query_id, " + STRIP.format("'query: ' || " + STRIP.format("substring(text, 1, 60)")) + " AS text FROM documents")
+@query("SELECT doc_id AS query_id, " + STRIP.format("'query: ' || " + STRIP.format("text")) + " AS text FROM documents")
 def prj1_prepare_queries(spark, sf):
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return P.prepare_queries(q, "query:")
 
 
@@ -61,10 +61,10 @@ def prj7_extract_fields(spark, sf):
     return P.extract_fields(p.select(F.expr("concat('q', page_id % 20)").alias("qid"), F.col("page_id").alias("rank"), body.alias("body")))
 
 
-@query("SELECT doc_id AS id, 'From ' || source || ' (' || lang || '): ' || substring(text, 1, 40) || '.' AS text FROM documents")
+@query("SELECT doc_id AS id, 'From ' || source || ' (' || lang || '): ' || text || '.' AS text FROM documents")
 def prj8_fill_template(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.struct("source", "lang").alias("meta"), F.substring("text", 1, 40).alias("head"))
-    return P.fill_template(d, "From <meta.source> (<meta.lang>): <head>.")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.struct("source", "lang").alias("meta"), F.col("text").alias("body"))
+    return P.fill_template(d, "From <meta.source> (<meta.lang>): <body>.")
 
 
 @query(fx.sql("corpus", ", p AS (SELECT docid, title, string_split(text, '. ') AS t FROM corpus) SELECT docid, (i - 1)::INT AS part, title, t[i] AS text FROM p, unnest(range(1, len(t) + 1)) u(i)"))
@@ -109,10 +109,10 @@ def prj12_pad_tokens(spark, sf):
     return P.pad_tokens(df, 4).select("id", _text("input_ids"), _text("mask"))
 
 
-@query("SELECT doc_id AS id, array_to_string(" + TOKENS.format("text") + ", ' ') AS tokens FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query("SELECT doc_id AS id, array_to_string(" + TOKENS.format("text") + ", ' ') AS tokens FROM documents")
 def prj13_answer_tokens(spark, sf):
-    d = table(spark, sf, "documents").where(F.length("text") == F.octet_length("text")).select(F.col("doc_id").alias("id"), "text")
-    return P.answer_tokens(d, "text").select("id", F.array_join("tokens", " ").alias("tokens"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return P.answer_tokens(d, "text", normalize=False).select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("WITH t AS (SELECT item_id AS id, " + TOKENS.format("text") + " AS t FROM benchmark) SELECT id, array_to_string(t[i:i + n - 1], ' ') AS ngram FROM t, range(1, 4) r(n), unnest(range(1, len(t) - n + 2)) u(i)")
@@ -168,16 +168,9 @@ def flt2_drop_self_match(spark, sf):
     return filters.drop_self_match(r.select(F.substring("qid", 2, 12).alias("qid"), F.substring("docid", 2, 12).alias("docid"), "score"))
 
 
-ANSWERS = ", c AS (SELECT a.qid, d.docid, d.text, a.answer FROM corpus d, answers a WHERE d.doc_id % 5 = 0)"
-
-
-def _cands(spark, sf):
-    return fx.corpus(spark, sf).where("doc_id % 5 = 0").select("docid", "text").crossJoin(F.broadcast(fx.answers(spark, sf)))
-
-
-@query(fx.sql("corpus answers", ANSWERS + f" SELECT qid, docid, contains({JOINED.format('text')}, {JOINED.format('answer')}) AS hit FROM c"))
+@query(fx.sql("cands", " SELECT qid, docid, hit FROM cands"))
 def flt3_has_answer(spark, sf):
-    return filters.has_answer(_cands(spark, sf)).select("qid", "docid", "hit")
+    return filters.has_answer(fx.candidates(spark, sf)).select("qid", "docid", "hit")
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '(?im)^the [a-z]+ing\b') OR regexp_matches(text, '(?im)\d{4}-\d{2}') AS hit FROM documents")

@@ -9,7 +9,6 @@ from ..operators import layout
 from ..operators import training as T
 from ..operators.filters import filter_trainable
 from . import fixtures as fx
-from .evaluation import JOINED
 from .registry import query
 
 #: A user turn is a query, the next assistant turn its positive; the negatives are five other answers.
@@ -66,13 +65,13 @@ def trn1_build_train_groups(spark, sf):
 
 def _judged_groups(spark, sf):
     """(query_id, query, positive_passages, negative_passages) of judged queries."""
-    c = fx.corpus(spark, sf).select("docid", "title", F.substring("text", 1, 100).alias("text"))
+    c = fx.corpus(spark, sf).select("docid", "title", "text")
     pos = fx.qrels(spark, sf).join(c, "docid").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("docid", "title", "text"))).alias("positive_passages"))
     return fx.query_texts(spark, sf).join(pos, "qid").select(F.col("qid").alias("query_id"), "query", "positive_passages", F.slice("positive_passages", 1, 0).alias("negative_passages"))
 
 
-def _short(spark, sf):
-    return fx.corpus(spark, sf).select("docid", "title", F.substring("text", 1, 100).alias("text"))
+def _texts(spark, sf):
+    return fx.corpus(spark, sf).select("docid", "title", "text")
 
 
 def _ids(g):
@@ -84,21 +83,19 @@ MINED = ", p AS (SELECT qid, string_agg(docid, ',' ORDER BY docid) AS p FROM qre
 
 @query(fx.sql("run qrels query_texts corpus", MINED + " SELECT * FROM m"))
 def trn2_mine_hard_negatives(spark, sf):
-    return _ids(T.mine_hard_negatives(_judged_groups(spark, sf), fx.run(spark, sf), _short(spark, sf), 20))
+    return _ids(T.mine_hard_negatives(_judged_groups(spark, sf), fx.run(spark, sf), _texts(spark, sf), 20))
 
 
 @query(fx.sql("run qrels query_texts corpus", MINED + " SELECT * FROM m WHERE negatives <> ''"))
 def trn3_combine_mined(spark, sf):
     g = _judged_groups(spark, sf)
-    return _ids(T.combine_mined(g, T.mine_hard_negatives(g, fx.run(spark, sf), _short(spark, sf), 20)))
+    return _ids(T.combine_mined(g, T.mine_hard_negatives(g, fx.run(spark, sf), _texts(spark, sf), 20)))
 
 
-@query(fx.sql("corpus answers", f", c AS (SELECT a.qid, d.docid, d.doc_id // 5 + 1 AS rank, contains({JOINED.format('d.text')}, {JOINED.format('a.answer')}) AS hit FROM corpus d, answers a WHERE d.doc_id % 5 = 0) SELECT qid AS query_id, coalesce(string_agg(docid, ',' ORDER BY rank) FILTER (hit), '') AS positives, count(*) FILTER (NOT hit) AS n_negatives FROM c WHERE rank <= 100 GROUP BY qid"))
+@query(fx.sql("cands answers", " SELECT a.qid AS query_id, coalesce(string_agg(docid, ',' ORDER BY rank) FILTER (hit), '') AS positives, count(*) FILTER (NOT hit) AS n_negatives FROM (SELECT DISTINCT qid FROM answers) a LEFT JOIN cands USING (qid) GROUP BY a.qid"))
 def trn4_mine_by_answer(spark, sf):
-    a, c = fx.answers(spark, sf), fx.corpus(spark, sf)
-    run = c.where("doc_id % 5 = 0").select("docid", F.expr("doc_id div 5 + 1").alias("rank")).crossJoin(F.broadcast(a.select("qid")))
-    g = a.select(F.col("qid").alias("query_id"), F.lit("").alias("query"), "answers")
-    m = T.mine_by_answer(g, run, c.select("docid", "title", "text"), 100)
+    g = fx.answers(spark, sf).select(F.col("qid").alias("query_id"), F.lit("").alias("query"), "answers")
+    m = T.mine_by_answer(g, fx.run(spark, sf), _texts(spark, sf), fx.DEPTH)
     return m.select("query_id", F.array_join("positive_passages.docid", ",").alias("positives"), F.size("negative_passages").cast("long").alias("n_negatives"))
 
 
@@ -114,7 +111,7 @@ def trn5_from_dpr(spark, sf):
 
 @query(fx.sql("run qrels query_texts corpus", ", f AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM run r JOIN corpus USING (docid) WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.qid = r.qid AND q.docid = r.docid)) SELECT qid, least(64, len(regexp_extract_all(query, '\\S+')))::BIGINT AS n_query, least(30, (SELECT count(*) FROM f WHERE f.qid = t.qid AND r <= 200))::BIGINT AS n_negatives FROM query_texts t WHERE qid IN (SELECT qid FROM f)"))
 def trn6_pretokenize(spark, sf):
-    neg = fx.run(spark, sf).join(_short(spark, sf), "docid").select("qid", "rank", "docid", "text")
+    neg = fx.run(spark, sf).join(_texts(spark, sf), "docid").select("qid", "rank", "docid", "text")
     out = T.pretokenize(fx.query_texts(spark, sf).select("qid", F.col("query").alias("text")), neg, fx.qrels(spark, sf), T.hash_tokenizer())
     return out.select("qid", F.size("query").cast("long").alias("n_query"), F.size("negatives").cast("long").alias("n_negatives"))
 
