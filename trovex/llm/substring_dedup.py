@@ -32,6 +32,7 @@ from .common import NO_ID, NOT_SPACE, gram_hashes, mix, raw, rows_left, slices,
 WINDOW = 20
 GROUP_ROWS = 2000  #: anchors in one suffix group
 _ROW = np.uint64(0xD1342543DE82EF95)
+SALTS = 16
 CHUNK = 20_000  #: contexts that a subtree task sorts at once, groups kept whole
 
 _KEY = f"coalesce(cast(doc_id as bigint), {NO_ID}) as k"
@@ -200,9 +201,17 @@ def _subtrees(window: int):
 
 
 def _later(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leaves: (key, other, k, start, ..) of nodes at full depth. Those that are not their node's first, and the firsts."""
-    firsts = leaves.groupBy("key", "other").agg(F.min(F.struct("k", "start")).alias("first"))
-    marked = leaves.join(firsts, ["key", "other"])
+    """leaves: (key, other, k, start, ..) of nodes at full depth. Those that are not their node's first, and the firsts.
+
+    A node's leaves may be a third of all rows: they are salted, each salt has a minimum, and a node the least of those.
+    One exchange serves the minima and the join; that all columns are read on both ways keeps it one.
+    """
+    every = F.max(F.xxhash64(*leaves.columns)).alias("every")
+    salted = leaves.where("key is not null and other is not null and k is not null and start is not null").withColumn("salt", F.pmod(F.xxhash64("k", "start"), F.lit(SALTS))).repartition("key", "other", "salt")
+    parts = salted.groupBy("key", "other", "salt").agg(F.min(F.struct("k", "start")).alias("least"), every).where("every is not null")
+    firsts = parts.groupBy("key", "other").agg(F.min("least").alias("first"))
+    firsts = parts.select("key", "other", "salt").join(firsts, ["key", "other"])  # SALTS rows a node at most
+    marked = salted.join(firsts, ["key", "other", "salt"])
     return marked.where(F.struct("k", "start") > F.col("first")), marked.where(F.struct("k", "start") == F.col("first"))
 
 
@@ -212,16 +221,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROU
     k is doc_id (NO_ID for null); own are the md5 of its texts that are first copies: every other text under it repeats one
     from end to end; spans are the repeated word spans of own texts (th: the text's xxhash64; start counts words from 0).
     """
-    keyed = docs.selectExpr(_KEY, _TEXT)
-    copies = keyed.select("k", F.md5("text").alias("md5")).where("md5 is not null").groupBy("md5").agg(F.min("k").alias("k"))
+    return _spans(docs.selectExpr(_KEY, _TEXT), window, group_rows)
+
+
+def _spans(rows: DataFrame, window: int, group_rows: int) -> DataFrame:
+    """rows: (k, text, ..). Columns beyond these are passed along unused, so that all reads of the texts share one exchange."""
+    more = rows.columns[2:]
+    copies = rows.select("k", F.md5("text").alias("md5")).where("md5 is not null").groupBy("md5").agg(F.min("k").alias("k"))
     own = copies.groupBy("k").agg(F.collect_set("md5").alias("own"))
-    firsts = keyed.join(own, "k").where(F.array_contains("own", F.md5("text"))).select("k", "text")
-    # one exchange by anchor serves both the counts and the join with them
-    anchors = firsts.mapInArrow(_anchors(window), "anchor long, k long, times int").repartition("anchor")
-    counts = anchors.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
-    large = F.when(F.col("n") > group_rows, 1).otherwise(0).alias("large")
-    runs = anchors.join(counts, "anchor").groupBy("k").agg(F.collect_set(F.struct("anchor", large)).alias("runs"))
-    chosen = keyed.join(runs, "k").select("k", "text", F.xxhash64("text").alias("th"), "runs")
+    firsts = rows.join(own, "k").where(F.array_contains("own", F.coalesce(F.md5("text"), F.lit("")))).select("k", "text", *more)
+    # one exchange by anchor serves the counts and the join with them, as both read all of its columns; none is ever null,
+    # but said so before it, no branch puts a check of its own below it
+    anchors = firsts.mapInArrow(_anchors(window), "anchor long, k long, times int").where("anchor is not null and k is not null and times is not null").repartition("anchor")
+    counts = anchors.groupBy("anchor").agg(F.sum("times").alias("n"), F.max("k").alias("last")).where("n > 1")
+    large = F.when(F.greatest("n", "times") > group_rows, 1).otherwise(0).alias("large")
+    runs = anchors.join(counts, "anchor").where("coalesce(k, 0) <= coalesce(last, 0)").groupBy("k").agg(F.collect_set(F.struct("anchor", large)).alias("runs"))
+    chosen = rows.join(runs, "k").select("k", "text", F.xxhash64("text").alias("th"), "runs", *more)
     suffixes = chosen.mapInArrow(_suffixes(window), "key long, other long, k long, th long, start int, ctx binary, whole boolean")
     grouped = suffixes.where("not whole").select("key", "k", "th", "start", "ctx")
     spans = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), "k long, th long, start int, size int")
@@ -263,9 +278,9 @@ def _stripped(b: pa.RecordBatch, window: int) -> pa.RecordBatch:
 def strip_repeats(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS, columns: list[str] | None = None) -> DataFrame:
     """columns of docs (doc_id if None), kept_text (the kept words, joined by one space), n_words, n_removed."""
     columns = ["doc_id"] if columns is None else columns
-    more = [c for c in columns if c != "doc_id"]  # doc_id comes back from k, so that both reads of the texts can share one exchange
+    more = [c for c in columns if c != "doc_id"]  # doc_id comes back from k, so the rows are the same for every read
     rows = docs.select(F.expr(_KEY), F.expr(_TEXT), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(more)])
-    joined = rows.join(repeated_spans(docs, window, group_rows), "k", "left")
+    joined = rows.join(_spans(rows, window, group_rows), "k", "left")
     copy = ~F.coalesce(F.array_contains("own", F.md5("text")), F.lit(False))
     joined = joined.select("text", F.xxhash64("text").alias("th"), "spans", copy.alias("copy"), F.expr(f"nullif(k, {NO_ID})").alias("_id"), *[f"_c{i}" for i in range(len(more))])
     kinds = ["_id long", *[f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(more)]]
