@@ -10,6 +10,8 @@ import xxhash
 from trovex.llm import simhash, substring_dedup
 from pyspark.sql import functions as F
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -126,3 +128,10 @@ def test_columns_come_back_as_they_were(docs):
     got = substring_dedup.strip_repeats(docs, columns=docs.columns)
     assert got.columns == [*docs.columns, "kept_text", "n_words", "n_removed"]
     assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_keep_one_tells_rows_apart_without_or_under_one_id(spark):
+    near, other = prose(1, 60), prose(2, 60)
+    df = spark.createDataFrame([(None, near), (None, other), (7, prose(3, 60)), (7, near), (5, near), (None, prose(4, 60)), (None, prose(4, 60))], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str)
+    assert got == sorted([(5, near), (None, other), (7, prose(3, 60)), (None, prose(4, 60))], key=str)

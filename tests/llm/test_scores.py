@@ -148,6 +148,14 @@ def test_contaminated_rows_go(spark, docs, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in texts} - {2}
 
 
+def test_clean_rows_stay_beside_a_contaminated_one_of_their_id(spark, texts):
+    bad, good, other = (dict(texts)[i] for i in (2, 5, 6))
+    bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    df = spark.createDataFrame([(None, bad), (None, good), (8, bad), (8, other)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in decontaminate.drop_contaminated(df, bench).collect()), key=str)
+    assert got == sorted([(None, good), (8, other)], key=str)
+
+
 def test_media_round_trip(docs, texts, empty):
     pages = media.interleave(media.text_pages(docs), "page")
     got = media.resolve(pages, media.describe(media.store_texts(docs)), "page").select("page.doc_id", "page.n_bytes", "*").collect()

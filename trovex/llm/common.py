@@ -179,6 +179,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written out, with a number for each row that no rereading changes, and the name of that column."""
+    name = "_row"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return stored(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 class Table:
     """An open-addressed map of distinct 64-bit keys to their indices, for lookups of whole arrays."""
 

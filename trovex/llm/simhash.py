@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, raw
+from .common import checkpoint, numbered, raw
 
 SMALL = 64  #: members of a bucket that are compared pair by pair
 
@@ -137,12 +137,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, small: int = SMALL) -> DataF
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id names its class, with their columns as they were.
+    """One row of each class, the one of least doc_id, with its columns as they were; null ids come last.
 
-    Of rows repeated under one id one stays; so does one of those without an id whose class has no id at all.
+    Classes are of rows, so neither rows without an id nor different texts under one id stand for each other.
     """
-    kept = near_duplicates(docs, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    rows, row = numbered(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_of"), "component_id")
+    named = found.join(rows.select(F.col(row).alias("_of"), F.col("doc_id").alias("_id")), "_of")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_of")).alias("first")).select(F.col("first._of").alias("_kept"))
+    return rows.join(kept, rows[row] == kept["_kept"], "left_semi").drop(row)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
