@@ -7,7 +7,8 @@ import re
 import pytest
 import xxhash
 
-from trovex.llm import simhash, substring_dedup
+import corpus_pipeline
+from trovex.llm import near_copies, simhash, substring_dedup
 from pyspark.sql import functions as F
 
 from .conftest import prose
@@ -135,3 +136,36 @@ def test_keep_one_tells_rows_apart_without_or_under_one_id(spark):
     df = spark.createDataFrame([(None, near), (None, other), (7, prose(3, 60)), (7, near), (5, near), (None, prose(4, 60)), (None, prose(4, 60))], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str)
     assert got == sorted([(5, near), (None, other), (7, prose(3, 60)), (None, prose(4, 60))], key=str)
+
+
+def runs_of(text, size=5):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or {tuple(w)}
+
+
+@pytest.mark.parametrize("small", [near_copies.SMALL, 2])
+def test_near_copies_equal_brute_force(spark, texts, small):
+    """Copies with some words changed or cut, on both sides of 0.8, many of one text, and short ones."""
+    r = random.Random(5)
+    rows = [t for _, t in texts]
+    for k in range(12):
+        base = " ".join(f"w{k}x{r.randrange(10**6)}" for _ in range(200)).split()
+        rows += [" ".join("new" if i in cut else w for i, w in enumerate(base)) for cut in ([], [9], r.sample(range(200), 3), r.sample(range(200), 12), range(0, 20), range(0, 60))]
+    rows += [rows[-6].replace(" ", f" {i} ", 1) for i in range(40)]
+    sets = [runs_of(t) for t in rows]
+    roots = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and roots[a] != roots[b]:
+                low, high = sorted((roots[a], roots[b]))
+                roots = [low if x == high else x for x in roots]
+    got = near_copies.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), small=small)
+    assert {x.doc_id: x.component_id for x in got.collect()} == dict(enumerate(roots))
+
+
+def test_pipeline_drops_copies_beyond_two_bits(spark, sf):
+    base = [f"w{i}" for i in range(200)]
+    near = [" ".join("new" if i in cut else w for i, w in enumerate(base)) for cut in ([], (20, 90, 150))]
+    assert 0.8 <= len(runs_of(near[0]) & runs_of(near[1])) / len(runs_of(near[0]) | runs_of(near[1])) and bin(fingerprint(near[0]) ^ fingerprint(near[1])).count("1") > 2
+    df = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf).collect()] == [0]

@@ -136,13 +136,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, small: int = SMALL) -> DataF
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, method=near_duplicates, **how) -> DataFrame:
     """One row of each class, the one of least doc_id, with its columns as they were; null ids come last.
 
-    Classes are of rows, so neither rows without an id nor different texts under one id stand for each other.
+    method gives (doc_id, component_id), here or in near_copies. Classes are of rows, so neither rows without an id nor different texts under one id stand for each other.
     """
     rows, row = numbered(docs)
-    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_of"), "component_id")
+    found = method(rows.select(F.col(row).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_of"), "component_id")
     named = found.join(rows.select(F.col(row).alias("_of"), F.col("doc_id").alias("_id")), "_of")
     kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_of")).alias("first")).select(F.col("first._of").alias("_kept"))
     return rows.join(kept, rows[row] == kept["_kept"], "left_semi").drop(row)
