@@ -67,6 +67,13 @@ def test_lm_equals_brute_force(docs, texts, head):
         assert r.score == pytest.approx(want[r.doc_id], rel=1e-4, abs=1e-4)
 
 
+def test_lm_equals_brute_force_whatever_is_broadcast(docs, texts):
+    want = brute_ppm([*texts, texts[5]], 3)
+    for nodes in (5, 300):
+        got = ppm.score(docs, order=3, nodes=nodes, head=20).collect()
+        assert len(got) == len(texts) + 1 and all(r.score == pytest.approx(want[r.doc_id], rel=1e-4, abs=1e-4) for r in got)
+
+
 def test_lm_probabilities_sum_to_one(docs):
     """Whatever the context, and with a trie that is cut down."""
     rows = docs.select("doc_id", "text")

@@ -5,12 +5,12 @@ last 0 to `order` bytes; the longest that the trie knows predicts, with escape e
 n / (total + distinct) for a symbol that followed, else an escape to the next shorter context, where the symbols that
 were possible before are left out of the sums. Below order 0 all remaining bytes are alike.
 
-The trie is pretrained and static, so the sums under exclusion are fixed for each node (what follows a context also
-follows its shorter ones) and a text is scored with array lookups. Counts cover all training texts and are summed in
-Spark. The trie keeps the symbols that follow a context at least once in `nodes` positions of the training bytes, so
-each order has at most `nodes` edges however large the corpus is, which bounds what is broadcast; what is left out
-stays in its context's escape. Word counts of the base score: the commonest, at most `head` by the same reasoning, are
-broadcast; all others are joined.
+The model is pretrained, static and uncut: counts cover all contexts of all training texts. A position's probability
+depends on the symbol and `order` bytes before it alone (its key), so it is computed once for each distinct key of the texts:
+keys are partitioned by the context's last two bytes, where all of their longer contexts meet, and each group makes a
+trie of its own; orders 0 and 1 (65,792 edges at most) are broadcast. A document is then reduced to its positions' keys:
+the commonest, at most `nodes`, are looked up in a broadcast table, all others are joined as (document, key, times). Words
+of the base score likewise: the commonest, at most `head`, are broadcast; all others are joined.
 
 Edge cases: null and empty texts are the end token alone; a null doc_id counts as remainder 0, so it is held out;
 repeated rows are scored each and all train; an empty table gives no rows; without training rows (N = V = 0) the base is
@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from .common import LOWER, NOT_SPACE, Table, fold, slices, stored, word_hashes, words
 
 ORDER = 6
-NODES = 1 << 21  #: edges of an order at most
+NODES = 1 << 21  #: keys in the broadcast part of the model at most
 HEAD = 1 << 20  #: words in the broadcast part of the counts at most
 STEP = 1 << 19  #: bytes of text worked on at once
 END = 0x0A
 END_WORD = np.uint64(0x0E0D0E0D0E0D0E0D)
-GRAM, WORD = 0, 1
+GROUP = 1 << 18  #: keys of a trie at least, if there are more groups
+GRAM, WORD, OTHER = 0, 1, 2  #: of training texts; OTHER: keys of held-out texts
 
 
 def _stream(buf: np.ndarray, off: np.ndarray, order: int):
@@ -70,6 +71,8 @@ def _own(start: np.ndarray, stop: np.ndarray, order: int) -> np.ndarray:
 
 
 def _count(order: int, hold: int = 1 << 20):
+    """Keys and words of training texts; of rows whose second column (held_out) is true, keys alone."""
+
     def flush(kind: int, parts: list):
         keys, counts = (np.concatenate(x) for x in zip(*parts))
         u, inv = np.unique(keys, return_inverse=True)
@@ -77,7 +80,7 @@ def _count(order: int, hold: int = 1 << 20):
         return u, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {GRAM: [], WORD: []}
+        held: dict[int, list] = {GRAM: [], WORD: [], OTHER: []}
 
         def emit(kind):
             u, n = flush(kind, held[kind])
@@ -85,16 +88,19 @@ def _count(order: int, hold: int = 1 << 20):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int8)), pa.array(u.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
         for b in batches:
-            for _, _, buf, off in slices(b.column(0), STEP):
-                out, start, stop, h, _ = _stream(buf, off, order)
-                held[GRAM].append(np.unique(_grams(out, order)[_own(start, stop, order)], return_counts=True))
-                held[WORD].append(np.unique(np.concatenate((h, np.full(len(start), END_WORD))), return_counts=True))
-                for kind in (GRAM, WORD):
-                    if sum(len(k) for k, _ in held[kind]) > hold:
-                        held[kind] = [flush(kind, held[kind])]
-                        if len(held[kind][0][0]) > hold // 2:
-                            yield emit(kind)
-        for kind in (GRAM, WORD):
+            out_of = b.column(1).to_numpy(zero_copy_only=False).astype(bool) if b.num_columns > 1 else np.zeros(b.num_rows, bool)
+            for kept, texts in ((True, b.column(0).filter(pa.array(~out_of))), (False, b.column(0).filter(pa.array(out_of)))):
+                for _, _, buf, off in slices(texts, STEP):
+                    out, start, stop, h, _ = _stream(buf, off, order)
+                    held[GRAM if kept else OTHER].append(np.unique(_grams(out, order)[_own(start, stop, order)], return_counts=True))
+                    if kept:
+                        held[WORD].append(np.unique(np.concatenate((h, np.full(len(start), END_WORD))), return_counts=True))
+                    for kind in held:
+                        if sum(len(k) for k, _ in held[kind]) > hold:
+                            held[kind] = [flush(kind, held[kind])]
+                            if len(held[kind][0][0]) > hold // 2:
+                                yield emit(kind)
+        for kind in held:
             if held[kind]:
                 yield emit(kind)
 
@@ -197,13 +203,98 @@ def train(counts: DataFrame, order: int, nodes: int) -> Trie:
     return Trie([(key[d == i].astype(np.uint64), n[d == i], all_[d == i]) for i in range(order + 1)])
 
 
+def _level(key: np.ndarray, n: np.ndarray, d: int):
+    """Edges of order d, their counts and their contexts' totals, from keys of longer contexts."""
+    edge, at = np.unique(key & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+    n = np.bincount(at, n, len(edge))
+    _, of = np.unique(edge >> np.uint64(8), return_inverse=True)
+    return edge, n, np.bincount(of, n)[of] if len(edge) else n
+
+
+def _model(order: int, low):
+    """The probability of each key; rows come by group, a group in one run."""
+
+    def solve(parts):
+        kind, key, n = (np.concatenate(x) for x in zip(*parts))
+        mine = kind == GRAM
+        upper = [_level(key[mine], n[mine], d) for d in range(2, order + 1)]
+        keys, at = np.unique(key, return_inverse=True)
+        logp = Trie([*low.value, *upper]).score(keys)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, n, len(keys)).astype(np.int64)), pa.array(logp)], ["key", "n", "logp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kind, key, n, group = (b.column(i).to_numpy() for i in range(4))
+            cut = np.flatnonzero(np.diff(group, prepend=group[0] if last is None else last))
+            lo = 0
+            for c in cut.tolist():
+                if size + c - lo >= GROUP:
+                    held.append((kind[lo:c], key[lo:c].astype(np.uint64), n[lo:c]))
+                    yield solve(held)
+                    held, size, lo = [], 0, c
+            held.append((kind[lo:], key[lo:].astype(np.uint64), n[lo:]))
+            size, last = size + len(key) - lo, group[-1]
+        if held:
+            yield solve(held)
+
+    return run
+
+
+def model(counts: DataFrame, order: int) -> DataFrame:
+    """(key, n, logp) for each key of all texts, n its positions; written out."""
+    grams = counts.where(F.col("kind") != WORD)
+    two = F.lit((1 << 8 * (min(order, 1) + 1)) - 1).cast("long")
+    got = grams.where(F.col("kind") == GRAM).groupBy(F.col("key").bitwiseAND(two).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    key, n = got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy()
+    low = counts.sparkSession.sparkContext.broadcast([_level(key, n, d) for d in range(min(order, 1) + 1)])
+    group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    rows = grams.select("kind", "key", "n", group.alias("group")).repartition("group").sortWithinPartitions("group")
+    return stored(rows.mapInArrow(_model(order, low), "key long, n long, logp double"))
+
+
+def commonest(keys: DataFrame, most: int) -> int:
+    """The least n such that at most `most` keys have it or more."""
+    top = 1 << 16
+    least, below = top, 0
+    seen = dict(keys.groupBy(F.least("n", F.lit(top)).alias("n")).count().collect())  # so many rows at most
+    for n in sorted(seen, reverse=True):
+        below += seen[n]
+        if below > most:
+            break
+        least = n
+    if seen.get(top, 0) > most:
+        return max(top, -(-(keys.agg(F.sum("n")).first()[0]) // most))
+    return least if below > most else 1
+
+
+def _lists(row: np.ndarray, key: np.ndarray, n: int) -> pa.ListArray:
+    """For each of n rows its distinct keys and how often each occurs."""
+    by = np.lexsort((key, row))
+    row, key = row[by], key[by]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    i = np.flatnonzero(new)
+    tf = np.diff(np.append(i, len(row)))
+    return pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(row[i], np.arange(n + 1)).astype(np.int32)),
+        pa.StructArray.from_arrays([pa.array(key[i].view(np.int64)), pa.array(tf.astype(np.int32))], ["key", "tf"]),
+    )
+
+
 def _score(order: int, trie, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (table, logc) = trie.value, head.value
+        (grams, logp), (table, logc) = trie.value, head.value
         for b in batches:
             for lo, hi, buf, off in slices(b.column(2), STEP):
                 out, start, stop, h, first = _stream(buf, off, order)
-                bits = np.concatenate(([0.0], np.cumsum(model.score(_grams(out, order)[_own(start, stop, order)]))))
+                key = _grams(out, order)[_own(start, stop, order)]
+                edge = grams.find(key)
+                bits = np.concatenate(([0.0], np.cumsum(logp[edge])))  # the last, for -1, is 0
+                rare = np.flatnonzero(edge < 0)
+                rare = _lists(np.repeat(np.arange(hi - lo), stop - start)[rare], key[rare], hi - lo)
                 at = np.concatenate(([0], np.cumsum(stop - start)))
                 score = bits[at[1:]] - bits[at[:-1]]
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
@@ -216,19 +307,10 @@ def _score(order: int, trie, head):
                 r, w = row[miss], h[miss]
                 if ends < 0:  # so few documents that their end is no common token
                     r, w = np.append(r, np.arange(hi - lo)), np.append(w, np.full(hi - lo, END_WORD))
-                by = np.lexsort((w, r))
-                r, w = r[by], w[by]
-                new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-                i = np.flatnonzero(new)
-                tf = np.diff(np.append(i, len(r)))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(r[i], np.arange(hi - lo + 1)).astype(np.int32)),
-                    pa.StructArray.from_arrays([pa.array(w[i].view(np.int64)), pa.array(tf.astype(np.int32))], ["key", "tf"]),
-                )
+                lists = _lists(r, w, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(base), pa.array(score), lists],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
+                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(base), pa.array(score), lists, rare],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "rare"],
                 )
 
     return run
@@ -238,7 +320,7 @@ def score(docs: DataFrame, mod: int = 10, order: int = ORDER, nodes: int = NODES
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", fold("doc_id", mod) == 0)
-    counts = stored(docs.where("not held_out").select("text").mapInArrow(_count(order), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = stored(docs.select("text", "held_out").mapInArrow(_count(order), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     tokens = counts.where(F.col("kind") == WORD).select("key", "n")
     total, distinct = tokens.agg(F.sum("n"), F.count("*")).first()
     total, denominator = total or 0, (total or 0) + 0.1 * (distinct + 1)
@@ -246,17 +328,22 @@ def score(docs: DataFrame, mod: int = 10, order: int = ORDER, nodes: int = NODES
     top = tokens.where(F.col("n") >= least).toArrow()
     key, n = top.column(0).to_numpy(), top.column(1).to_numpy()
     common = spark.sparkContext.broadcast((Table(key.astype(np.uint64)), np.append(np.log10((n + 0.1) / denominator), 0.0)))
-    trie = spark.sparkContext.broadcast(train(counts, order, nodes))
+    keys = model(counts, order)
+    often = commonest(keys, nodes)
+    got = keys.where(F.col("n") >= often).select("key", "logp").toArrow()
+    trie = spark.sparkContext.broadcast((Table(got.column(0).to_numpy().astype(np.uint64)), np.append(got.column(1).to_numpy(), 0.0)))
     rows = docs.select("doc_id", "held_out", "text").mapInArrow(
-        _score(order, trie, common), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<key:long,tf:int>>"
+        _score(order, trie, common), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<key:long,tf:int>>, rare array<struct<key:long,tf:int>>"
     )
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()))
     tail = rows.select("rid", F.inline("tail")).join(tokens.where(F.col("n") < least), "key", "left")
     c = F.coalesce("n", F.lit(0))
     tail = tail.groupBy("rid").agg(F.sum(F.col("tf") * F.log10((c + 0.1) / denominator)).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"))
-    return rows.drop("tail").join(tail, "rid", "left").select(
+    rare = rows.select("rid", F.inline("rare")).join(keys.where(F.col("n") < often).select("key", "logp"), "key")
+    rare = rare.groupBy("rid").agg(F.sum(F.col("tf") * F.col("logp")).alias("rarely"))
+    return rows.drop("tail", "rare").join(tail, "rid", "left").join(rare, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rarely", F.lit(0.0))).alias("score"),
     )
 
 
