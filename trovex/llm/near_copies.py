@@ -32,7 +32,7 @@ _XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _runs(column: pa.Array, size: int):
+def distinct_runs(column: pa.Array, size: int):
     """For each slice: first row, end row, hashes of each row's distinct runs, and where each row's begin (one more at the end)."""
     for lo, hi, buf, off in slices(column):
         buf = LOWER[buf]
@@ -57,7 +57,7 @@ def _runs(column: pa.Array, size: int):
 def _bands(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, runs, at in _runs(b.column(1), size):
+            for lo, hi, runs, at in distinct_runs(b.column(1), size):
                 some = np.flatnonzero(np.diff(at))
                 node, keys = np.zeros(hi - lo, np.uint64), np.zeros((hi - lo, BANDS), np.uint64)
                 if len(some):
@@ -76,7 +76,7 @@ def _bands(size: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, runs, at in _runs(b.column(1), size):
+            for lo, hi, runs, at in distinct_runs(b.column(1), size):
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(runs.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], ["node", "runs"])
 
