@@ -68,17 +68,18 @@ def test_lm_equals_brute_force(docs, texts, head):
 
 
 def test_lm_equals_brute_force_whatever_is_broadcast(docs, texts):
-    want = brute_ppm([*texts, texts[5]], 3)
-    for nodes in (5, 300):
-        got = ppm.score(docs, order=3, nodes=nodes, head=20).collect()
+    """At the query's own order and settings, and with hardly anything broadcast."""
+    want = brute_ppm([*texts, texts[5]], ppm.ORDER)
+    for how in ({}, {"nodes": 5, "head": 20}, {"nodes": 300, "head": 3}):
+        got = ppm.score(docs, **how).collect()
         assert len(got) == len(texts) + 1 and all(r.score == pytest.approx(want[r.doc_id], rel=1e-4, abs=1e-4) for r in got)
 
 
 def test_lm_probabilities_sum_to_one(docs):
-    """Whatever the context, and with a trie that is cut down."""
-    rows = docs.select("doc_id", "text")
-    counts = common.stored(rows.select("text").mapInArrow(ppm._count(3), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    trie = ppm.train(counts, 3, 3000)
+    """Whatever the context."""
+    counts = docs.select("text").mapInArrow(ppm._count(3), "kind byte, key long, n long").where(F.col("kind") == ppm.GRAM).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = counts.column(0).to_numpy().astype(np.uint64), counts.column(1).to_numpy()
+    trie = ppm.Trie([ppm._level(key, n, d) for d in range(4)])
     r = random.Random(1)
     for ctx in [b"the", b"riv", b"\n\n\n", b"zzz", b" of", bytes(r.randrange(256) for _ in range(3))]:
         high = sum(c << 8 * (3 - i) for i, c in enumerate(ctx))

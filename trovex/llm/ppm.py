@@ -5,16 +5,18 @@ last 0 to `order` bytes; the longest that the trie knows predicts, with escape e
 n / (total + distinct) for a symbol that followed, else an escape to the next shorter context, where the symbols that
 were possible before are left out of the sums. Below order 0 all remaining bytes are alike.
 
-The model is pretrained, static and uncut: counts cover all contexts of all training texts. A position's probability
-depends on the symbol and `order` bytes before it alone (its key), so it is computed once for each distinct key of the texts:
-keys are partitioned by the context's last two bytes, where all of their longer contexts meet, and each group makes a
-trie of its own; orders 0 and 1 (65,792 edges at most) are broadcast. A document is then reduced to its positions' keys:
-the commonest, at most `nodes`, are looked up in a broadcast table, all others are joined as (document, key, times). Words
-of the base score likewise: the commonest, at most `head`, are broadcast; all others are joined.
-
-Edge cases: null and empty texts are the end token alone; a null doc_id counts as remainder 0, so it is held out;
-repeated rows are scored each and all train; an empty table gives no rows; without training rows (N = V = 0) the base is
-log10(0.1 / 0.1) = 0 for each token; other columns are ignored.
+The model is pretrained, static and uncut: counts cover all contexts of all training texts, so they grow with the corpus.
+A position's probability depends on the symbol and `order` bytes before it alone (its key), so it is computed once for each
+distinct key of the texts: keys are partitioned by the context's last SHARED + 1 bytes, where all of their longer contexts
+meet, and each group makes a trie of its own; orders 0 to SHARED (2**24 edges at most, as many as there are distinct three
+bytes) are broadcast. A document is then reduced to its positions' keys: the commonest, at most `nodes`, are looked up in a
+broadcast table, all others are joined as (document, key, times), so that bound changes no score. Words of the base score
+likewise: the commonest, at most `head`, are broadcast; all others are joined.
+
+Edge cases: null and empty texts are the end token alone; very long texts are worked through like any other, whole; a null
+doc_id counts as remainder 0, so it is held out; repeated rows are scored each and all train; equal texts get equal scores, as
+nothing depends on the order of rows or ties; an empty table gives no rows; without training rows (N = V = 0) the base is
+log10(0.1 / 0.1) = 0 for each token; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, Table, fold, slices, stored, word_hashes, words
 
-ORDER = 6
+ORDER = 5
+SHARED = 2  #: orders up to this one are broadcast
 NODES = 1 << 21  #: keys in the broadcast part of the model at most
 HEAD = 1 << 20  #: words in the broadcast part of the counts at most
 STEP = 1 << 19  #: bytes of text worked on at once
@@ -70,7 +73,7 @@ def _own(start: np.ndarray, stop: np.ndarray, order: int) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(np.arange(1, len(size) + 1) * order, size)
 
 
-def _count(order: int, hold: int = 1 << 20):
+def _count(order: int, hold: int = 1 << 21):
     """Keys and words of training texts; of rows whose second column (held_out) is true, keys alone."""
 
     def flush(kind: int, parts: list):
@@ -108,29 +111,28 @@ def _count(order: int, hold: int = 1 << 20):
 
 
 class Trie:
-    """The model. levels: for each order, keys of edges (context and symbol, the symbol lowest), their counts, their contexts' totals."""
+    """The model. levels: for each order, keys of edges (context and symbol, the symbol lowest) and their counts."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.edges, self.nodes = [], []
-        logn, kept, seen, lost, at = [], [], [], [], []
-        for key, n, total in levels:
+        logn, kept, seen, at = [], [], [], []
+        for key, n in levels:
             order = np.argsort(key)
-            key, n, total = key[order], n[order].astype(float), total[order].astype(float)
-            ctx, where, each, count = np.unique(key >> np.uint64(8), return_index=True, return_inverse=True, return_counts=True)
+            key, n = key[order], n[order].astype(float)
+            ctx, each, count = np.unique(key >> np.uint64(8), return_inverse=True, return_counts=True)
             self.edges.append(Table(key))
             self.nodes.append(Table(ctx))
             logn.append(n)
             kept.append(np.bincount(each, n, len(ctx)))
             seen.append(count.astype(float))
-            lost.append(np.maximum(total[where] - kept[-1], 0) if len(where) else np.zeros(0))
             at.append((key, each, ctx))
         self.log, self.direct, self.escape, self.less, self.pass_on = [], [], [], [], []
         for d, (key, each, ctx) in enumerate(at):
-            whole = kept[d] + lost[d] + seen[d]
+            whole = kept[d] + seen[d]
             n = logn[d]
             self.log.append(np.log10(n).astype(np.float32))
             self.direct.append(np.log10(n / whole[each]).astype(np.float32) if len(n) else np.zeros(0, np.float32))
-            self.escape.append(np.log10((lost[d] + seen[d]) / whole).astype(np.float32))
+            self.escape.append(np.log10(seen[d] / whole).astype(np.float32))
             if d == 0:
                 free = max(1, 256 - len(key))
                 self.less.append(np.full(len(ctx), np.log10(free), np.float32))
@@ -141,7 +143,7 @@ class Trie:
             same = self.edges[d - 1].find(key & np.uint64((1 << 8 * d) - 1))
             shared = np.bincount(each, logn[d - 1][same], len(ctx)) if len(key) else np.zeros(0)
             rest = np.maximum(kept[d - 1][up] - shared, 0)
-            new = lost[d - 1][up] + seen[d - 1][up] - seen[d]
+            new = seen[d - 1][up] - seen[d]
             new = np.where(rest > 0, new, 1.0)
             rest = np.where(seen[d - 1][up] > seen[d], rest, 0.0)
             new = np.where(rest > 0, new, 1.0)
@@ -185,30 +187,10 @@ class Trie:
         return out
 
 
-def train(counts: DataFrame, order: int, nodes: int) -> Trie:
-    """counts: (kind, key, n) of all training texts. At most (order + 1) * nodes rows come to the driver."""
-    grams = counts.where(F.col("kind") == GRAM)
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // nodes))
-    masks = F.array(*[F.struct(F.lit(d).alias("d"), F.lit((1 << 8 * (d + 1)) - 1).cast("long").alias("mask")) for d in range(order + 1)])
-    edges = (
-        grams.select("key", "n", F.explode(masks).alias("m"))
-        .groupBy(F.col("m.d").alias("d"), F.col("key").bitwiseAND(F.col("m.mask")).alias("key"))
-        .agg(F.sum("n").alias("n"))
-        .withColumn("ctx", F.shiftright("key", 8))
-    )
-    totals = edges.groupBy("d", "ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-    kept = edges.where(F.col("n") >= least).join(totals, ["d", "ctx"]).select("d", "key", "n", "total").toArrow()
-    d, key, n, all_ = (kept.column(i).to_numpy() for i in range(4))
-    return Trie([(key[d == i].astype(np.uint64), n[d == i], all_[d == i]) for i in range(order + 1)])
-
-
-def _level(key: np.ndarray, n: np.ndarray, d: int):
-    """Edges of order d, their counts and their contexts' totals, from keys of longer contexts."""
+def _level(key: np.ndarray, n: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of order d and their counts, from keys of longer contexts."""
     edge, at = np.unique(key & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
-    n = np.bincount(at, n, len(edge))
-    _, of = np.unique(edge >> np.uint64(8), return_inverse=True)
-    return edge, n, np.bincount(of, n)[of] if len(edge) else n
+    return edge, np.bincount(at, n, len(edge))
 
 
 def _model(order: int, low):
@@ -217,7 +199,7 @@ def _model(order: int, low):
     def solve(parts):
         kind, key, n = (np.concatenate(x) for x in zip(*parts))
         mine = kind == GRAM
-        upper = [_level(key[mine], n[mine], d) for d in range(2, order + 1)]
+        upper = [_level(key[mine], n[mine], d) for d in range(min(order, SHARED) + 1, order + 1)]
         keys, at = np.unique(key, return_inverse=True)
         logp = Trie([*low.value, *upper]).score(keys)
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, n, len(keys)).astype(np.int64)), pa.array(logp)], ["key", "n", "logp"])
@@ -246,11 +228,11 @@ def _model(order: int, low):
 def model(counts: DataFrame, order: int) -> DataFrame:
     """(key, n, logp) for each key of all texts, n its positions; written out."""
     grams = counts.where(F.col("kind") != WORD)
-    two = F.lit((1 << 8 * (min(order, 1) + 1)) - 1).cast("long")
-    got = grams.where(F.col("kind") == GRAM).groupBy(F.col("key").bitwiseAND(two).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    mask = F.lit((1 << 8 * (SHARED + 1)) - 1).cast("long")
+    got = grams.where(F.col("kind") == GRAM).groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     key, n = got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy()
-    low = counts.sparkSession.sparkContext.broadcast([_level(key, n, d) for d in range(min(order, 1) + 1)])
-    group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    low = counts.sparkSession.sparkContext.broadcast([_level(key, n, d) for d in range(min(order, SHARED) + 1)])
+    group = F.shiftright("key", 8).bitwiseAND(mask)
     rows = grams.select("kind", "key", "n", group.alias("group")).repartition("group").sortWithinPartitions("group")
     return stored(rows.mapInArrow(_model(order, low), "key long, n long, logp double"))
 
