@@ -32,11 +32,12 @@ from .common import NO_ID, NOT_SPACE, gram_hashes, mix, raw, rows_left, slices,
 WINDOW = 20
 GROUP_ROWS = 2000  #: anchors in one suffix group
 _ROW = np.uint64(0xD1342543DE82EF95)
-SALTS = 16
 CHUNK = 20_000  #: contexts that a subtree task sorts at once, groups kept whole
 
-_KEY = f"coalesce(cast(doc_id as bigint), {NO_ID}) as k"
-_TEXT = "cast(text as string) as text"
+_KEY = f"coalesce(cast(doc_id as bigint), {NO_ID})"
+_TEXT = "cast(text as string)"
+#: A document is told by `d`, so that rows without an id don't meet in one place; th guards against collisions of d.
+_ROWS = [f"xxhash64({_KEY}, xxhash64({_TEXT})) as d", f"{_KEY} as k", f"xxhash64({_TEXT}) as th", f"{_TEXT} as text"]
 
 
 def _runs(buf: np.ndarray, off: np.ndarray, window: int):
@@ -74,13 +75,13 @@ def _anchors(window: int):
                 new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1])
                 at = np.flatnonzero(new)
                 times = np.diff(np.append(at, len(d))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(ids[lo:hi][d[at]]), pa.array(times)], ["anchor", "k", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(ids[lo:hi][d[at]]), pa.array(times)], ["anchor", "d", "times"])
 
     return run
 
 
 def _suffixes(window: int):
-    """For each run whose anchor repeats: its context (the words that its windows cover), under its anchor or, in a large group, its own hash."""
+    """For each run whose anchor repeats: its context (the words that its windows cover), under its anchor or, in a large group, its own hash; salts: parts of a large group, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,18 +98,18 @@ def _suffixes(window: int):
                 mine = mix(anchor + doc.astype(np.uint64) * _ROW)
                 place = np.minimum(np.searchsorted(known[order], mine), max(len(known) - 1, 0))
                 own = np.flatnonzero(known[order][place] == mine) if len(known) else np.zeros(0, np.int64)
-                large = sizes[at[lo] : at[hi]][order[place[own]]] if len(own) else np.zeros(0, np.int32)
+                salts = sizes[at[lo] : at[hi]][order[place[own]]] if len(own) else np.zeros(0, np.int64)
                 sym = (h >> np.uint64(32)).astype(">u4")
                 symbols = sym.tobytes()
                 rel = (w0 - first[doc])[own]
-                whole = large == 1
+                whole = salts > 0
                 ctx = [symbols[4 * a : 4 * (z + window)] for a, z in zip(w0[own].tolist(), w1[own].tolist())]
                 key = np.where(whole, span_hashes(h, w0[own], w1[own] + window), anchor[own])
                 other = span_hashes(mix(h + np.uint64(77)), w0[own], w1[own] + window)
                 who = doc[own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(ids[lo:hi][who]), pa.array(prints[lo:hi][who]), pa.array(rel.astype(np.int32)), pa.array(ctx, pa.binary()), pa.array(whole)],
-                    ["key", "other", "k", "th", "start", "ctx", "whole"],
+                    [pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(ids[lo:hi][who]), pa.array(prints[lo:hi][who]), pa.array(rel.astype(np.int32)), pa.array(ctx, pa.binary()), pa.array(salts.astype(np.int64))],
+                    ["key", "other", "k", "th", "start", "ctx", "salts"],
                 )
 
     return run
@@ -136,8 +137,8 @@ def _windows(window: int):
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(np.cumsum(size) - size, count) + within
             one, two = gram_hashes(mix(sym + np.uint64(1)), window)[at], gram_hashes(mix(sym + np.uint64(99)), window)[at]
-            k, th, start = (b.column(i).to_numpy() for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(k[row]), pa.array(th[row]), pa.array((start[row] + within).astype(np.int32))], ["key", "other", "k", "th", "start"])
+            k, th, start, salts = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(k[row]), pa.array(th[row]), pa.array((start[row] + within).astype(np.int32)), pa.array(salts[row])], ["key", "other", "k", "th", "start", "salts"])
 
     return run
 
@@ -201,50 +202,52 @@ def _subtrees(window: int):
 
 
 def _later(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leaves: (key, other, k, start, ..) of nodes at full depth. Those that are not their node's first, and the firsts.
+    """leaves: (key, other, k, start, salts, ..) of nodes at full depth. Those that are not their node's first, and the firsts.
 
-    A node's leaves may be a third of all rows: they are salted, each salt has a minimum, and a node the least of those.
+    A node's leaves may be a third of all rows: they are salted, by as many salts as its group has times `group_rows`, each
+    salt has a minimum, and a node the least of those.
     One exchange serves the minima and the join; that all columns are read on both ways keeps it one.
     """
     every = F.max(F.xxhash64(*leaves.columns)).alias("every")
-    salted = leaves.where("key is not null and other is not null and k is not null and start is not null").withColumn("salt", F.pmod(F.xxhash64("k", "start"), F.lit(SALTS))).repartition("key", "other", "salt")
+    salted = leaves.where("key is not null and other is not null and k is not null and start is not null").withColumn("salt", F.pmod(F.xxhash64("k", "start"), F.col("salts"))).repartition("key", "other", "salt")
     parts = salted.groupBy("key", "other", "salt").agg(F.min(F.struct("k", "start")).alias("least"), every).where("every is not null")
     firsts = parts.groupBy("key", "other").agg(F.min("least").alias("first"))
-    firsts = parts.select("key", "other", "salt").join(firsts, ["key", "other"])  # SALTS rows a node at most
+    firsts = parts.select("key", "other", "salt").join(firsts, ["key", "other"])  # a row for each salt
     marked = salted.join(firsts, ["key", "other", "salt"])
     return marked.where(F.struct("k", "start") > F.col("first")), marked.where(F.struct("k", "start") == F.col("first"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(k, own, spans array<struct<th,start,size>>) for each id that has the first copy of a text.
+    """(k, th, spans array<struct<th,start,size>>) for each document that has the first copy of its text; all others repeat one from end to end.
 
-    k is doc_id (NO_ID for null); own are the md5 of its texts that are first copies: every other text under it repeats one
-    from end to end; spans are the repeated word spans of own texts (th: the text's xxhash64; start counts words from 0).
+    k is doc_id (NO_ID for null), th the text's xxhash64; spans are its repeated word spans (start counts words from 0).
     """
-    return _spans(docs.selectExpr(_KEY, _TEXT), window, group_rows)
+    rows = docs.selectExpr(*_ROWS)
+    return rows.select("d", "k", "th").distinct().join(_spans(rows, window, group_rows), "d").drop("d")
 
 
 def _spans(rows: DataFrame, window: int, group_rows: int) -> DataFrame:
-    """rows: (k, text, ..). Columns beyond these are passed along unused, so that all reads of the texts share one exchange."""
-    more = rows.columns[2:]
-    copies = rows.select("k", F.md5("text").alias("md5")).where("md5 is not null").groupBy("md5").agg(F.min("k").alias("k"))
-    own = copies.groupBy("k").agg(F.collect_set("md5").alias("own"))
-    firsts = rows.join(own, "k").where(F.array_contains("own", F.coalesce(F.md5("text"), F.lit("")))).select("k", "text", *more)
+    """(d, own, spans) of documents that have the first copy. rows: (d, k, th, text, ..); columns beyond these are passed along unused, so that all reads of the texts share one exchange."""
+    more = rows.columns[4:]
+    copies = rows.select("k", "d", F.md5("text").alias("md5")).where("md5 is not null").groupBy("md5").agg(F.min(F.struct("k", "d")).alias("first"))
+    own = copies.select("first.d").distinct().withColumn("own", F.lit(True))
+    firsts = rows.join(own, "d").select("d", "text", "k", "th", *more)
     # one exchange by anchor serves the counts and the join with them, as both read all of its columns; none is ever null,
     # but said so before it, no branch puts a check of its own below it
-    anchors = firsts.mapInArrow(_anchors(window), "anchor long, k long, times int").where("anchor is not null and k is not null and times is not null").repartition("anchor")
-    counts = anchors.groupBy("anchor").agg(F.sum("times").alias("n"), F.max("k").alias("last")).where("n > 1")
-    large = F.when(F.greatest("n", "times") > group_rows, 1).otherwise(0).alias("large")
-    runs = anchors.join(counts, "anchor").where("coalesce(k, 0) <= coalesce(last, 0)").groupBy("k").agg(F.collect_set(F.struct("anchor", large)).alias("runs"))
-    chosen = rows.join(runs, "k").select("k", "text", F.xxhash64("text").alias("th"), "runs", *more)
-    suffixes = chosen.mapInArrow(_suffixes(window), "key long, other long, k long, th long, start int, ctx binary, whole boolean")
-    grouped = suffixes.where("not whole").select("key", "k", "th", "start", "ctx")
+    anchors = firsts.mapInArrow(_anchors(window), "anchor long, d long, times int").where("anchor is not null and d is not null and times is not null").repartition("anchor")
+    counts = anchors.groupBy("anchor").agg(F.sum("times").alias("n"), F.max("d").alias("last")).where("n > 1")
+    salts = F.when(F.col("n") > group_rows, F.ceil(F.col("n") / group_rows)).otherwise(0).cast("long").alias("salts")
+    runs = anchors.join(counts, "anchor").where("coalesce(d, 0) <= coalesce(last, 0) and times <= n").groupBy("d").agg(F.collect_set(F.struct("anchor", salts)).alias("runs"))
+    chosen = rows.join(runs, "d").select("k", "text", "th", "runs", "d", *more)
+    suffixes = chosen.mapInArrow(_suffixes(window), "key long, other long, k long, th long, start int, ctx binary, salts long")
+    grouped = suffixes.where("salts = 0").select("key", "k", "th", "start", "ctx")
     spans = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), "k long, th long, start int, size int")
-    later, first = _later(suffixes.where("whole").select("key", "other", "k", "th", "start", "ctx"))
+    later, first = _later(suffixes.where("salts > 0").select("key", "other", "k", "th", "start", "ctx", "salts"))
     spans = spans.unionByName(later.select("k", "th", "start", F.expr("cast(octet_length(ctx) / 4 as int)").alias("size")))
-    each = first.select("k", "th", "start", "ctx").mapInArrow(_windows(window), "key long, other long, k long, th long, start int")
+    each = first.select("k", "th", "start", "ctx", "salts").mapInArrow(_windows(window), "key long, other long, k long, th long, start int, salts long")
     spans = spans.unionByName(_later(each)[0].select("k", "th", "start", F.lit(window).alias("size")))
-    return own.join(spans.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("th", "start", "size"))).alias("spans")), "k", "left")
+    spans = spans.groupBy(F.xxhash64("k", "th").alias("d")).agg(F.sort_array(F.collect_list(F.struct("th", "start", "size"))).alias("spans"))
+    return own.join(spans, "d", "left")
 
 
 def _strip(window: int):
@@ -279,10 +282,10 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP
     """columns of docs (doc_id if None), kept_text (the kept words, joined by one space), n_words, n_removed."""
     columns = ["doc_id"] if columns is None else columns
     more = [c for c in columns if c != "doc_id"]  # doc_id comes back from k, so the rows are the same for every read
-    rows = docs.select(F.expr(_KEY), F.expr(_TEXT), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(more)])
-    joined = rows.join(_spans(rows, window, group_rows), "k", "left")
-    copy = ~F.coalesce(F.array_contains("own", F.md5("text")), F.lit(False))
-    joined = joined.select("text", F.xxhash64("text").alias("th"), "spans", copy.alias("copy"), F.expr(f"nullif(k, {NO_ID})").alias("_id"), *[f"_c{i}" for i in range(len(more))])
+    rows = docs.select(*map(F.expr, _ROWS), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(more)])
+    joined = rows.join(_spans(rows, window, group_rows), "d", "left")
+    copy = F.col("text").isNotNull() & F.col("own").isNull()
+    joined = joined.select("text", "th", "spans", copy.alias("copy"), F.expr(f"nullif(k, {NO_ID})").alias("_id"), *[f"_c{i}" for i in range(len(more))])
     kinds = ["_id long", *[f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(more)]]
     out = joined.mapInArrow(_strip(window), ", ".join([*kinds, "kept_text string", "n_words long", "n_removed long"]))
     names = {"doc_id": "_id"} | {c: f"_c{i}" for i, c in enumerate(more)}
