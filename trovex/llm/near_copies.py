@@ -4,8 +4,9 @@ A text is the set of its runs of `size` words, lower-cased. Texts of equal sets
 ROWS min-hashes each; nodes that share a key are a candidate pair, which is linked if its exact similarity reaches
 the bound. At 0.8 a pair shares no key with probability (1 - 0.8**4)**16, about 0.0002.
 
-Buckets with few members are paired one with another. In larger ones (near copies by the thousand) each member meets the
-bucket's least member, and the least of those that share one more key with it, so pairs stay linear in the members.
+Buckets with few members are paired one with another. In larger ones (near copies by the thousand) each member meets a
+centre of the bucket, and a centre of those that share its next key too, so pairs stay linear in the members. Each bucket
+draws its centre anew (the member of least hash with the bucket's key), so a member meets up to 2 * BANDS different ones.
 
 Edge cases: a text of fewer words is one run; null and empty texts are one class; repeated rows share a class; an empty
 table gives no rows; other columns are ignored.
@@ -94,18 +95,20 @@ def _within(bitmap):
 
 def candidates(nodes: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
     """(a, b) with a < b: pairs that share a band. nodes: distinct (node, n, bands)."""
-    band = F.xxhash64("band", "key").alias("key")
-    keys = nodes.where("n > 0").select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", band)
+    after = F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1)
+    keys = nodes.where("n > 0").select("node", "n", "bands", F.posexplode("bands").alias("band", "key"))
+    keys = keys.select("node", "n", F.xxhash64("band", "key").alias("key"), after.alias("after"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = checkpoint(keys.join(sizes, "key"))
     few, many = shared.where(F.col("members") <= small), shared.where(F.col("members") > small)
     one, two = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    parts = [one.join(two, "key")]
-    others = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", band.alias("other"))
-    within = many.join(others, "node").select("node", "n", F.when(F.col("key") != F.col("other"), F.xxhash64("key", "other")).otherwise(F.col("key")).alias("key"))
-    least = within.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    parts.append(within.join(least, "key").select(F.col("least.node").alias("a"), F.col("least.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b")))
-    out = [p.select("a", "b", "n_a", "n_b").where("a < b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b") for p in parts]
+    parts = [one.join(two, "key").where("a < b")]
+    within = many.select("node", "n", F.explode(F.array("key", F.xxhash64("key", "after"))).alias("key"))
+    centres = within.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
+    met = within.join(centres.select("key", "c"), "key").where("node <> c.node")
+    low = F.col("node") < F.col("c.node")
+    parts.append(met.select(*(F.when(low, x).otherwise(y).alias(z) for x, y, z in ((F.col("node"), F.col("c.node"), "a"), (F.col("c.node"), F.col("node"), "b"), (F.col("n"), F.col("c.n"), "n_a"), (F.col("c.n"), F.col("n"), "n_b")))))
+    out = [p.select("a", "b", "n_a", "n_b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b") for p in parts]
     return out[0].unionByName(out[1]).distinct()
 
 
