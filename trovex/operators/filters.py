@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .projections import TOKEN, nfd
+from .projections import LANGS, TOKEN, nfd
 
 
 def filter_trainable(groups: DataFrame, min_pos: int = 1, min_neg: int = 1) -> DataFrame:
@@ -73,9 +73,6 @@ def prune_shards(df: DataFrame, ids: str | None, max_shards: int) -> DataFrame:
     return df.where(F.col("shard").isin(parse_shards(ids, max_shards)))
 
 
-LANGS = ("de", "en", "es", "fr", "it", "ja", "nl", "po", "pt", "zh_chs", "other")
-
-
 def filter_lang(corpus: DataFrame, langs: list[str]) -> DataFrame:
     if bad := set(langs) - set(LANGS):
         raise ValueError(f"unknown languages: {sorted(bad)}")

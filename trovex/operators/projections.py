@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-DOCID = r"^clueweb22-([a-z]+)(\d{2})(\d{2})-(\d{2})-(\d{5})$"
+#: Languages of web documents: fixed values.
+LANGS = ("de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "zh_chs", "other")
+DOCID = rf"^clueweb22-({'|'.join(LANGS)})([0-9]{{2}})([0-9]{{2}})-([0-9]{{2}})-([0-9]{{5}})$"
 
 
 def _strip(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..model import scratch, table
@@ -51,22 +52,29 @@ def src4_read_qrels4(spark, sf):
 
 @query(fx.sql("qrels", " SELECT qid, arg_max(docid, substring(docid, 2)::BIGINT) AS docid, arg_max(rel, substring(docid, 2)::BIGINT) AS rel FROM qrels GROUP BY qid"))
 def src4b_read_qrels4_last(spark, sf):
-    q = fx.qrels(spark, sf)
-    return readers.read_qrels4(spark, _text(spark, _lines(q, "qid", F.lit("0"), "docid", F.col("rel").cast("string"), F.substring("docid", 2, 12), sep=" "), "qrels4"), last_wins=True)
+    q = fx.qrels(spark, sf).repartition("qid").sortWithinPartitions("qid", F.expr("cast(substring(docid, 2) as bigint)"))
+    return readers.read_qrels4(spark, _text(spark, _lines(q, "qid", F.lit("0"), "docid", F.col("rel").cast("string"), sep=" "), "qrels4"), last_wins=True)
 
 
-@query(fx.sql("run", " SELECT qid, docid, score FROM run"))
+@query(fx.sql("run", " SELECT qid, docid, score, rank::INT AS place FROM run"))
 def src5_read_run(spark, sf):
+    """Each query's lines stand in order of rank, so their places among its line numbers are their ranks."""
     s = F.col("score").cast("string")
     forms = [F.concat_ws("\t", "qid", "docid", s), F.concat_ws(" ", "qid", "docid", F.lit("0"), s), F.concat_ws(" ", "qid", F.lit("Q0"), "docid", F.col("rank").cast("string"), s, F.lit("tag"))]
     n = F.col("rank") % 3
-    rows = fx.run(spark, sf).select(F.when(n == 0, forms[0]).when(n == 1, forms[1]).otherwise(forms[2]).alias("value"))
-    return readers.read_run(spark, _text(spark, rows, "run"))
+    rows = _in_order(fx.run(spark, sf)).select(F.when(n == 0, forms[0]).when(n == 1, forms[1]).otherwise(forms[2]).alias("value"))
+    back = readers.read_run(spark, _text(spark, rows, "run"))
+    return back.select("qid", "docid", "score", F.row_number().over(Window.partitionBy("qid").orderBy("line_no")).alias("place"))
+
+
+def _in_order(run):
+    """A query's rows in one file, by rank."""
+    return run.repartition("qid").sortWithinPartitions("qid", "rank")
 
 
 @query(fx.sql("run", " SELECT qid, docid, rank::INT AS rank FROM run"))
 def src6_read_anns_truth(spark, sf):
-    return readers.read_anns_truth(spark, _text(spark, _lines(fx.run(spark, sf), "qid", "docid", F.col("rank").cast("string")), "truth"))
+    return readers.read_anns_truth(spark, _text(spark, _lines(_in_order(fx.run(spark, sf)), "qid", "docid"), "truth"))
 
 
 @query(fx.sql("vp", " SELECT vec_id AS row_idx, round(list_sum(embedding), 4) AS total FROM vp WHERE vec_id BETWEEN 100 AND 349"))
@@ -147,8 +155,9 @@ def src13_read_items(spark, sf):
 def src14_read_url_map(spark, sf):
     path = scratch(spark, "urls")
     p = table(spark, sf, "pages")
-    early = p.select(F.lit("d-1").alias("docid"), "url", F.lit(-1).cast("long").alias("line_no"))
-    early.unionByName(p.select(F.expr("concat('d', page_id)").alias("docid"), "url", F.col("page_id").alias("line_no"))).write.csv(path)
+    early = p.select(F.lit("d-1").alias("docid"), "url", F.lit(-1).cast("long").alias("n"))
+    rows = early.unionByName(p.select(F.expr("concat('d', page_id)").alias("docid"), "url", F.col("page_id").alias("n")))
+    rows.repartition("url").sortWithinPartitions("n").select("docid", "url").write.csv(path)
     return readers.read_url_map(spark, path)
 
 
@@ -188,7 +197,7 @@ def src17_read_access_keys(spark, sf):
 def snk1_write_run(spark, sf):
     path = scratch(spark, "run")
     writers.write_run(fx.run(spark, sf), path)
-    return readers.read_run(spark, path)
+    return readers.read_run(spark, path).drop("line_no")
 
 
 @query(fx.sql("run", " SELECT qid, docid, rank::BIGINT AS rank FROM run"))

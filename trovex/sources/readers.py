@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
@@ -23,8 +23,16 @@ def read_queries(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     return rows.select(_trim("query_id").alias("query_id"), _trim("query").alias("query"))
 
 
+def _place() -> list[Column]:
+    """The row's file, and a number that grows along it: where the row's part of the file begins, and its place in the task that reads it."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return [F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + within).alias("line_no")]
+
+
 def _fields(spark: SparkSession, path: str, pattern: str = r"\s+") -> DataFrame:
-    return spark.read.text(path).select("value", F.split(_trim("value"), pattern).alias("f")).where("value <> ''")
+    """(f, file, line_no) of lines that aren't blank."""
+    rows = spark.read.text(path).select("value", *_place())
+    return rows.where(F.trim("value") != "").select(F.split(_trim("value"), pattern).alias("f"), "file", "line_no")
 
 
 def read_qrels2(spark: SparkSession, path: str) -> DataFrame:
@@ -33,27 +41,27 @@ def read_qrels2(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(_trim(F.col("f")[0]).alias("qid"), _trim(F.col("f")[1]).alias("docid")).distinct()
 
 
-def read_qrels4(spark: SparkSession, path: str, last_wins: bool = False, line_no: str = "line_no") -> DataFrame:
-    """(qid, docid, rel). last_wins keeps the last line of each query (by its line number column, the file's fifth); else all with rel 1."""
+def read_qrels4(spark: SparkSession, path: str, last_wins: bool = False) -> DataFrame:
+    """(qid, docid, rel) from lines `qid _ docid rel`. last_wins keeps the last line of each query, in order of files and lines; else all with rel 1."""
     f = F.col("f")
-    rows = _fields(spark, path).where(F.size("f") >= 4).select(f[0].alias("qid"), f[2].alias("docid"), f[3].cast("int").alias("rel"), F.get(f, F.lit(4)).cast("long").alias(line_no))
+    rows = _fields(spark, path).where(F.size("f") >= 4).select(f[0].alias("qid"), f[2].alias("docid"), f[3].cast("int").alias("rel"), "file", "line_no")
     if last_wins:
-        return rows.groupBy("qid").agg(F.max_by(F.struct("docid", "rel"), line_no).alias("x")).select("qid", "x.docid", "x.rel")
+        return rows.groupBy("qid").agg(F.max_by(F.struct("docid", "rel"), F.struct("file", "line_no")).alias("x")).select("qid", "x.docid", "x.rel")
     return rows.where("rel = 1").select("qid", "docid", "rel")
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, docid, score) from lines of 3 fields (qid docid score), 4 (qid docid _ score) or 6 (TREC); others go."""
+    """(qid, docid, score, line_no) from lines of 3 fields (qid docid score), 4 (qid docid _ score) or 6 (TREC); others go. line_no grows along a file."""
     f, n = F.col("f"), F.size("f")
     score = F.when(n == 3, F.get(f, F.lit(2))).when(n == 4, F.get(f, F.lit(3))).when(n == 6, F.get(f, F.lit(4)))
     docid = F.when(n == 6, F.get(f, F.lit(2))).otherwise(F.get(f, F.lit(1)))
-    return _fields(spark, path).where(n.isin(3, 4, 6)).select(f[0].alias("qid"), docid.alias("docid"), score.cast("double").alias("score"))
+    return _fields(spark, path).where(n.isin(3, 4, 6)).select(f[0].alias("qid"), docid.alias("docid"), score.cast("double").alias("score"), "line_no")
 
 
 def read_anns_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, docid, rank); a third field, where there is one, is the rank, since a file's order is not kept by readers."""
-    f = F.col("f")
-    return _fields(spark, path).where(F.size("f") >= 3).select(f[0].alias("qid"), f[1].alias("docid"), f[2].cast("int").alias("rank"))
+    """(qid, docid, rank) from lines `qid TAB docid`; rank is the line's place among its query's, in order of files and lines."""
+    rows = _fields(spark, path, "\t").where(F.size("f") >= 2).select(_trim(F.col("f")[0]).alias("qid"), _trim(F.col("f")[1]).alias("docid"), "file", "line_no")
+    return rows.select("qid", "docid", F.row_number().over(Window.partitionBy("qid").orderBy("file", "line_no")).alias("rank"))
 
 
 def read_embedding_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -90,9 +98,9 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_url_map(spark: SparkSession, path: str) -> DataFrame:
-    """(url, docid); the largest line number of a URL wins. Lines: doc_id,url[,line_no]."""
-    rows = spark.read.schema("docid string, url string, line_no long").csv(path)
-    return rows.groupBy("url").agg(F.max_by("docid", F.coalesce("line_no", F.lit(0))).alias("docid"))
+    """(url, docid) from lines `doc_id,url`; of a URL's lines the last wins, in order of files and lines."""
+    rows = spark.read.schema("docid string, url string").csv(path).select("docid", "url", *_place())
+    return rows.groupBy("url").agg(F.max_by("docid", F.struct("file", "line_no")).alias("docid"))
 
 
 def read_negatives(spark: SparkSession, path: str) -> DataFrame:
