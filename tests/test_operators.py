@@ -79,7 +79,60 @@ def test_fewer_negatives_than_asked_are_drawn_again(spark):
 
 def test_run_lines_of_other_lengths_go(spark, tmp_path):
     (tmp_path / "run.txt").write_text("q1 d1 0.5\nq1 Q0 d2 1 0.25 tag\nq1 d3 _ 0.125\nq1 d4\n\nq1 a b c d\n")
-    assert rows(readers.read_run(spark, str(tmp_path))) == [("q1", "d1", 0.5), ("q1", "d2", 0.25), ("q1", "d3", 0.125)]
+    assert rows(readers.read_run(spark, str(tmp_path)).drop("line_no")) == [("q1", "d1", 0.5), ("q1", "d2", 0.25), ("q1", "d3", 0.125)]
+
+
+def test_files_as_others_write_them(spark, tmp_path):
+    """Two-field truth in file order, four-field judgements and URL maps whose last line wins, over splits of one file."""
+    for name, text in {
+        "truth": "q2\td9\nq1\td3\nq2\td1\n\nq1\td7\nq1\td2\n",
+        "qrels": "q1 0 d1 1\nq2 0 d5 0\nq1 0 d2 0\nq2 0 d4 1\n",
+        "urls": "d1,http://a\nd2,http://b\nd3,http://a\n",
+    }.items():
+        (tmp_path / f"{name}.tsv").write_text(text)
+    at = lambda name: str(tmp_path / f"{name}.tsv")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for limit in (size, "16"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        try:
+            assert rows(readers.read_anns_truth(spark, at("truth"))) == [("q1", "d2", 3), ("q1", "d3", 1), ("q1", "d7", 2), ("q2", "d1", 2), ("q2", "d9", 1)]
+            assert rows(readers.read_qrels4(spark, at("qrels"), last_wins=True)) == [("q1", "d2", 0), ("q2", "d4", 1)]
+            assert rows(readers.read_qrels4(spark, at("qrels"))) == [("q1", "d1", 1), ("q2", "d4", 1)]
+            assert rows(readers.read_url_map(spark, at("urls"))) == [("http://a", "d3"), ("http://b", "d2")]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_all_languages_of_web_ids(spark):
+    langs = ["de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "zh_chs", "other"]
+    df = spark.createDataFrame([(f"clueweb22-{x}0102-03-00004", x) for x in langs] + [("clueweb22-xx0102-03-00004", "xx")], "docid string, lang string")
+    got = projections.parse_docid(df).collect()
+    assert sorted(r.lang for r in got) == sorted(langs)
+    assert {r.path for r in got if r.lang == "zh_chs"} == {"zh_chs/zh_chs01/zh_chs0102/zh_chs0102-03.json.gz"}
+    assert filters.filter_lang(df, langs).count() == 11
+    with pytest.raises(ValueError):
+        filters.filter_lang(df, ["po"])
+
+
+def test_patterns_of_each_row(spark):
+    df = spark.createDataFrame([(1, "A\nThe end", ["^the"]), (2, "The end", ["(", "x"]), (3, None, ["a"]), (4, "b", None), (5, "b", [None, "B"])], "id int, text string, answers array<string>")
+    assert rows(filters.has_answer_regex(df).select("id", "hit")) == [(1, True), (2, False), (3, False), (4, False), (5, True)]
+
+
+def test_percentiles_of_few_and_equal_values(spark):
+    def stats(values):
+        return {r.stat: r.value for r in E.latency_stats(spark.createDataFrame([(v,) for v in values], "value double")).collect()}
+
+    assert stats([3.0, 1.0, None, 2.0])["p25"] == 1.5 and stats([5.0] * 100)["p95"] == 5.0
+    assert stats([])["p50"] is None and stats([None])["total"] is None
+
+
+def test_nearest_centroid_in_blocks(spark, sf, monkeypatch):
+    v = fx.vectors(spark, sf)
+    c = v.where("vec_id < 5").select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("centroid"))
+    want = rows(E.assign_nearest(v, c))
+    monkeypatch.setattr(search, "MATRIX_BYTES", 64 * 8 * 2)
+    assert rows(E.assign_nearest(v, c)) == want
 
 
 def test_truth_file_of_a_wrong_size_is_an_error(spark, tmp_path):

@@ -6,13 +6,16 @@ judgements as 0, unless said otherwise.
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import dot
+from .layout import dense_index
+from .search import dot, nearest_blocks
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -155,14 +158,25 @@ PERCENTILES = [i * 5 for i in range(21)]
 
 
 def latency_stats(timings: DataFrame, exact: bool = True) -> DataFrame:
-    """(stat, value): total, avg, min, max and 21 percentiles by linear interpolation; approximate ones at scale."""
+    """(stat, value): total, avg, min, max and 21 percentiles of the values that aren't null, by linear interpolation.
+
+    Exact ones are read at their ranks from values sorted by range, so no task sees all of them; else approximate ones.
+    """
     v = F.col("value")
-    points = F.array(*[F.lit(p / 100) for p in PERCENTILES])
-    p = F.percentile(v, points) if exact else F.percentile_approx(v, points)
-    one = timings.agg(F.sum(v).alias("total"), F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max"), p.alias("p"))
-    named = [F.struct(F.lit(s).alias("stat"), F.round(s, 6).alias("value")) for s in ("total", "avg", "min", "max")]
-    named += [F.struct(F.lit(f"p{x}").alias("stat"), F.round(F.col("p")[i], 6).alias("value")) for i, x in enumerate(PERCENTILES)]
-    return one.select(F.inline(F.array(*named)))
+    timings = timings.where(v.isNotNull())
+    fixed = timings.agg(F.sum(v).alias("total"), F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max"), F.count("*").alias("n"), F.percentile_approx(v, [p / 100 for p in PERCENTILES]).alias("p")).first()
+    if not exact or not fixed.n:
+        points = list(fixed.p or [None] * len(PERCENTILES))
+    else:
+        at = [p * (fixed.n - 1) / 100 for p in PERCENTILES]
+        ranks = sorted({f(x) for x in at for f in (floor, ceil)})
+        # equal values are told apart by a number of their own, so a common one doesn't fall to one task
+        rows = dense_index(timings.select("value", F.monotonically_increasing_id().alias("_id")), ["value", "_id"])
+        found = {r.row: r.value for r in rows.where(F.col("row").isin(ranks)).select("row", "value").collect()}  # two for each percentile at most
+        points = [found[floor(x)] + (x - floor(x)) * (found[ceil(x)] - found[floor(x)]) for x in at]
+    named = [(s, fixed[s]) for s in ("total", "avg", "min", "max")] + [(f"p{p}", x) for p, x in zip(PERCENTILES, points)]
+    out = timings.sparkSession.createDataFrame([(s, None if x is None else float(x)) for s, x in named], "stat string, value double")
+    return out.withColumn("value", F.round("value", 6))
 
 
 def store_stats(lookups: DataFrame) -> DataFrame:
@@ -197,10 +211,19 @@ def cluster_members(assigned: DataFrame) -> DataFrame:
 
 
 def assign_nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Each vector's centroid of largest inner product, ties to the lesser cluster. centroids: (cluster, centroid), small and fixed."""
-    pairs = vectors.select("docid", "embedding").crossJoin(F.broadcast(centroids))
-    best = F.max_by("cluster", F.struct(F.round(dot("embedding", "centroid"), 6), -F.col("cluster")))
-    return pairs.groupBy("docid").agg(best.alias("cluster"))
+    """(docid, cluster): each vector's centroid of largest inner product, ties to the lesser cluster. centroids: (cluster, centroid).
+
+    Vectors stay where they are; centroids are sent to them in blocks of MATRIX_BYTES at most, and blocks meet by docid.
+    """
+    parts = [p.withColumnRenamed("qid", "cluster") for p in nearest_blocks(vectors, centroids.select(F.col("cluster").alias("qid"), F.col("centroid").alias("embedding")))]
+    kind = dict(centroids.dtypes)["cluster"]
+    if len(parts) == 1:
+        return parts[0].select("docid", F.col("cluster").cast(kind).alias("cluster"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    best = F.max_by("cluster", F.struct("score", -F.col("cluster")))
+    return every.groupBy("docid").agg(best.cast(kind).alias("cluster"))
 
 
 def select_k(vectors: DataFrame, ks: list[int], seed: int = 7) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from .projections import LANGS, TOKEN, nfd
 
@@ -39,24 +44,25 @@ def has_answer(cands: DataFrame, normalize: bool = True) -> DataFrame:
     return rows.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_t", "_a")
 
 
-def valid_patterns(patterns: list[str]) -> list[str]:
-    """Patterns that compile; invalid ones match nothing."""
-    out = []
-    for p in patterns:
-        try:
-            re.compile(p)
-            out.append(p)
-        except re.error:
-            continue
-    return out
+@lru_cache(maxsize=4096)
+def _pattern(p: str) -> regex.Pattern | None:
+    """The compiled pattern; None, which matches nothing, for an invalid one."""
+    try:
+        return regex.compile(p, regex.IGNORECASE | regex.MULTILINE)
+    except regex.error:
+        return None
+
+
+@pandas_udf(BooleanType())
+def _any_found(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    # patterns differ from row to row and may be invalid, which the built-in matchers don't allow
+    for texts, patterns in parts:
+        yield pd.Series([t is not None and ps is not None and any(p is not None and (c := _pattern(p)) is not None and c.search(t) is not None for p in ps) for t, ps in zip(texts, patterns)], dtype=bool)
 
 
-def has_answer_regex(cands: DataFrame, patterns: list[str]) -> DataFrame:
-    """hit: some pattern is found, in either case and on any line."""
-    hit = F.lit(False)
-    for p in valid_patterns(patterns):
-        hit = hit | F.col("text").rlike(f"(?im){p}")
-    return cands.withColumn("hit", F.coalesce(hit, F.lit(False)))
+def has_answer_regex(cands: DataFrame) -> DataFrame:
+    """cands: (.., text, answers array). hit: one of the row's answers, as a regular expression, is found, in either case and on any line."""
+    return cands.withColumn("hit", _any_found("text", "answers"))
 
 
 def parse_shards(ids: str | None, max_shards: int) -> list[int]:

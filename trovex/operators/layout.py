@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from .projections import hashed
 
 
-def dense_index(df: DataFrame, key: str, name: str = "row") -> DataFrame:
-    """0, 1, .. in the order of key, without one task for all rows: sorted by range, counted by partition, offset by the counts."""
+def dense_index(df: DataFrame, key: str | list[str], name: str = "row") -> DataFrame:
+    """0, 1, .. in the order of key (a column or several), without one task for all rows: sorted by range, counted by partition, offset by the counts."""
     from ..model import stored
 
-    parts = stored(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()), "index")
+    key = [key] if isinstance(key, str) else key
+    parts = stored(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_part", F.spark_partition_id()), "index")
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*key)) - 1
     # one row for each partition
     return parts.withColumn(name, own).join(F.broadcast(before), "_part").withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_before")
 

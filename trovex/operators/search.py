@@ -116,6 +116,30 @@ def _blocked(q: DataFrame, p: DataFrame, k: int | None, exclude_self: bool = Fal
     return out
 
 
+def nearest_blocks(p: DataFrame, q: DataFrame) -> list[DataFrame]:
+    """(docid, qid, score) for each row of p, once for each block of q (qid number, embedding): the qid of largest score, of several the least."""
+    width, n = q.agg(F.max(F.size("embedding")), F.count("*")).first()
+    passes = max(1, -(-n * (width or 1) * 8 // MATRIX_BYTES))
+    out = []
+    for i in range(passes):
+        rows = q.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).select(F.col("qid").cast("long"), "embedding").orderBy("qid").toArrow()
+        if passes > 1 and not rows.num_rows:
+            continue
+        matrix = np.array(rows.column(1).to_pylist(), np.float64).reshape(rows.num_rows, width or 1)
+        sent = p.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy(), matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, matrix = sent.value
+            for b in batches:
+                if b.num_rows and len(ids):
+                    s = np.round(_matrix(b.column(1)) @ matrix.T, 6)
+                    at = s.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[at]), pa.array(s[np.arange(len(at)), at])], ["docid", "qid", "score"])
+
+        out.append(p.select("docid", "embedding").mapInArrow(run, "docid string, qid long, score double"))
+    return out
+
+
 def _batch(ids, q, g, doc, score, kind, group) -> pa.RecordBatch:
     columns, names = [pa.array(ids[q], pa.string()), pa.array(doc.tolist(), pa.string()), pa.array(score)], ["qid", "docid", "score"]
     if group:

@@ -89,7 +89,7 @@ def src7_read_vectors(spark, sf):
 def src8_read_truth_bin(spark, sf):
     path = scratch(spark, "truth")
     r = fx.run(spark, sf).where("rank <= 10").select(F.expr("cast(substring(qid, 2) as int) div 25").cast("int").alias("query_idx"), "rank", F.expr("cast(substring(docid, 2) as int)").alias("doc_idx"), F.col("score").alias("distance"))
-    binary.write_truth_bin(r, path)
+    binary.write_truth_bin(r, path, per_part=8)
     return binary.read_truth_bin(spark, path).withColumn("distance", F.round(F.col("distance").cast("double"), 4))
 
 
@@ -230,7 +230,7 @@ def snk5_write_qrels_bin(spark, sf):
     q = fx.qrels(spark, sf).groupBy("qid").agg(F.min(F.expr("cast(substring(docid, 2) as int)")).alias("v"))
     q = q.select(F.expr("cast(cast(substring(qid, 2) as int) div 25 - 1 as int)").alias("query_idx"), F.expr("concat('d', v)").alias("docid"))
     ids = fx.vectors(spark, sf).select("docid", (F.col("vec_id") + 1).alias("raw_id"))
-    binary.write_qrels_bin(q, ids, path, one_index=True)
+    binary.write_qrels_bin(q, ids, path, one_index=True, per_part=8)
     return binary.read_truth_bin(spark, path, e2e=True).select("query_idx", "rank", "doc_idx")
 
 
@@ -243,12 +243,15 @@ def snk6_write_id_map(spark, sf):
     return spark.read.schema("raw_id int, docid string, shard int").parquet(path).select("shard", F.col("raw_id").cast("long").alias("raw_id"), "docid")
 
 
-@query("SELECT true AS all_small, count(*) AS n FROM documents")
+@query("SELECT doc_id, md5(text) AS text_md5, lang, source, true AS small FROM documents")
 def snk7_write_rotated(spark, sf):
+    """Whole documents come back as they were, and no file has more rows than it may."""
     path = scratch(spark, "rotated")
-    writers.write_rotated(table(spark, sf, "documents").select("doc_id", "lang"), path, 100)
-    per = spark.read.schema("doc_id long").json(path).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"))
-    return per.agg(F.bool_and(F.col("n") <= 100).alias("all_small"), F.sum("n").alias("n"))
+    docs = table(spark, sf, "documents")
+    writers.write_rotated(docs, path, 100)
+    back = spark.read.schema(docs.schema).json(path).select("*", F.col("_metadata.file_path").alias("f"))
+    large = back.groupBy("f").agg(F.count("*").alias("n")).where("n > 100").select("f", F.lit(False).alias("small"))
+    return back.join(large, "f", "left").select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", F.coalesce("small", F.lit(True)).alias("small"))
 
 
 IMPACTS = ", i AS (SELECT docid, token, ceil(weight)::INT AS weight FROM weights)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import table
 from ..operators import joins
+from ..operators.layout import dense_index
 from . import fixtures as fx
 from .registry import query
 
@@ -15,10 +16,9 @@ def _rank(df):
 
 
 def _id_map(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("shard").orderBy("vec_id")
-    return fx.vectors(spark, sf).select("shard", (F.row_number().over(w) - 1).alias("raw_id"), "docid")
+    rows = dense_index(fx.vectors(spark, sf).select("shard", "vec_id", "docid"), ["shard", "vec_id"])
+    first = rows.groupBy("shard").agg(F.min("row").alias("first"))  # one row for each shard
+    return rows.join(F.broadcast(first), "shard").select("shard", (F.col("row") - F.col("first")).cast("int").alias("raw_id"), "docid")
 
 
 @query(fx.sql("run", " SELECT qid, docid, score FROM run"))

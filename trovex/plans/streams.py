@@ -12,10 +12,13 @@ from .registry import query
 from .training import ENCODED
 
 
-def _stream(spark, df, schema, parts=4):
+AT_ONCE = 1 << 30  #: files a batch, where rows of several must not be late for one another
+
+
+def _stream(spark, df, schema, parts=4, per_batch=4):
     path = scratch(spark, "stream")
     df.repartition(parts).write.parquet(path)
-    return jobs.file_stream(spark, path, schema)
+    return jobs.file_stream(spark, path, schema, per_batch)
 
 
 LOG = "id long, ts timestamp, api_key string, search_type string, value double"
@@ -33,13 +36,13 @@ def str1_stream_search_log(spark, sf):
     return spark.read.schema("id long, complexity int").parquet(sink)
 
 
-@query(fx.sql("log", ", w AS (SELECT time_bucket(INTERVAL 60 seconds, ts) AS start, search_type AS component, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS worst FROM log GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 60 seconds <= (SELECT max(ts) - INTERVAL 10 minutes FROM log)"))
+@query(fx.sql("log", ", w AS (SELECT time_bucket(INTERVAL 60 seconds, ts) AS start, search_type AS component, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS worst, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM log GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 60 seconds <= (SELECT max(ts) - INTERVAL 10 minutes FROM log)"))
 def str2_latency_windows(spark, sf):
-    """Closed windows. One file in one batch, so that no row is late."""
+    """Closed windows. All files in one batch, so that no row is late."""
     sink = scratch(spark, "sink")
-    src = _stream(spark, fx.log(spark, sf), LOG, 1).withColumnRenamed("search_type", "component")
+    src = _stream(spark, fx.log(spark, sf), LOG, per_batch=AT_ONCE).withColumnRenamed("search_type", "component")
     jobs.run_append(jobs.latency_windows(src), sink, scratch(spark, "checkpoint"))
-    out = spark.read.schema("start timestamp, component string, n long, mean double, worst double").parquet(sink)
+    out = spark.read.schema("start timestamp, component string, n long, mean double, worst double, p50 double, p95 double").parquet(sink)
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -66,8 +69,24 @@ def str5_incremental_encode(spark, sf):
     return e.select("docid", F.posexplode("embedding").alias("dim", "x")).select("docid", "dim", F.round("x", 6).alias("value")).where("value <> 0")
 
 
-@query(fx.sql("log", ", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY api_key ORDER BY ts) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS new FROM log), s AS (SELECT *, sum(new) OVER (PARTITION BY api_key ORDER BY ts, id) AS s FROM g) SELECT api_key AS session_key, min(ts) AS start, count(*) AS n, min(search_type) AS first_kind FROM s GROUP BY api_key, s"))
+SESSIONS = ", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY api_key ORDER BY ts) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS new FROM log), s AS (SELECT *, sum(new) OVER (PARTITION BY api_key ORDER BY ts, id) AS s FROM g) SELECT api_key AS session_key, min(ts) AS start, count(*) AS n, first(search_type ORDER BY id % 5, search_type) AS original_query, max(id % 5) AS iterations FROM s GROUP BY api_key, s"
+SESSION = "session_key string, start timestamp, n long, original_query string, iterations long"
+
+
+def _requests(log):
+    return log.select("ts", F.col("api_key").alias("session_key"), F.col("search_type").alias("query"), F.expr("id % 5").alias("iteration"))
+
+
+@query(fx.sql("log", SESSIONS))
 def str6_session_trace(spark, sf):
     """The batch form of the job: all sessions, the last ones too."""
-    src = fx.log(spark, sf).select("ts", F.col("api_key").alias("session_key"), F.col("search_type").alias("kind"))
-    return jobs.session_trace(src, late=None).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return jobs.session_trace(_requests(fx.log(spark, sf)), late=None).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(fx.sql("log", SESSIONS + " HAVING max(ts) + INTERVAL 30 minutes <= (SELECT max(ts) - INTERVAL 10 minutes FROM log)"))
+def str6b_session_stream(spark, sf):
+    """The job drained over files: sessions that the watermark has passed."""
+    sink = scratch(spark, "sink")
+    src = _requests(_stream(spark, fx.log(spark, sf), LOG, per_batch=AT_ONCE))
+    jobs.run_append(jobs.session_trace(src), sink, scratch(spark, "checkpoint"))
+    return spark.read.schema(SESSION).parquet(sink).withColumn("start", F.col("start").cast("timestamp_ntz"))

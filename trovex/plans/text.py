@@ -173,14 +173,17 @@ def flt3_has_answer(spark, sf):
     return filters.has_answer(fx.candidates(spark, sf)).select("qid", "docid", "hit")
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '(?im)^the [a-z]+ing\b') OR regexp_matches(text, '(?im)\d{4}-\d{2}') AS hit FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_matches(text, '(?im)^the [a-z]+ing') WHEN 1 THEN regexp_matches(text, '(?im)[0-9]{4}-[0-9]{2}') OR regexp_matches(text, '(?im)der$') ELSE false END AS hit FROM documents")
 def flt4_has_answer_regex(spark, sf):
-    return filters.has_answer_regex(table(spark, sf, "documents"), [r"^the [a-z]+ing\b", r"(unclosed", r"\d{4}-\d{2}"]).select("doc_id", "hit")
+    """Each row has its own patterns; some are invalid."""
+    own = "case doc_id % 3 when 0 then array('^the [a-z]+ing', '(unclosed') when 1 then array('[0-9]{4}-[0-9]{2}', 'DER$') else array('[z-a]') end"
+    return filters.has_answer_regex(table(spark, sf, "documents").withColumn("answers", F.expr(own))).select("doc_id", "hit")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')")
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'pl' WHEN doc_id % 7 = 1 THEN 'zh_chs' ELSE lang END AS lang FROM documents WHERE doc_id % 7 < 2 OR lang IN ('de', 'fr')")
 def flt6_filter_lang(spark, sf):
-    return filters.filter_lang(table(spark, sf, "documents"), ["de", "fr"]).select("doc_id", "lang")
+    own = F.expr("case doc_id % 7 when 0 then 'pl' when 1 then 'zh_chs' else lang end")
+    return filters.filter_lang(table(spark, sf, "documents").withColumn("lang", own), ["de", "fr", "pl", "zh_chs"]).select("doc_id", "lang")
 
 
 @query(fx.sql("vq", ", r AS (SELECT 'q' || (page_id % 20 * 25) AS qid, page_id AS rank, 'd' || page_id AS docid, url, md5(url) AS url_hash FROM pages), j AS (SELECT 'q' || (page_id % 20 * 25) AS qid, CASE WHEN page_id % 3 = 0 THEN 'd' || page_id WHEN page_id % 3 = 1 THEN url ELSE md5(url) END AS docid FROM pages WHERE page_id % 4 = 0) SELECT qid, rank, docid, EXISTS (SELECT 1 FROM j WHERE j.qid = r.qid AND j.docid IN (r.docid, r.url, r.url_hash)) AS rel FROM r"))

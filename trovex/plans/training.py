@@ -99,6 +99,15 @@ def trn4_mine_by_answer(spark, sf):
     return m.select("query_id", F.array_join("positive_passages.docid", ",").alias("positives"), F.size("negative_passages").cast("long").alias("n_negatives"))
 
 
+@query(fx.sql("run query_texts corpus", ", m AS (SELECT qid, docid, rank, regexp_matches(text, CASE WHEN substring(qid, 2)::BIGINT % 50 = 0 THEN '(?im)^the [a-z]+' ELSE '(?im)e[.]$' END) AS hit FROM run JOIN corpus USING (docid)) SELECT t.qid AS query_id, coalesce(string_agg(docid, ',' ORDER BY rank) FILTER (hit), '') AS positives, count(*) FILTER (NOT hit) AS n_negatives FROM query_texts t LEFT JOIN m USING (qid) GROUP BY t.qid"))
+def trn4b_mine_by_answer_regex(spark, sf):
+    """Answers are regular expressions, of each query's own."""
+    own = F.expr("if(cast(substring(qid, 2) as bigint) % 50 = 0, array('^the [a-z]+', '(unclosed'), array('e[.]$'))")
+    g = fx.query_texts(spark, sf).select(F.col("qid").alias("query_id"), "query", own.alias("answers"))
+    m = T.mine_by_answer(g, fx.run(spark, sf), _texts(spark, sf), fx.DEPTH, regex=True)
+    return m.select("query_id", F.array_join("positive_passages.docid", ",").alias("positives"), F.size("negative_passages").cast("long").alias("n_negatives"))
+
+
 @query("SELECT o_custkey AS query, string_agg(o_orderpriority || ' ' || o_orderkey, '|' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F') AS positives, string_agg(o_orderpriority || ' ' || o_orderkey, '|' ORDER BY o_orderkey) FILTER (o_orderstatus = 'O') AS negatives FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') >= 1 AND count(*) FILTER (o_orderstatus = 'O') >= 2")
 def trn5_from_dpr(spark, sf):
     def ctx(s):

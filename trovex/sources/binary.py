@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow.fs as fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
@@ -38,16 +38,21 @@ def read_vectors(spark: SparkSession, path: str, start: int = 0, count: int | No
                     ok = (idx >= start) & (idx < (start + count if count is not None else np.iinfo(np.int64).max))
                     yield pd.DataFrame({"row_idx": idx[ok], "embedding": pd.Series(list(part[ok]), dtype=object)})
 
+    return _based(spark, path).mapInPandas(run, "row_idx long, embedding array<float>")
+
+
+def _based(spark: SparkSession, path: str) -> DataFrame:
+    """(content, base) of each part; base: the rows of the parts before it."""
     files = _files(spark, path).withColumn("part", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
-    # the header alone tells how many rows a part has; one row for each file
+    # the header alone tells how many rows a part has; the window is over one row for each file
     n = sum((F.conv(F.hex(F.expr(f"substring(content, {i + 1}, 1)")), 16, 10).cast("long") * (1 << 8 * i) for i in range(4)), F.lit(0))
-    headers = files.select("part", n.alias("n"))
-    before = headers.alias("a").join(headers.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
-    return files.select("part", "content").join(before, "part").select("content", "base").mapInPandas(run, "row_idx long, embedding array<float>")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("part", n.alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return files.select("part", "content").join(before, "part").select("content", "base")
 
 
-def _parts(df: DataFrame, per_part: int) -> DataFrame:
-    return df.withColumn("part", F.floor(F.col("row_idx") / per_part).cast("int"))
+def _parts(df: DataFrame, per_part: int, by: str = "row_idx") -> DataFrame:
+    return df.withColumn("part", F.floor(F.col(by) / per_part).cast("int"))
 
 
 def write_vectors(df: DataFrame, path: str, per_part: int = 100_000) -> DataFrame:
@@ -80,23 +85,23 @@ def _write(packed: DataFrame, path: str) -> DataFrame:
 
 
 def read_truth_bin(spark: SparkSession, path: str, e2e: bool = False) -> DataFrame:
-    """(query_idx, rank, doc_idx, distance); the file's size must be 8 + n*k*4, or 8 + n*k*8 with distances."""
+    """(query_idx, rank, doc_idx, distance); a part's size must be 8 + n*k*4, or 8 + n*k*8 with distances."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for content in pdf["content"]:
+            for content, base in zip(pdf["content"], pdf["base"]):
                 n, k = (int(v) for v in np.frombuffer(content, "<u4", 2))
                 if len(content) != 8 + n * k * (4 if e2e else 8):
                     raise ValueError("file size does not fit its header")
                 ids = np.frombuffer(content, "<i4", n * k, 8)
                 dist = np.full(n * k, np.nan, np.float32) if e2e else np.frombuffer(content, "<f4", n * k, 8 + 4 * n * k)
-                yield pd.DataFrame({"query_idx": np.repeat(np.arange(n), k), "rank": np.tile(np.arange(1, k + 1), n), "doc_idx": ids, "distance": dist})
+                yield pd.DataFrame({"query_idx": base + np.repeat(np.arange(n), k), "rank": np.tile(np.arange(1, k + 1), n), "doc_idx": ids, "distance": dist})
 
-    return _files(spark, path).select("content").mapInPandas(run, "query_idx int, rank int, doc_idx int, distance float")
+    return _based(spark, path).mapInPandas(run, "query_idx int, rank int, doc_idx int, distance float")
 
 
-def write_truth_bin(df: DataFrame, path: str, e2e: bool = False) -> DataFrame:
-    """df: (query_idx, rank, doc_idx[, distance]), k rows for each query: one file, for a stated query set."""
+def write_truth_bin(df: DataFrame, path: str, e2e: bool = False, per_part: int = 100_000) -> DataFrame:
+    """df: (query_idx, rank, doc_idx[, distance]), k rows for each query: a part for each `per_part` queries, each with its own header."""
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["query_idx", "rank"])
@@ -105,12 +110,12 @@ def write_truth_bin(df: DataFrame, path: str, e2e: bool = False) -> DataFrame:
         if n * k != len(pdf):
             raise ValueError("queries have different numbers of neighbours")
         content = np.array([n, k], "<u4").tobytes() + pdf["doc_idx"].to_numpy("<i4").tobytes()
-        return pd.DataFrame({"part": [0], "n": [n], "content": [content if e2e else content + pdf["distance"].to_numpy("<f4").tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "n": [n], "content": [content if e2e else content + pdf["distance"].to_numpy("<f4").tobytes()]})
 
-    return _write(df.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(pack, "part int, n long, content binary"), path)
+    return _write(_parts(df, per_part, "query_idx").groupBy("part").applyInPandas(pack, "part int, n long, content binary"), path)
 
 
-def write_qrels_bin(qrels: DataFrame, id_map: DataFrame, path: str, one_index: bool = False) -> DataFrame:
+def write_qrels_bin(qrels: DataFrame, id_map: DataFrame, path: str, one_index: bool = False, per_part: int = 100_000) -> DataFrame:
     """One document index for each query, header n, 1; 1-based input is shifted. qrels: (query_idx, docid); id_map: (docid, raw_id)."""
     rows = qrels.join(id_map, "docid").select("query_idx", F.lit(1).alias("rank"), (F.col("raw_id") - (1 if one_index else 0)).cast("int").alias("doc_idx"))
-    return write_truth_bin(rows, path, e2e=True)
+    return write_truth_bin(rows, path, True, per_part)

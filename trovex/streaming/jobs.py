@@ -31,9 +31,11 @@ def stream_search_log(src: DataFrame, sink: str, checkpoint: str) -> StreamingQu
 
 
 def latency_windows(src: DataFrame, width: str = "60 seconds", late: str = LATE) -> DataFrame:
-    """src: (ts timestamp, component, value). A window is given out when the watermark has passed it."""
+    """src: (ts timestamp, component, value). A window is given out when the watermark has passed it. p50 and p95: a value of the window at that rank."""
     g = src.withWatermark("ts", late).groupBy(F.window("ts", width), "component")
-    return g.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("worst")).select(F.col("window.start").alias("start"), "component", "n", "mean", "worst")
+    p50, p95 = (F.round(F.percentile_approx("value", p, 10_000), 6).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95")))
+    out = g.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("worst"), p50, p95)
+    return out.select(F.col("window.start").alias("start"), "component", "n", "mean", "worst", "p50", "p95")
 
 
 def slow_requests(src: DataFrame, threshold: float = 60.0) -> DataFrame:
@@ -61,10 +63,15 @@ def incremental_encode(src: DataFrame, encoder, sink: str, checkpoint: str) -> S
 
 
 def session_trace(src: DataFrame, gap: str = "30 minutes", late: str | None = LATE) -> DataFrame:
-    """src: (ts, session_key, kind). (session_key, start, n, kinds): requests of one key with less than gap between them."""
+    """src: (ts, session_key, query, iteration). (session_key, start, n, original_query, iterations): requests of one key with less than gap between them.
+
+    iterations is the session's largest iteration number; the original query is that of its least one (of several, the least text).
+    late is None for a table, which gives its last sessions too; a stream gives out a session when the watermark has passed it.
+    """
     rows = src if late is None else src.withWatermark("ts", late)
     g = rows.groupBy(F.session_window("ts", gap).alias("w"), "session_key")
-    return g.agg(F.count("*").alias("n"), F.min("kind").alias("first_kind")).select("session_key", F.col("w.start").alias("start"), "n", "first_kind")
+    out = g.agg(F.count("*").alias("n"), F.min(F.struct("iteration", "query")).alias("first"), F.max("iteration").alias("iterations"))
+    return out.select("session_key", F.col("w.start").alias("start"), "n", F.col("first.query").alias("original_query"), "iterations")
 
 
 def run_append(df: DataFrame, sink: str, checkpoint: str) -> None:
