@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trovex.llm import gbdt, mixing, quality, toxicity, url_filter
 
@@ -201,6 +202,45 @@ def test_mixing_equals_a_plain_recount(spark, docs, texts):
     assert drawn.columns == docs.columns and sorted(r.doc_id for r in drawn.collect()) == sorted(r.doc_id for r in rows if r.kept)
 
 
+def test_topics_are_found_and_hold_for_all_texts(spark):
+    """Three vocabularies make three topics, whatever the sample; the count of words is the plain one."""
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{i % 3}x{r.randrange(30)}" for _ in range(40)) + " the") for i in range(90)] + [(90, None), (91, ""), (92, "w0x1 " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for fit_rows in (30, 1000):
+        model = spark.sparkContext.broadcast(mixing.fit_topics(docs.select("text"), 3, fit_rows))
+        got = {x.doc_id: x for x in mixing.with_topics(docs.select("doc_id", "text"), model).collect()}
+        kinds = [{got[i].topic for i in range(90) if i % 3 == k} for k in range(3)]
+        assert all(len(k) == 1 for k in kinds) and len(set.union(*kinds)) == 3 and {got[92].topic} == kinds[0]
+        assert all(got[i].n_tokens == len((t or "").split()) for i, t in rows)
+
+
+def test_unmet_margins_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "x", "t", 1000)], "source string, lang string, topic string, n_tokens long")
+    with pytest.warns(UserWarning, match="from its target"):
+        got = mixing.factors(cells, {"source": {"a": 0.5, "b": 0.5}}, budget=0.4).collect()
+    assert {r.margin_gap > 0.4 for r in got} == {True}
+    assert {r.margin_gap < 1e-6 for r in mixing.factors(cells, {"source": {"a": 0.01, "b": 0.99}}, budget=0.4).collect()} == {True}
+
+
+def test_urls_of_suffixes_left_out(spark):
+    """Suffix rates of a row's own fold don't reach its training features; lexical signs carry over to new suffixes."""
+    r = random.Random(3)
+    rows = [(f"http://{'a' * r.randrange(3, 9)}{r.randrange(10**9) if i % 2 else ''}.site{i % 12}.t{i % 12}/x", i % 2) for i in range(600)]
+    known = spark.createDataFrame(rows, "url string, label int").select("url", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"), "label")
+    folds = url_filter.held_out_accuracy(known)
+    assert len(folds) > 1 and all(share > 0.95 for _, _, share, _ in folds)
+    rates = url_filter.Rates(["a.b.c", "x.b.c", "q.z"], [1, 1, 0])
+    assert rates.of("a.b.c", url_filter.fold_of("a.b.c"))[2:] == [rates.share, 0.0] and rates.of("a.b.c")[2] > rates.share
+
+
+def test_urls_of_an_empty_table_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/", "x", 0.1, "h"), (2, None, None, None, None)], "page_id long, url string, rule string, score double, host string")
+    assert url_filter.judge(pages.limit(0)).count() == 0
+    got = {x.page_id: (x.host, x.rule) for x in url_filter.judge(pages).collect()}
+    assert got == {1: ("a.net", "net/"), 2: ("", None)}
+
+
 def test_mixing_edge_cases(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
     df = spark.createDataFrame([(1, "a b", None, "s"), (2, None, "en", None), (None, "", None, None), (3, "c", "en", "s")], "doc_id long, text string, lang string, source string")

@@ -114,6 +114,18 @@ def test_token_counts_equal_the_library(docs, texts, empty):
     assert merges.count(long) == count(long)
 
 
+def test_every_code_point_counts_as_in_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, count = Tokenizer.from_file(path), bpe_count.merges(path).count
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for around in ("a{}a", "1{}1"):
+        texts = [around.format(c) for c in points]
+        assert [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)] == [count(t) for t in texts]
+
+
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

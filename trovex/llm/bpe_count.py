@@ -4,14 +4,15 @@ Texts are split as the vocabulary's byte-level pre-tokenizer splits them. A piec
 symbols; the adjacent pair of lowest rank is popped from a heap and merged, until none is left. The piece's count is
 its bytes less its merges; no identifiers are emitted. Pieces repeat, so a worker keeps the counts of those it has seen.
 
-Edge cases: null and empty texts have no tokens; a special token's string inside a text is one token, as by the
-library's default; repeated rows are counted each; an empty table gives no rows; other columns are ignored.
+Edge cases: null and empty texts have no tokens; very long texts, and pieces as long as they are, are merged whole; pairs of
+equal rank are merged from the left; a special token's string inside a text is one token, as by the library's default; repeated
+rows are counted each; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -50,7 +51,10 @@ class Merges(dict):
         self.rank = {(vocab[a], vocab[b]): (i, vocab[a + b]) for i, (a, b) in enumerate(pairs)}
         self.first = [vocab[s] for s in byte_symbols()]
         self.split = regex.compile(PIECES.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        special = [t["content"] for t in spec.get("added_tokens", [])]
+        added = spec.get("added_tokens", [])
+        if odd := [t["content"] for t in added if any(t.get(f) for f in ("lstrip", "rstrip", "single_word", "normalized"))]:
+            raise ValueError(f"added tokens that take in their surroundings are not supported: {odd}")
+        special = [t["content"] for t in added]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.hints = special
         self.spaced = _Spaced(self)
@@ -133,13 +137,13 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for each row. path: a byte-level BPE file that executors have too."""
+def token_counts(docs: DataFrame, path: str | Callable[[], str], limit: int = LIMIT) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) for each row. path: a byte-level BPE file that executors have too, or what finds it on each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = merges(path).count
+        count = merges(path() if callable(path) else path).count
         for b in batches:
-            n = [count(t) if t else 0 for t in b.column(2).to_pylist()]
+            n = [count(s) if (s := t.as_py()) else 0 for t in b.column(2)]  # one text at a time
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.col("text").cast("string")
@@ -147,7 +151,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+def _vocabulary() -> str:
     import public_tokenizers
 
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary)

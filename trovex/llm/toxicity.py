@@ -123,7 +123,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = (once << np.uint64(2)) | np.uint64(1 - label[lo + row])
                 parts += [(key, np.ones(len(key), np.int64)), (key[n > 1] | np.uint64(2), np.ones(int((n > 1).sum()), np.int64))]
                 size += len(parts[-1][0]) + len(key)
-            if size > 1 << 22:
+            if size > 1 << 20:
                 yield flush()
                 parts, size = [], 0
     if parts:

@@ -1,17 +1,21 @@
 """URL filters: gradient-boosted trees on lexical features, with allow and block rules above them (operator 1).
 
 Features: lengths, depth, ratios of digits and other characters, entropy, parameters, and for each host suffix (last
-label, last two) how often labelled URLs with it were blocked. Training takes a bounded sample of labelled URLs
-(`max_rows` distinct ones of least hash). The query's labelled URLs are those of the table that a rule judges, since
-the table has no other labels: the forest learns what the rules block and judges the URLs that no rule reaches.
+label, last two) how often labelled URLs with it were blocked, shrunk to the share of all. A labelled URL's own suffix
+doesn't decide its features: hosts fall into FOLDS by their last two labels, and for the forest's training the rates come from
+the other folds. Training takes a bounded sample of labelled URLs (`max_rows` distinct ones of least hash). The query's
+labelled URLs are those of the table that a rule judges, since the table has no other labels: the forest learns what the
+rules block and judges the URLs that no rule reaches. `held_out_accuracy` tells how well, on suffixes left out.
 
 Edge cases: a null URL, or one without `://`, has empty host and path, fits no rule and is judged by its features; an
 empty URL likewise; repeated rows are judged each; of several labels for one URL the highest counts; without labelled
-URLs the score is 0.5 and the verdict allow; an empty table gives no rows; other columns are ignored.
+URLs the score is 0.5 and the verdict allow; of rules of one length that fit, the later in order of letters decides; very
+long URLs are judged whole; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
@@ -26,6 +30,8 @@ from . import gbdt
 MAX_ROWS = 20_000
 THRESHOLD = 0.5
 WIDTH = 22  #: features of a URL
+FOLDS = 5
+WEIGHT = 20.0  #: URLs that the share of all counts for in a suffix's rate
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -53,7 +59,31 @@ def _suffixes(host: str) -> tuple[str, str]:
     return labels[-1], ".".join(labels[-2:])
 
 
-def features(url: str | None, host: str, path: str, rates: dict[str, tuple[int, int]]) -> list[float]:
+class Rates:
+    """How often labelled URLs with a suffix were blocked, by folds of hosts."""
+
+    def __init__(self, hosts: list[str], labels: list[int]):
+        self.share = (sum(labels) + 0.5) / (len(labels) + 1)
+        self.seen: dict[str, np.ndarray] = {}  # suffix -> for each fold: blocked, seen
+        for host, label in zip(hosts, labels):
+            for s in _suffixes(host):
+                self.seen.setdefault(s, np.zeros((FOLDS, 2)))[fold_of(host)] += label, 1
+
+    def of(self, host: str, without: int | None = None) -> list[float]:
+        out = []
+        for s in _suffixes(host):
+            every = self.seen.get(s)
+            blocked, n = (0.0, 0.0) if every is None else every.sum(axis=0) - (0 if without is None else every[without])
+            out += [(blocked + WEIGHT * self.share) / (n + WEIGHT), np.log1p(n)]
+        return out
+
+
+def fold_of(host: str) -> int:
+    return zlib.crc32(_suffixes(host)[1].encode()) % FOLDS
+
+
+def features(url: str | None, host: str, path: str, rates: Rates, without: int | None = None) -> list[float]:
+    """without: the fold that suffix rates leave out."""
     url = url or ""
     n = max(len(url), 1)
     count = Counter(url)
@@ -66,31 +96,53 @@ def features(url: str | None, host: str, path: str, rates: dict[str, tuple[int,
         url.startswith("https"), "#" in url, url.endswith("/"), len(path.rpartition(".")[2]) if "." in path else 0,
         len(set(host)) / max(len(host), 1),
     ]
-    for s in _suffixes(host):
-        blocked, seen = rates.get(s, (0, 0))
-        out += [(blocked + 1) / (seen + 2), np.log1p(seen)]
-    return [float(x) for x in out]
+    return [float(x) for x in [*out, *rates.of(host, without)]]
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[gbdt.Forest, dict[str, tuple[int, int]]]:
+def _sample(labelled: DataFrame, max_rows: int) -> list:
     """labelled: (url, host, path, label)."""
-    rows = labelled.where("url is not null and label is not null").groupBy("url", "host", "path").agg(F.max("label").alias("label"))
-    sample = rows.orderBy(F.xxhash64("url"), "url").limit(max_rows).collect()
-    rates: dict[str, tuple[int, int]] = {}
-    for r in sample:
-        for s in _suffixes(r.host):
-            b, n = rates.get(s, (0, 0))
-            rates[s] = b + int(r.label), n + 1
-    x = np.array([features(r.url, r.host, r.path, rates) for r in sample], float).reshape(len(sample), WIDTH)
+    rows = labelled.where("url is not null and label is not null").groupBy("url", "host", "path").agg(F.max("label").cast("int").alias("label"))
+    return rows.orderBy(F.xxhash64("url"), "url").limit(max_rows).collect()
+
+
+def _fit(sample: list) -> tuple[gbdt.Forest, Rates]:
+    rates = Rates([r.host for r in sample], [r.label for r in sample])
+    x = np.array([features(r.url, r.host, r.path, rates, fold_of(r.host)) for r in sample], float).reshape(len(sample), WIDTH)
     return gbdt.fit(x, np.array([float(r.label) for r in sample]), trees=40), rates
 
 
+def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[gbdt.Forest, Rates]:
+    """labelled: (url, host, path, label)."""
+    return _fit(_sample(labelled, max_rows))
+
+
+def held_out_accuracy(labelled: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> list[tuple[int, int, float, float]]:
+    """(fold, URLs, share judged as labelled, share of the commoner label) for each fold of suffixes, by a forest of the others."""
+    sample, out = _sample(labelled, max_rows), []
+    for f in range(FOLDS):
+        rest, own = ([r for r in sample if (fold_of(r.host) == f) == mine] for mine in (False, True))
+        if own and rest:
+            forest, rates = _fit(rest)
+            p = forest.predict(np.array([features(r.url, r.host, r.path, rates) for r in own]))
+            y = np.array([r.label for r in own])
+            out.append((f, len(own), float(((p > threshold) == y).mean()), float(max(y.mean(), 1 - y.mean()))))
+    return out
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.where("ruled is not null").select("url", "host", "path", (F.col("ruled.verdict") == "block").cast("int").alias("label"))
+
+
+def _read(pages: DataFrame, rules) -> DataFrame:
+    url = F.col("url").cast("string")
+    return pages.select(F.col("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("ruled", ruled(F.col("host"), F.col("path"), rules))
+
+
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row. labelled: (url, label 1 to block), else what the rules judge."""
-    url = F.col("url").cast("string")
-    rows = pages.select(F.col("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("ruled", ruled(F.col("host"), F.col("path"), rules))
+    rows = _read(pages, rules)
     if labelled is None:
-        known = rows.where("ruled is not null").select("url", "host", "path", (F.col("ruled.verdict") == "block").cast("int").alias("label"))
+        known = _known(rows)
     else:
         known = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label")
     model = pages.sparkSession.sparkContext.broadcast(train(known, max_rows))
