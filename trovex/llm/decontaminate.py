@@ -10,7 +10,8 @@ is, that only lets more of them through.
 
 Edge cases: null and empty texts have no words and are clean; items without words match nothing; a null item_id counts
 as no item but still makes hits; repeated items and rows are each reported; an empty benchmark hits nothing; rows are kept
-apart even under one doc_id; other columns are ignored by `contamination`.
+apart even under one doc_id; of equal least hashes in a window the first counts; very long texts are worked through whole, one at
+a time; other columns, whatever their names, are ignored by `contamination` and passed on by `drop_contaminated`.
 """
 
 from __future__ import annotations

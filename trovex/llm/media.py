@@ -9,8 +9,9 @@ The query stores each document's text as such an image, writes a page that shows
 back through these steps.
 
 Edge cases: null and empty texts give one row of zeros; equal texts give equal values; a null page parses to no segments;
-a reference without stored media keeps its place with null columns; repeated rows come back each; an empty table gives no
-rows; other columns are ignored.
+a reference without stored media keeps its place with null columns; of several stored copies of a digest any one is read, as they
+are equal; very long texts and pages are worked through whole, one at a time; repeated rows come back each; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

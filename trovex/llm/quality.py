@@ -5,7 +5,9 @@ broadcast as flat arrays; every document is scored from its whole text with nump
 
 Edge cases: null and empty texts have all statistics 0 and get the score of such a text; labels that are null, or whose
 document is missing, teach nothing; of several labels for one id the highest counts; a null doc_id is never trained on and
-counts as remainder 0; repeated rows are scored each; without usable labels the score is 0.5; an empty table gives no rows.
+counts as remainder 0; repeated rows are scored each, equal texts alike; very long texts are scored whole, one at a time; a score
+equal to the threshold is good; without usable labels the score is 0.5; an empty table gives no rows; other columns, whatever
+their names, are ignored, and `keep_good` passes them on.
 """
 
 from __future__ import annotations

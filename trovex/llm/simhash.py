@@ -7,7 +7,8 @@ pair. In larger ones (near copies by the thousand, which share a half) each memb
 half instead, and meets the others on the whole key, so work stays linear in the members and no link is lost.
 
 Edge cases: null and empty texts have no words and fingerprint 0; repeated rows share a class; a null doc_id takes
-part, but never names a class unless all its members are null; an empty table gives no rows; other columns are ignored.
+part, but never names a class unless all its members are null; a bit set in exactly half of the hashes is 0; very long texts are
+hashed whole, in runs; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Every leaf of a deep node but the first, by (doc_id, start), is a repeat; its wo
 
 Edge cases: null and empty texts have no words; rows with the same doc_id and text count as one document (and are
 returned as often as they occur); rows with one doc_id and different texts are ordered as if each were that document;
-a null doc_id comes after all others; an empty table gives no rows; other columns pass through `strip_repeats` as they are.
+a null doc_id comes after all others; very long texts are worked through whole, one at a time; an empty table gives no rows;
+other columns, whatever their names, pass through `strip_repeats` as they are.
 """
 
 from __future__ import annotations
