@@ -152,6 +152,10 @@ def test_near_copies_equal_brute_force(spark, texts, small):
         base = " ".join(f"w{k}x{r.randrange(10**6)}" for _ in range(200)).split()
         rows += [" ".join("new" if i in cut else w for i, w in enumerate(base)) for cut in ([], [9], r.sample(range(200), 3), r.sample(range(200), 12), range(0, 20), range(0, 60))]
     rows += [rows[-6].replace(" ", f" {i} ", 1) for i in range(40)]
+    long = [f"v{i}" for i in range(700)]  # a chain: the ends share no run, so no one centre links all members
+    rows += [" ".join(long[12 * i : 12 * i + 250]) for i in range(36)]
+    passage = " ".join(f"p{i}" for i in range(90))  # held by texts that differ otherwise
+    rows += [f"{passage} {' '.join(f'q{k // 2}z{i}' for i in range(60 if k % 2 else 64))}" for k in range(60)]
     sets = [runs_of(t) for t in rows]
     roots = list(range(len(rows)))
     for b in range(len(rows)):

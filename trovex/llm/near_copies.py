@@ -4,9 +4,12 @@ A text is the set of its runs of `size` words, lower-cased. Texts of equal sets
 ROWS min-hashes each; nodes that share a key are a candidate pair, which is linked if its exact similarity reaches
 the bound. At 0.8 a pair shares no key with probability (1 - 0.8**4)**16, about 0.0002.
 
-Buckets with few members are paired one with another. In larger ones (near copies by the thousand) each member meets a
-centre of the bucket, and a centre of those that share its next key too, so pairs stay linear in the members. Each bucket
-draws its centre anew (the member of least hash with the bucket's key), so a member meets up to 2 * BANDS different ones.
+Buckets with few members are paired one with another. In larger ones (near copies by the thousand) each member first meets
+a centre of the bucket, and a centre of those that share its next key too, so pairs stay linear in the members. That
+settles each large bucket whose members are then one class: no further pair could change it. The members of all other
+large buckets are joined exactly: of n runs, two linked texts share one of either's n - ceil(0.8 n) + 1 first in any one
+order of all runs, here the rarest first, so passages that many texts share come last and propose next to nothing. Only
+pairs of different classes are compared. So the bound `small` changes the work and no class.
 
 Edge cases: a text of fewer words is one run; null and empty texts are one class; repeated rows share a class; an empty
 table gives no rows; other columns are ignored.
@@ -28,6 +31,8 @@ SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 SMALL = 32  #: members of a bucket that are paired one with another
 SLOTS = 1 << 22  #: of the bitmap
+RARITY = 1 << 18  #: counts of runs by hash, which order them: collisions change the order, not what is found
+BLOCK = 512  #: rows of a shared run that meet in one task
 _rng = np.random.default_rng(20240611)
 _XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,13 +98,36 @@ def _within(bitmap):
     return run
 
 
-def candidates(nodes: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
-    """(a, b) with a < b: pairs that share a band. nodes: distinct (node, n, bands)."""
+def _prefixes(counts, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(counts.value, np.int64)
+        for b in batches:
+            node, root, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            runs = lists.values.to_numpy()[at[0] : at[-1]]
+            at -= at[0]
+            n = np.diff(at)
+            row = np.repeat(np.arange(len(n)), n)
+            by = np.lexsort((runs, often[runs & (RARITY - 1)], row))
+            first = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+            pick = np.arange(len(runs)) - np.repeat(at[:-1], n) < np.repeat(first, n)
+            row = row[pick]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[row], root[row], n[row].astype(np.int32), runs[by][pick])], ["node", "root", "n", "run"])
+
+    return run
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, after, members): members of the buckets of two and more. nodes: distinct (node, n, bands)."""
     after = F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1)
     keys = nodes.where("n > 0").select("node", "n", "bands", F.posexplode("bands").alias("band", "key"))
     keys = keys.select("node", "n", F.xxhash64("band", "key").alias("key"), after.alias("after"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = checkpoint(keys.join(sizes, "key"))
+    return checkpoint(keys.join(sizes, "key"))
+
+
+def candidates(shared: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
+    """(a, b) with a < b: pairs within the small buckets, and of members and centres in the large ones."""
     few, many = shared.where(F.col("members") <= small), shared.where(F.col("members") > small)
     one, two = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     parts = [one.join(two, "key").where("a < b")]
@@ -112,23 +140,64 @@ def candidates(nodes: DataFrame, similarity: float, small: int = SMALL) -> DataF
     return out[0].unionByName(out[1]).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """(doc_id, component_id) for each row of docs (doc_id, text): classes of texts linked at the similarity. doc_id names one row each and is not null."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stored(docs.mapInArrow(_bands(size), "doc_id long, node long, n int, bands array<long>"))
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("n", "doc_id").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
-    pairs = checkpoint(candidates(nodes, similarity, small))
-    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"))
+def unsettled(shared: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, root): members of large buckets that hold more than one class."""
+    many = shared.where(F.col("members") > small).select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = many.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return many.join(mixed, "key").select("node", "root").distinct()
+
+
+def across(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) with a < b: all pairs of different classes that can reach the similarity. sets: (node, root, runs)."""
+    slot = F.col("run").bitwiseAND(F.lit(RARITY - 1).cast("long"))
+    counts = np.zeros(RARITY, np.int64)
+    for r in sets.select(F.explode("runs").alias("run")).groupBy(slot.alias("slot")).count().toLocalIterator():
+        counts[r[0]] = r[1]
+    counts = sets.sparkSession.sparkContext.broadcast(counts.tobytes())
+    first = stored(sets.select("node", "root", "runs").mapInArrow(_prefixes(counts, similarity), "node long, root long, n int, run long"))
+    groups = first.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = first.join(groups.where("lo < hi").select("run", "blocks"), "run")
+    one = held.select("run", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *(F.col(x).alias(f"{x}_a") for x in ("node", "root", "n")))
+    two = held.select("run", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(x).alias(f"{x}_b") for x in ("node", "root", "n")))
+    pairs = one.join(two, ["run", "block"]).where("node_a < node_b and root_a <> root_b")
+    return pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def run_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, runs) of the nodes (node, rep), written out: each one's distinct runs, read from the text of its representative."""
     # before the join, rows pass a bitmap of fixed size: however many are wanted, that only lets more through
     slots = np.zeros(SLOTS, bool)
-    slots[[r[0] for r in wanted.select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).cast("int")).distinct().toLocalIterator()]] = True
+    slots[[r[0] for r in nodes.select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).cast("int")).distinct().toLocalIterator()]] = True
     bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(slots).tobytes())
     some = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")).mapInArrow(_within(bitmap), "doc_id long, text string")
-    sets = stored(some.join(wanted, some["doc_id"] == wanted["rep"]).select("node", "text").mapInArrow(_sets(size), "node long, runs array<long>"))
+    return stored(some.join(nodes, some["doc_id"] == nodes["rep"]).select("node", "text").mapInArrow(_sets(size), "node long, runs array<long>"))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose sets reach the similarity."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("two")), "b")
     shared = F.size(F.array_intersect("one", "two"))
-    edges = both.where(shared >= F.lit(similarity) * (F.size("one") + F.size("two") - shared)).select("a", "b")
+    return both.where(shared >= F.lit(similarity) * (F.size("one") + F.size("two") - shared)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """(doc_id, component_id) for each row of docs (doc_id, text): classes of texts linked at the similarity. doc_id names one row each and is not null."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = stored(docs.mapInArrow(_bands(size), "doc_id long, node long, n int, bands array<long>"))
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("n", "doc_id").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
+    shared = buckets(nodes)
+    pairs = checkpoint(candidates(shared, similarity, small))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.where(F.col("members") > small).select("node"))
+    wanted = checkpoint(wanted.distinct().join(nodes.select("node", "rep"), "node"))
+    sets = run_sets(docs, wanted, size)
+    edges = checkpoint(alike(pairs, sets, similarity))
     roots = components(edges)
+    rest = checkpoint(unsettled(shared, roots, small))
+    if not rest.isEmpty():
+        held = sets.join(rest, "node")
+        more = checkpoint(alike(across(held, similarity), held, similarity))
+        if not more.isEmpty():
+            roots = components(edges.unionByName(more))
     named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = named.join(least, "root").select("node", "component_id")
