@@ -7,8 +7,9 @@ the bound. At 0.8 a pair shares no key with probability (1 - 0.8**4)**16, about
 Buckets with few members are paired one with another. In larger ones (near copies by the thousand) each member first meets
 a centre of the bucket, and a centre of those that share its next key too, so pairs stay linear in the members. That
 settles each large bucket whose members are then one class: no further pair could change it. The members of all other
-large buckets are joined exactly: of n runs, two linked texts share one of either's n - ceil(0.8 n) + 1 first in any one
-order of all runs, here the rarest first, so passages that many texts share come last and propose next to nothing. Only
+large buckets are joined exactly: in any one order of all runs, two linked texts share one of the first
+n - ceil(0.8 n) + 1 of the longer one's n runs, and of the first n - ceil(2 * 0.8 / 1.8 n) + 1 of the shorter one's. The order
+here is the rarest first, so passages that many texts share come last and propose next to nothing. Only
 pairs of different classes are compared. So the bound `small` changes the work and no class.
 
 Edge cases: a text of fewer words is one run; null and empty texts are one class; repeated rows share a class; an empty
@@ -111,8 +112,11 @@ def _prefixes(counts, similarity: float):
             by = np.lexsort((runs, often[runs & (RARITY - 1)], row))
             first = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
             pick = np.arange(len(runs)) - np.repeat(at[:-1], n) < np.repeat(first, n)
+            at_most = n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
+            rank = (np.arange(len(runs)) - np.repeat(at[:-1], n))[pick]
             row = row[pick]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[row], root[row], n[row].astype(np.int32), runs[by][pick])], ["node", "root", "n", "run"])
+            columns = node[row], root[row], n[row].astype(np.int32), runs[by][pick], rank.astype(np.int32), rank < at_most[row]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "root", "n", "run", "rank", "leads"])
 
     return run
 
@@ -154,13 +158,17 @@ def across(sets: DataFrame, similarity: float) -> DataFrame:
     for r in sets.select(F.explode("runs").alias("run")).groupBy(slot.alias("slot")).count().toLocalIterator():
         counts[r[0]] = r[1]
     counts = sets.sparkSession.sparkContext.broadcast(counts.tobytes())
-    first = stored(sets.select("node", "root", "runs").mapInArrow(_prefixes(counts, similarity), "node long, root long, n int, run long"))
-    groups = first.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    held = first.join(groups.where("lo < hi").select("run", "blocks"), "run")
-    one = held.select("run", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *(F.col(x).alias(f"{x}_a") for x in ("node", "root", "n")))
-    two = held.select("run", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(x).alias(f"{x}_b") for x in ("node", "root", "n")))
-    pairs = one.join(two, ["run", "block"]).where("node_a < node_b and root_a <> root_b")
-    return pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    first = stored(sets.select("node", "root", "runs").mapInArrow(_prefixes(counts, similarity), "node long, root long, n int, run long, rank int, leads boolean"))
+    groups = first.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("leads").alias("leads"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = first.join(groups.where("lo < hi and leads").select("run", "blocks"), "run")
+    fields = "node", "root", "n", "rank"
+    one = held.where("leads").select("run", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *(F.col(x).alias(f"{x}_a") for x in fields))
+    two = held.select("run", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(x).alias(f"{x}_b") for x in fields))
+    # the shorter text leads; what follows a shared run bounds all that two texts share from it on
+    reach = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + F.least("rank_a", "rank_b")
+    met = (F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("n_a") >= similarity * F.col("n_b"))
+    pairs = one.join(two, ["run", "block"]).where(met & (reach * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def run_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
