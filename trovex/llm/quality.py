@@ -124,14 +124,18 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(b.num_columns - 1)
-            p = [forest.value.predict(statistics(buf, off)) for _, _, buf, off in slices(text)]
+            p = [forest.value.predict(statistics(buf, off)) for _, _, buf, off in slices(b.column(at))]
             keep = pa.array(np.concatenate(p) >= threshold if p else np.zeros(0, bool))
-            yield b.select(range(b.num_columns - 1)).filter(keep)
+            yield b.select(range(width)).filter(keep)
 
+    width = len(docs.columns)
+    # a text that is a string already crosses to Python once
+    at = docs.dtypes.index(("text", "string")) if ("text", "string") in docs.dtypes else width
     columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
     kinds = ", ".join(f"_c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
-    out = docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, kinds)
+    if at == width:
+        columns.append(F.col("text").cast("string").alias("_text"))
+    out = docs.select(*columns).mapInArrow(run, kinds)
     return out.toDF(*docs.columns)
 
 
