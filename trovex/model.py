@@ -17,6 +17,8 @@ PASSAGES = "array<struct<docid:string,title:string,text:string>>"
 GROUPS = f"query_id string, query string, positive_passages {PASSAGES}, negative_passages {PASSAGES}"
 DPR = "question string, positive_ctxs array<struct<title:string,text:string>>, hard_negative_ctxs array<struct<title:string,text:string>>"
 LOG = "id long, ip_address string, query_text string, k int, complexity int, num_of_shards int, with_distance boolean, with_outlink boolean, search_type string, timestamp timestamp, api_key string, verify_result boolean"
+#: Bytes of an Arrow batch between Spark and Python, unless the session says otherwise: texts come by many megabytes else, in each task
+BATCHES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 KEYS = "map<string,struct<enabled_time:timestamp,user_info:string,is_active:boolean>>"
 
 
@@ -42,7 +44,9 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once a context, so that their Python workers can import it wherever they run."""
+    """Sends this package to the executors, once a context, so that their Python workers can import it wherever they run; bounds Arrow batches."""
+    if spark.conf.get(BATCHES, None) is None:
+        spark.conf.set(BATCHES, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_trovex_shipped", False):
         return spark
