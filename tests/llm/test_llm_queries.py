@@ -23,6 +23,9 @@ COLUMNS = {
     "op7_media_columns": "doc_id bigint n_bytes bigint payload_bytes bigint payload_sha256 string tail_crc32 bigint media_bytes bigint media_sha256 string feature string",
     "op9_toxicity": "doc_id bigint held_out boolean score double predicted int",
     "op10_simhash_near_dedup": "doc_id bigint fingerprint string component_id bigint",
+    "op11_merkle_manifest": "doc_id bigint leaf string subroot string root string proof_sha256 string folded_root string verified boolean",
+    "op12_embedding_whitening": "vec_id bigint component int n bigint deviation bigint whitened double explained double identity_error double",
+    "op13_language_id": "doc_id bigint held_out boolean lang_pred string score double",
 }
 
 

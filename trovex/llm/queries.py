@@ -1,4 +1,4 @@
-"""The queries of this subpackage. SQL expresses two of them; the others have a part (trees, hashes, byte merges, raking) that it lacks."""
+"""The queries of this subpackage. SQL expresses three of them; the others have a part (trees, hashes, byte merges, raking, eigenvectors, automata) that it lacks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from functools import wraps
 from ..model import ship
 from .bpe_count import op4_token_counts
 from .decontaminate import op5_benchmark_decontamination
+from .langid import op13_language_id
 from .media import op7_media_columns
+from .merkle import op11_merkle_manifest
 from .mixing import op8_source_mixing
 from .ppm import op3_lm_scoring
 from .quality import op6_quality_classifier
@@ -15,6 +17,7 @@ from .simhash import op10_simhash_near_dedup
 from .substring_dedup import op2_substring_dedup
 from .toxicity import op9_toxicity
 from .url_filter import op1_url_filters
+from .whitening import op12_embedding_whitening
 
 QUERIES = {
     f.__name__: wraps(f)(lambda spark, sf_dir, f=f: f(ship(spark), sf_dir))
@@ -29,6 +32,9 @@ QUERIES = {
         op8_source_mixing,
         op9_toxicity,
         op10_simhash_near_dedup,
+        op11_merkle_manifest,
+        op12_embedding_whitening,
+        op13_language_id,
     )
 }
 OP2 = r"""
@@ -54,4 +60,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op5_benchmark_decontamination": OP5}
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+LEAF = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR END" for c in FIELDS)
+LEVEL = "SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM {t} WHERE n > 1 GROUP BY g, lvl, pos // 2, n"
+FOLD = """SELECT f.r, f.g, f.lvl + 1, f.pos // 2, CASE WHEN s.node IS NULL THEN sha256(f.cur) WHEN f.pos % 2 = 1 THEN sha256(s.node || f.cur) ELSE sha256(f.cur || s.node) END, f.proof || coalesce(s.node, '')
+FROM {f} f JOIN {t}_depth d ON d.g = f.g AND f.lvl < d.depth LEFT JOIN {t} s ON s.g = f.g AND s.lvl = f.lvl AND s.pos = xor(f.pos, 1)"""
+OP11 = f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+leaves AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, sha256({LEAF}) AS leaf, sha256({LEAF.replace("n_chars", "n_chars + 1")}) AS changed,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS crc FROM documents, crc),
+placed AS (SELECT *, CASE WHEN crc % 7 = 0 THEN changed ELSE leaf END AS shown, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+low(g, lvl, pos, n, node) AS (SELECT g, 0, pos, n, leaf FROM placed UNION ALL {LEVEL.format(t="low")}),
+low_depth AS (SELECT g, max(lvl) AS depth FROM low GROUP BY g),
+sub AS (SELECT g, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+top(g, lvl, pos, n, node) AS (SELECT 1, 0, pos, n, subroot FROM sub UNION ALL {LEVEL.format(t="top")}),
+top_depth AS (SELECT g, max(lvl) AS depth FROM top GROUP BY g),
+climb(r, g, lvl, pos, cur, proof) AS (SELECT r, g, 0, pos, shown, '' FROM placed UNION ALL {FOLD.format(f="climb", t="low")}),
+mid AS (SELECT r, sub.g, sub.pos, subroot, cur, proof FROM climb JOIN low_depth d ON climb.g = d.g AND lvl = depth JOIN sub ON climb.g = sub.g),
+rise(r, g, lvl, pos, cur, proof) AS (SELECT r, 1, 0, pos, cur, proof FROM mid UNION ALL {FOLD.format(f="rise", t="top")}),
+ends AS (SELECT r, cur, proof FROM rise JOIN top_depth ON lvl = depth),
+root AS (SELECT node AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(ends.proof) AS proof_sha256, ends.cur AS folded_root, ends.cur = root AS verified FROM placed JOIN mid USING (r) JOIN ends USING (r), root
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op5_benchmark_decontamination": OP5, "op11_merkle_manifest": OP11}
