@@ -36,6 +36,7 @@ from .common import byte_class, fold, slices, stored
 
 ROWS = 512  #: labelled texts of a language that are looked at
 WINDOW = 256
+SENT = 1 << 16  #: sampled texts' hashes that are sent to all tasks; more are joined
 SYMBOLS = 1 << 16  #: learned from a language
 TOTAL = 1 << 18  #: learned from all languages
 PIECE = 1024
@@ -146,9 +147,12 @@ class Parser:
 def windows(labelled: DataFrame) -> DataFrame:
     """(lang, part binary): windows of symbols of each language's sample. labelled: (lang, text)."""
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text"), F.xxhash64("text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS).select("lang", "h")
-    texts = rows.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+    least = rows.select("lang", "h").distinct()
+    for by in (["lang", F.pmod("h", F.lit(256))], ["lang"]):  # in shares first, so that a common language isn't one task's work
+        least = least.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= ROWS).select("lang", "h")
+    chosen = stored(least)
+    few = chosen.count() <= SENT
+    texts = rows.join(F.broadcast(chosen) if few else chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

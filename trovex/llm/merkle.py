@@ -179,7 +179,7 @@ def manifest(leaves: DataFrame, group: Column, *order: str, bits: int = BITS) ->
     roots = stored(roots)
     tops = places(roots.select(F.lit("").alias("group"), F.col("group").alias("of"), F.col("root").alias("node")), "of")
     upper, root = grow(tops, bits)
-    upper = upper.crossJoin(F.broadcast(root.select("root"))).select(F.col("of").alias("group"), F.col("node").alias("subroot"), F.col("steps").alias("_top"), "root")  # one root
+    upper = upper.join(root, "group").select(F.col("of").alias("group"), F.col("node").alias("subroot"), F.col("steps").alias("_top"), "root")
     return steps.join(upper, "group").withColumn("steps", F.concat("steps", "_top")).drop("_top", "group", "node", "pos")
 
 
