@@ -21,15 +21,6 @@ def test_truth_as_run_is_perfect(spark, sf):
     assert E.ndcg_at_k(run, truth, 10).first().value == 1.0
 
 
-def test_recall_rises_with_the_budget(spark, sf):
-    q, p = fx.queries(spark, sf), fx.vectors(spark, sf)
-    truth = fx.run(spark, sf)
-    found = [E.anns_recall_at_k(search.knn_approx(q, p, 10, complexity=c, exclude_self=True), truth, 10).first().value for c in (10, 20, 50)]
-    assert found[0] <= found[1] <= found[2] and found[2] > 0.9
-    ivf = [E.anns_recall_at_k(search.knn_ivf(q, p, 10, 8, n, exclude_self=True), truth, 10).first().value for n in (1, 4, 8)]
-    assert ivf[0] <= ivf[1] <= ivf[2] == 1.0
-
-
 def test_more_queries_than_one_matrix_holds(spark, sf, monkeypatch):
     q, p = fx.queries(spark, sf), fx.vectors(spark, sf)
     want = rows(search.knn_blocked(q, p, 5))

@@ -9,12 +9,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MATRIX_BYTES = 64 << 20  #: of the query matrix that is broadcast at once; more queries go in more passes
+MATRIX_BYTES = 64 << 20  #: of a query matrix: that is broadcast, or that a cell of the grid holds
 
 
 def dot(a: str, b: str) -> Column:
@@ -41,11 +40,27 @@ def all_pairs_scores(q: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def knn_exact(q: DataFrame, p: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """The plain form, for small inputs and checks: DataFrame expressions alone."""
-    pairs = p.select("docid", F.col("embedding").alias("pe")).crossJoin(F.broadcast(q.select("qid", F.col("embedding").alias("qe"))))
-    if exclude_self:
-        pairs = pairs.where("substring(qid, 2) <> substring(docid, 2)")
-    return ranked(pairs.select("qid", "docid", F.round(dot("qe", "pe"), 6).alias("score")), k=k)
+    """The plain form: DataFrame expressions alone, while the queries are small enough to be sent to all tasks; in blocks otherwise."""
+    if _matrix_bytes(q) > MATRIX_BYTES:
+        return knn_blocked(q, p, k, exclude_self)
+    rows = named(p).select("docid", F.col("embedding").alias("pe")).crossJoin(F.broadcast(_with_own(q, exclude_self).select("qid", "own", F.col("embedding").alias("qe"))))
+    return ranked(rows.where("own is null or own <> docid").select("qid", "docid", F.round(dot("qe", "pe"), 6).alias("score")), k=k)
+
+
+def named(p: DataFrame) -> DataFrame:
+    """The rows that can be found: those with a docid and a vector."""
+    return p.where("docid is not null and embedding is not null")
+
+
+def _with_own(q: DataFrame, exclude_self: bool) -> DataFrame:
+    """q with `own`, the docid that isn't a result for it: its column of that name, or else its qid; null to leave nothing out."""
+    own = F.lit(None).cast("string") if not exclude_self else F.col("own" if "own" in q.columns else "qid").cast("string")
+    return q.withColumn("own", own)
+
+
+def _matrix_bytes(q: DataFrame) -> int:
+    width, n = q.agg(F.max(F.size("embedding")), F.count("*")).first()
+    return n * (width or 1) * 8
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -64,56 +79,111 @@ def _best(q: np.ndarray, g: np.ndarray, doc: np.ndarray, score: np.ndarray, k: i
     return q[keep], g[keep], doc[keep], score[keep]
 
 
+class _Block:
+    """Some queries, and the best k found so far for each of them (and each group); all pairs where k is None."""
+
+    def __init__(self, ids: list, own: list, matrix: np.ndarray, k: int | None, group: pa.DataType | None) -> None:
+        self.ids, self.own, self.matrix, self.k, self.group = np.array(ids, object), own, matrix, k, group
+        self.held: tuple[np.ndarray, ...] | None = None
+
+    def add(self, docid: pa.Array, embedding: pa.Array, group: pa.Array | None) -> Iterator[pa.RecordBatch]:
+        if not len(docid) or not len(self.ids):
+            return
+        docs, x = np.array(docid.to_pylist(), str), _matrix(embedding)
+        at_doc = {d: c for c, d in enumerate(docs.tolist())} if any(o is not None for o in self.own) else {}
+        groups = group.to_numpy(zero_copy_only=False) if group is not None else np.zeros(len(docs), np.int64)
+        found = [self.held] if self.held else []
+        for lo in range(0, len(self.ids), 256):
+            s = np.round(self.matrix[lo : lo + 256] @ x.T, 6)
+            for r, own in enumerate(self.own[lo : lo + 256] if at_doc else ()):
+                if (c := at_doc.get(own)) is not None:
+                    s[r, c] = -np.inf
+            for g in np.unique(groups):
+                at = np.flatnonzero(groups == g)
+                sub = s[:, at]
+                ok = np.isfinite(sub)
+                if self.k is not None and len(at) > self.k:
+                    ok &= sub >= np.partition(sub, len(at) - self.k, axis=1)[:, len(at) - self.k, None]
+                r, c = np.nonzero(ok)
+                part = lo + r, groups[at[c]], docs[at[c]], sub[r, c]
+                if self.k is None:
+                    yield self._batch(*part)
+                else:
+                    found.append(part)
+        if found:
+            self.held = _best(*(np.concatenate(v) for v in zip(*found)), self.k)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield self._batch(*self.held)
+
+    def _batch(self, q, g, doc, score) -> pa.RecordBatch:
+        columns, names = [pa.array(self.ids[q], pa.string()), pa.array(doc.tolist(), pa.string()), pa.array(score)], ["qid", "docid", "score"]
+        if self.group is not None:
+            columns.append(pa.array(g.tolist(), self.group))
+            names.append("group")
+        return pa.RecordBatch.from_arrays(columns, names)
+
+
+def grid(q: DataFrame, p: DataFrame, rows: int, columns: int, qkey: str, pkey: str) -> DataFrame:
+    """Both sides in one frame (cell, side, q struct, p struct): each of the rows * columns cells gets a share of q, first, and then a share of p.
+
+    Each side is read once and copied along the other's direction, so neither goes through the driver, and a cell is a task of its own.
+    """
+
+    def placed(df: DataFrame, key: str, own: int, other: int, at: Column) -> DataFrame:
+        return df.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).withColumn("cell", at.cast("int"))
+
+    qs, ps = F.struct(*q.columns), F.struct(*p.columns)
+    left = placed(q, qkey, rows, columns, F.col("_own") * columns + F.col("_other")).select("cell", F.lit(0).alias("side"), qs.alias("q"))
+    right = placed(p, pkey, columns, rows, F.col("_other") * columns + F.col("_own")).select("cell", F.lit(1).alias("side"), ps.alias("p"))
+    return left.unionByName(right, allowMissingColumns=True).repartitionById(rows * columns, F.col("cell")).sortWithinPartitions("side")
+
+
 def _blocked(q: DataFrame, p: DataFrame, k: int | None, exclude_self: bool = False, group: str | None = None) -> DataFrame:
-    spark = p.sparkSession
-    width, n = q.agg(F.max(F.size("embedding")), F.count("*")).first()
-    width = width or 1
-    passes = max(1, -(-n * width * 8 // MATRIX_BYTES))
-    kind = dict(p.dtypes)
-    out = None
-    for i in range(passes):
-        part = q if passes == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
-        rows = part.select("qid", "embedding").orderBy("qid").toArrow()
-        ids = np.array(rows.column(0).to_pylist(), object)
-        matrix = np.array(rows.column(1).to_pylist(), np.float64).reshape(len(ids), width)
-        sent = spark.sparkContext.broadcast((ids, matrix))
+    """Block products. With k, only a task's best k of each query (and group) leave it.
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            """Block products. With k, only a partition's best k of each query (and group) leave it."""
-            ids, matrix = sent.value
-            held: list[tuple[np.ndarray, ...]] = []
+    Queries of up to MATRIX_BYTES are sent to the tasks that scan p; more of them meet p in a grid of cells, one read of each side.
+    """
+    spark, size = p.sparkSession, _matrix_bytes(q)
+    kind = dict(p.dtypes).get(group)
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), None: None}[kind]
+    queries = _with_own(q, exclude_self).select("qid", "own", F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = named(p).select("docid", "embedding", *([F.col(group).alias("group")] if group else []))
+    out = "qid string, docid string, score double" + (f", group {kind}" if group else "")
+    if size <= MATRIX_BYTES:
+        rows = queries.orderBy("qid").toArrow().combine_chunks()
+        sent = spark.sparkContext.broadcast((rows.column(0).to_pylist(), rows.column(1).to_pylist(), _matrix(rows.column(2).combine_chunks()) if rows.num_rows else np.zeros((0, 1))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = _Block(*sent.value, k, arrow)
             for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                docs, x = np.array(b.column(0).to_pylist(), str), _matrix(b.column(1))
-                own = {d[1:]: c for c, d in enumerate(docs.tolist())} if exclude_self else {}
-                groups = b.column(2).to_numpy(zero_copy_only=False) if group else np.zeros(len(docs), np.int64)
-                for lo in range(0, len(ids), 256):
-                    s = np.round(matrix[lo : lo + 256] @ x.T, 6)
-                    for r, qid in enumerate(ids[lo : lo + 256] if exclude_self else ()):
-                        if (c := own.get(qid[1:])) is not None:
-                            s[r, c] = -np.inf
-                    for g in np.unique(groups):
-                        at = np.flatnonzero(groups == g)
-                        sub = s[:, at]
-                        ok = np.isfinite(sub)
-                        if k is not None and len(at) > k:
-                            ok &= sub >= np.partition(sub, len(at) - k, axis=1)[:, len(at) - k, None]
-                        r, c = np.nonzero(ok)
-                        found = lo + r, groups[at[c]], docs[at[c]], sub[r, c]
-                        if k is None:
-                            yield _batch(ids, *found, kind, group)
-                        else:
-                            held.append(found)
-                if k is not None:
-                    held = [_best(*(np.concatenate(v) for v in zip(*held)), k)]
-            if held:
-                yield _batch(ids, *held[0], kind, group)
-
-        columns = p.select("docid", "embedding", *([group] if group else []))
-        found = columns.mapInArrow(run, "qid string, docid string, score double" + (f", {group} {kind[group]}" if group else ""))
-        out = found if out is None else out.unionByName(found)
-    return out
+                yield from block.add(b.column(0), b.column(1), b.column(2) if group else None)
+            yield from block.end()
+
+        found = vectors.mapInArrow(run, out)
+    else:
+        down = -(-size // MATRIX_BYTES)
+        across = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // down))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, own, parts, block = [], [], [], None
+            for b in batches:
+                first = int(pc.sum(pc.equal(b.column("side"), 0)).as_py() or 0)
+                if first:
+                    mine = b.column("q").slice(0, first)
+                    ids += mine.field("qid").to_pylist()
+                    own += mine.field("own").to_pylist()
+                    parts.append(_matrix(mine.field("embedding")))
+                if first < b.num_rows and parts:
+                    block = block or _Block(ids, own, np.concatenate(parts), k, arrow)
+                    theirs = b.column("p").slice(first)
+                    yield from block.add(theirs.field("docid"), theirs.field("embedding"), theirs.field("group") if group else None)
+            if block:
+                yield from block.end()
+
+        found = grid(queries, vectors, down, across, "qid", "docid").mapInArrow(meet, out)
+    return found.withColumnRenamed("group", group) if group else found
 
 
 def nearest_blocks(p: DataFrame, q: DataFrame) -> list[DataFrame]:
@@ -140,16 +210,8 @@ def nearest_blocks(p: DataFrame, q: DataFrame) -> list[DataFrame]:
     return out
 
 
-def _batch(ids, q, g, doc, score, kind, group) -> pa.RecordBatch:
-    columns, names = [pa.array(ids[q], pa.string()), pa.array(doc.tolist(), pa.string()), pa.array(score)], ["qid", "docid", "score"]
-    if group:
-        columns.append(pa.array(g.tolist(), {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind[group]]))
-        names.append(group)
-    return pa.RecordBatch.from_arrays(columns, names)
-
-
 def knn_blocked(q: DataFrame, p: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """The form for scale: one scan of p, block products in tasks, k rows a query and partition to the shuffle."""
+    """The form for scale: one scan of p, block products in tasks, k rows a query and task to the shuffle. Rows without a docid or vector are no results."""
     return ranked(_blocked(q, p, k, exclude_self), k=k)
 
 
@@ -174,55 +236,6 @@ def merge_runs(runs: list[DataFrame], depth: int = 100) -> DataFrame:
     return ranked(out.groupBy("qid", "docid").agg(F.max("score").alias("score")), k=depth)
 
 
-def _rerank(cands: DataFrame, q: DataFrame, p: DataFrame, k: int) -> DataFrame:
-    full = cands.join(q.select("qid", F.col("embedding").alias("qe")), "qid").join(p.select("docid", F.col("embedding").alias("pe")), "docid")
-    return ranked(full.select("qid", "docid", F.round(dot("qe", "pe"), 6).alias("score")), k=k)
-
-
-def knn_ivf(q: DataFrame, p: DataFrame, k: int, nlist: int = 16, nprobe: int = 12, seed: int = 7, sample: int = 50_000, exclude_self: bool = False) -> DataFrame:
-    """Coarse cells by k-means, fitted on at most `sample` vectors of least id hash; every vector is indexed; nprobe cells are searched exactly."""
-    fit = p.orderBy(F.xxhash64("docid"), "docid").limit(sample).select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=20).fit(fit)
-    index = model.transform(p.withColumn("features", array_to_vector("embedding"))).select("docid", "embedding", F.col("prediction").alias("cell"))
-    centres = p.sparkSession.createDataFrame([(f"c{i}", [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "docid string, embedding array<double>")
-    # nearest cells by Euclidean distance: q.c - |c|^2 / 2
-    near = q.select("qid", F.col("embedding").alias("qe")).crossJoin(F.broadcast(centres.withColumnRenamed("docid", "cell_id").withColumnRenamed("embedding", "ce")))
-    near = near.select("qid", F.substring("cell_id", 2, 9).cast("int").alias("cell"), (dot("qe", "ce") - dot("ce", "ce") / 2).alias("score"))
-    probes = ranked(near, k=nprobe, tie="cell").select("qid", "cell")
-    pairs = index.join(probes, "cell").join(q.select("qid", F.col("embedding").alias("qe")), "qid")
-    if exclude_self:
-        pairs = pairs.where("substring(qid, 2) <> substring(docid, 2)")
-    return ranked(pairs.select("qid", "docid", F.round(dot("qe", "embedding"), 6).alias("score")), k=k)
-
-
-def quantized(p: DataFrame) -> DataFrame:
-    """The index of `knn_approx`: every vector as signed bytes, scaled by its own largest entry, a quarter of the size."""
-    top = F.greatest(F.array_max(F.transform("embedding", F.abs)).cast("double"), F.lit(1e-30))
-    rows = p.select("docid", "embedding", (top / 127).alias("scale"))
-    return rows.select("docid", F.transform("embedding", lambda v: F.round(v.cast("double") / F.col("scale")).cast("tinyint")).alias("codes"), "scale")
-
-
-def knn_approx(q: DataFrame, p: DataFrame, k: int, complexity: int | None = None, exclude_self: bool = False, index: DataFrame | None = None) -> DataFrame:
-    """Approximate search with a candidate budget (default 5k, at least k): the best `complexity` by quantized vectors, exactly reranked.
-
-    A larger budget keeps more candidates, so recall rises with it. The index may be built once, written and passed in.
-    """
-    budget = max(k, 5 * k if complexity is None else complexity)
-    index = quantized(p) if index is None else index
-    coarse = index.select("docid", F.transform("codes", lambda c: c.cast("double") * F.col("scale")).alias("embedding"))
-    cands = ranked(_blocked(q, coarse, budget, exclude_self), k=budget).select("qid", "docid")
-    return _rerank(cands, q, p, k)
-
-
-def sparse_retrieve(qw: DataFrame, dw: DataFrame, k: int = 1000) -> DataFrame:
-    """Impact search over an inverted index: qw (qid, token, weight), dw (docid, token, weight).
-
-    Frequent tokens are skewed keys; the join is left to adaptive skew splitting and sums are partial before the shuffle.
-    """
-    hits = dw.select("docid", "token", F.col("weight").alias("dw")).join(qw.select("qid", "token", F.col("weight").alias("qw")), "token")
-    return ranked(hits.groupBy("qid", "docid").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 6).alias("score")), k=k)
-
-
 def rerank(results: DataFrame, scorer: Callable[[DataFrame], DataFrame] | Column) -> DataFrame:
     """results (qid, docid, rank, ..): new_rank by the scorer's score, old_rank as it was. The scorer is a column or an Arrow UDF over columns."""
     scored = scorer(results) if callable(scorer) else results.withColumn("new_score", scorer)

@@ -20,7 +20,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").where("vec_id % 25 = 0").select(F.expr("concat('q', vec_id)").alias("qid"), "embedding", "label", "vec_id")
+    return table(spark, sf, "embeddings").where("vec_id % 25 = 0").select(F.expr("concat('q', vec_id)").alias("qid"), F.expr("concat('d', vec_id)").alias("own"), "embedding", "label", "vec_id")
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:

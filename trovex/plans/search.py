@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import stored
 from ..operators import evaluation as E
-from ..operators import layout, search
+from ..operators import ann, inverted, layout, search
 from ..operators.filters import prune_shards
 from . import fixtures as fx
 from .registry import query
@@ -35,8 +35,8 @@ def sim3_knn_sharded(spark, sf):
 
 @query(fx.sql("allrun", RUN10))
 def sim4_merge_runs(spark, sf):
-    q, p = fx.queries(spark, sf), fx.vectors(spark, sf)
-    runs = [search.knn_blocked(q, p.where(F.col("shard") == s), 10, exclude_self=True) for s in range(4)]
+    each = stored(search.ground_truth(fx.queries(spark, sf), fx.vectors(spark, sf), 10, per_shard=True, exclude_self=True))
+    runs = [each.where(F.col("shard") == n) for n in range(4)]
     return _out(search.merge_runs(runs, 10))
 
 
@@ -46,27 +46,35 @@ def sim5_ground_truth(spark, sf):
     return g.select("qid", "docid", "shard", F.col("rank").cast("long").alias("rank"), "score")
 
 
-def _checked(spark, sf, found):
-    """(qid, n, exact, recalled): rows found, whether all their scores are the vectors' own, and whether 0.9 of all queries' exact best ten are among them."""
+def _checked(spark, sf, found, share):
+    """(qid, n, exact, recalled, pruned): rows found, whether all their scores are the vectors' own, whether 0.9 of all queries' exact best ten are among them, and whether the share of work done is within its bound."""
     q = fx.queries(spark, sf).select("qid", F.col("embedding").alias("qe"))
     both = found.join(q, "qid").join(fx.vectors(spark, sf).select("docid", F.col("embedding").alias("pe")), "docid")
     truth = fx.run(spark, sf).where("rank <= 10").select("qid", "docid", F.lit(1).alias("hit"))
     per = stored(both.join(truth, ["qid", "docid"], "left").groupBy("qid").agg(F.count("*").alias("n"), F.bool_and(F.col("score") == F.round(search.dot("qe", "pe"), 6)).alias("exact"), F.count("hit").alias("hits")))
     hits, queries = per.agg(F.sum("hits"), F.count("*")).first()
-    return per.select("qid", "n", "exact", F.lit((hits or 0) >= 0.9 * 10 * queries).alias("recalled"))
+    return per.select("qid", "n", "exact", F.lit((hits or 0) >= 0.9 * 10 * queries).alias("recalled"), F.lit(share).alias("pruned"))
 
 
-PROP = fx.sql("vq", " SELECT qid, 10::BIGINT AS n, true AS exact, true AS recalled FROM vq")
+PROP = fx.sql("vq", " SELECT qid, 10::BIGINT AS n, true AS exact, true AS recalled, true AS pruned FROM vq")
 
 
 @query(PROP)
 def sim6_knn_ivf(spark, sf):
-    return _checked(spark, sf, search.knn_ivf(fx.queries(spark, sf), fx.vectors(spark, sf), 10, nlist=8, nprobe=7, exclude_self=True))
+    """A quarter of the cells is probed."""
+    q, p = fx.queries(spark, sf), fx.vectors(spark, sf)
+    index = ann.ivf_index(p)
+    return _checked(spark, sf, ann.knn_ivf(q, p, 10, index, nprobe=len(index.centres) // 4, exclude_self=True), True)
 
 
 @query(PROP)
 def sim7_knn_approx(spark, sf):
-    return _checked(spark, sf, search.knn_approx(fx.queries(spark, sf), fx.vectors(spark, sf), 10, complexity=200, exclude_self=True))
+    """At most 0.28 of all pairs of a query and a row are scored."""
+    q, p = fx.queries(spark, sf), fx.vectors(spark, sf)
+    index = ann.hash_tables(p)
+    budget = int(0.28 * index.rows)
+    cands = stored(ann.candidates(q, index, budget, exclude_self=True))
+    return _checked(spark, sf, ann.exact_scores(cands, q, p, 10), cands.count() < 0.3 * index.rows * q.count())
 
 
 SPARSE = fx.sql("weights", ", qw AS (SELECT 'q' || substring(docid, 2) AS qid, token, weight FROM weights WHERE substring(docid, 2)::BIGINT % 50 = 0), s AS (SELECT qid, docid, round(sum(q.weight * d.weight), 6) AS score FROM qw q JOIN weights d USING (token) GROUP BY qid, docid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM s) SELECT qid, docid, rank::BIGINT AS rank, round(score, 3) AS score FROM r WHERE rank <= 20")
@@ -76,7 +84,7 @@ SPARSE = fx.sql("weights", ", qw AS (SELECT 'q' || substring(docid, 2) AS qid, t
 def sim8_sparse_retrieve(spark, sf):
     dw = stored(fx.weights(spark, sf))
     qw = dw.where("cast(substring(docid, 2) as bigint) % 50 = 0").select(F.expr("concat('q', substring(docid, 2))").alias("qid"), "token", "weight")
-    return search.sparse_retrieve(qw, dw, 20).select("qid", "docid", F.col("rank").cast("long").alias("rank"), F.round("score", 3).alias("score"))
+    return inverted.sparse_retrieve(qw, dw, 20).select("qid", "docid", F.col("rank").cast("long").alias("rank"), F.round("score", 3).alias("score"))
 
 
 @query(fx.sql("run", " SELECT qid, docid, rank::BIGINT AS old_rank, row_number() OVER (PARTITION BY qid ORDER BY md5(qid || docid) DESC, docid) AS new_rank FROM run"))
