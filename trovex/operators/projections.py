@@ -126,7 +126,8 @@ def nfd(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFD", t))
 
 
-TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}\p{L}\p{N}\p{M}]"
+#: Fixed value: the tokens that answers are compared by
+TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
 
 
 def answer_tokens(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:

@@ -93,7 +93,7 @@ def keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("user_id % 5 <> 0").select(F.expr("concat('k', user_id)").alias("api_key")).distinct()
 
 
-TOKENS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{Z}}\p{{C}}\p{{L}}\p{{N}}\p{{M}}]'), x -> lower(x))"
+TOKENS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{Z}}\p{{C}}]'), x -> lower(x))"
 JOINED = "chr(1) || array_to_string(" + TOKENS + ", chr(1)) || chr(1)"
 
 #: The same tables in DuckDB's SQL, each by name; `sql` puts those that a query names before it.

@@ -77,20 +77,30 @@ def src6_read_anns_truth(spark, sf):
     return readers.read_anns_truth(spark, _text(spark, _lines(_in_order(fx.run(spark, sf)), "qid", "docid"), "truth"))
 
 
-@query(fx.sql("vp", " SELECT vec_id AS row_idx, round(list_sum(embedding), 4) AS total FROM vp WHERE vec_id BETWEEN 100 AND 349"))
-def src7_read_vectors(spark, sf):
+EACH = "round(embedding[i], 6) AS value FROM vp, range(1, 65) t(i)"
+
+
+def _each(v):
+    """(row_idx, dim, value) of vectors."""
+    return v.select("row_idx", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+def _vector_files(spark, sf):
     path = scratch(spark, "vectors")
-    binary.write_vectors(fx.vectors(spark, sf).select(F.col("vec_id").alias("row_idx"), "embedding"), path, 128)
-    v = binary.read_vectors(spark, path, 100, 250)
-    return v.select("row_idx", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    return path, binary.write_vectors(fx.vectors(spark, sf).select(F.col("vec_id").alias("row_idx"), "embedding"), path, 128)
+
+
+@query(fx.sql("vp", f" SELECT vec_id AS row_idx, (i - 1)::INT AS dim, {EACH} WHERE vec_id BETWEEN 100 AND 349"))
+def src7_read_vectors(spark, sf):
+    return _each(binary.read_vectors(spark, _vector_files(spark, sf)[0], 100, 250, rows=100))
 
 
-@query(fx.sql("allrun", " SELECT substring(qid, 2)::INT // 25 AS query_idx, rank::INT AS rank, substring(docid, 2)::INT AS doc_idx, round(score::FLOAT::DOUBLE, 4) AS distance FROM allrun WHERE rank <= 10"))
+@query(fx.sql("run", " SELECT substring(qid, 2)::INT // 25 AS query_idx, rank::INT AS rank, substring(docid, 2)::INT AS doc_idx, round(score::FLOAT::DOUBLE, 4) AS distance FROM run"))
 def src8_read_truth_bin(spark, sf):
     path = scratch(spark, "truth")
-    r = fx.run(spark, sf).where("rank <= 10").select(F.expr("cast(substring(qid, 2) as int) div 25").cast("int").alias("query_idx"), "rank", F.expr("cast(substring(docid, 2) as int)").alias("doc_idx"), F.col("score").alias("distance"))
+    r = fx.run(spark, sf).select(F.expr("cast(substring(qid, 2) as int) div 25").cast("int").alias("query_idx"), "rank", F.expr("cast(substring(docid, 2) as int)").alias("doc_idx"), F.col("score").alias("distance"))
     binary.write_truth_bin(r, path, per_part=8)
-    return binary.read_truth_bin(spark, path).withColumn("distance", F.round(F.col("distance").cast("double"), 4))
+    return binary.read_truth_bin(spark, path, rows=3).withColumn("distance", F.round(F.col("distance").cast("double"), 4))
 
 
 def _shards(spark, sf):
@@ -219,9 +229,15 @@ def snk3_to_trec(spark, sf):
     return writers.to_trec(r.unionByName(own), remove_query=True)
 
 
-@query("SELECT (vec_id // 128)::INT AS part, count(*) AS n FROM embeddings GROUP BY 1")
+@query(fx.sql("vp", f" SELECT vec_id AS row_idx, (i - 1)::INT AS dim, {EACH}"))
 def snk4_write_vectors(spark, sf):
-    return binary.write_vectors(fx.vectors(spark, sf).select(F.col("vec_id").alias("row_idx"), "embedding"), scratch(spark, "vectors"), 128)
+    """The written files, read back row by row."""
+    return _each(binary.read_vectors(spark, _vector_files(spark, sf)[0]))
+
+
+@query("SELECT (vec_id // 128)::INT AS part, count(*) AS n FROM embeddings GROUP BY 1")
+def snk4b_written_parts(spark, sf):
+    return _vector_files(spark, sf)[1]
 
 
 @query(fx.sql("qrels vp", SHARDED + ", f AS (SELECT qid, min(substring(docid, 2)::INT) AS v FROM qrels GROUP BY qid) SELECT substring(qid, 2)::INT // 25 - 1 AS query_idx, 1 AS rank, v::INT AS doc_idx FROM f"))
