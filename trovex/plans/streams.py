@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import scratch
+from ..model import scratch, stored
 from ..operators.training import hashing_encoder
 from ..streaming import jobs
 from . import fixtures as fx
@@ -12,7 +12,7 @@ from .registry import query
 from .training import ENCODED
 
 
-AT_ONCE = 1 << 30  #: files a batch, where rows of several must not be late for one another
+FILES = 5  #: of a stream whose rows come in about the order of their times, in as many batches
 
 
 def _stream(spark, df, schema, parts=4, per_batch=4):
@@ -36,14 +36,37 @@ def str1_stream_search_log(spark, sf):
     return spark.read.schema("id long, complexity int").parquet(sink)
 
 
-@query(fx.sql("log", ", w AS (SELECT time_bucket(INTERVAL 60 seconds, ts) AS start, search_type AS component, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS worst, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM log GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 60 seconds <= (SELECT max(ts) - INTERVAL 10 minutes FROM log)"))
+def _batches(spark, df, schema, parts=FILES):
+    """A stream of several batches. A row comes up to eight minutes after its time, by its id, so batches overlap; no row is later than the jobs allow."""
+    path = scratch(spark, "stream")
+    first, last = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    comes = F.unix_micros("ts") + F.pmod(F.xxhash64("id"), F.lit(480_000_000))
+    part = F.least(F.floor((comes - (first or 0)) * parts / ((last or 0) - (first or 0) + 1)), F.lit(parts - 1)).cast("int")
+    rows = stored(df.withColumn("_part", part))
+    for i in range(parts):  # files are taken in the order in which they were written
+        rows.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, schema, 1)
+
+
+WINDOWS = ", w AS (SELECT time_bucket(INTERVAL {width}, ts) AS start, search_type AS component, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS worst, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM log GROUP BY 1, 2)"
+
+
+@query(fx.sql("log", WINDOWS.format(width="60 seconds") + " SELECT * FROM w WHERE start + INTERVAL 60 seconds <= (SELECT max(ts) - INTERVAL 10 minutes FROM log)"))
 def str2_latency_windows(spark, sf):
-    """Closed windows. All files in one batch, so that no row is late."""
+    """Closed windows, over several batches."""
     sink = scratch(spark, "sink")
-    src = _stream(spark, fx.log(spark, sf), LOG, per_batch=AT_ONCE).withColumnRenamed("search_type", "component")
-    jobs.run_append(jobs.latency_windows(src), sink, scratch(spark, "checkpoint"))
-    out = spark.read.schema("start timestamp, component string, n long, mean double, worst double, p50 double, p95 double").parquet(sink)
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    src = _batches(spark, fx.log(spark, sf), LOG).withColumnRenamed("search_type", "component")
+    jobs.run_append(jobs.latency_sketches(src), sink, scratch(spark, "checkpoint"))
+    out = spark.read.schema("start timestamp, component string, n long, total double, worst double, sketch binary").parquet(sink)
+    return jobs.report(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(fx.sql("log", WINDOWS.format(width="1 hour") + " SELECT start, component, n, mean, worst FROM w"))
+def str2b_merged_windows(spark, sf):
+    """Hours, merged from the sketches of minutes."""
+    log = fx.log(spark, sf).withColumnRenamed("search_type", "component")
+    hours = jobs.merged(jobs.latency_sketches(log, late=None), "1 hour")
+    return jobs.report(hours).select(F.col("start").cast("timestamp_ntz").alias("start"), "component", "n", "mean", "worst")
 
 
 @query(fx.sql("log", " SELECT id, value FROM log WHERE value > 60"))
@@ -62,31 +85,37 @@ def str4_active_keys(spark, sf):
 
 @query(ENCODED.format(id="doc_id", text="text", table="documents"))
 def str5_incremental_encode(spark, sf):
-    sink = scratch(spark, "sink")
-    src = _stream(spark, fx.corpus(spark, sf).select("docid", "text"), "docid string, text string", 8)
-    jobs.drain(jobs.incremental_encode(src, hashing_encoder(), sink, scratch(spark, "checkpoint")))
+    """Every document comes three times, in several batches; a second run takes up from the first one's checkpoint."""
+    sink, checkpoint, path = (scratch(spark, name) for name in ("sink", "checkpoint", "stream"))
+    docs = fx.corpus(spark, sf).select("docid", "text")
+    for again in (1, 2):
+        docs.unionByName(docs.limit(0) if again == 1 else docs).repartition(3).write.mode("append").parquet(path)
+        src = jobs.file_stream(spark, path, "docid string, text string", 2)
+        jobs.drain(jobs.incremental_encode(src, hashing_encoder(), sink, checkpoint))
     e = spark.read.schema("docid string, embedding array<double>").parquet(sink)
     return e.select("docid", F.posexplode("embedding").alias("dim", "x")).select("docid", "dim", F.round("x", 6).alias("value")).where("value <> 0")
 
 
-SESSIONS = ", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY api_key ORDER BY ts) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS new FROM log), s AS (SELECT *, sum(new) OVER (PARTITION BY api_key ORDER BY ts, id) AS s FROM g) SELECT api_key AS session_key, min(ts) AS start, count(*) AS n, first(search_type ORDER BY id % 5, search_type) AS original_query, max(id % 5) AS iterations FROM s GROUP BY api_key, s"
-SESSION = "session_key string, start timestamp, n long, original_query string, iterations long"
-
+SESSIONS = ", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY api_key ORDER BY ts) <= INTERVAL 30 minutes THEN 0 ELSE 1 END AS new FROM log), s AS (SELECT *, sum(new) OVER (PARTITION BY api_key ORDER BY ts, id) AS s FROM g) SELECT api_key AS session_key, min(ts) AS start, count(*) AS n, first(search_type ORDER BY id % 5, ts, search_type) AS original_query, max(id % 5) AS iterations, string_agg(search_type, ' ' ORDER BY id % 5, ts, search_type) AS trace FROM s GROUP BY api_key, s"
 
 def _requests(log):
     return log.select("ts", F.col("api_key").alias("session_key"), F.col("search_type").alias("query"), F.expr("id % 5").alias("iteration"))
 
 
+def _told(sessions):
+    return sessions.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("trace", F.array_join("trace", " "))
+
+
 @query(fx.sql("log", SESSIONS))
 def str6_session_trace(spark, sf):
     """The batch form of the job: all sessions, the last ones too."""
-    return jobs.session_trace(_requests(fx.log(spark, sf)), late=None).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _told(jobs.session_trace(_requests(fx.log(spark, sf))))
 
 
 @query(fx.sql("log", SESSIONS + " HAVING max(ts) + INTERVAL 30 minutes <= (SELECT max(ts) - INTERVAL 10 minutes FROM log)"))
 def str6b_session_stream(spark, sf):
-    """The job drained over files: sessions that the watermark has passed."""
+    """The job drained over several batches: sessions that the watermark has passed."""
     sink = scratch(spark, "sink")
-    src = _requests(_stream(spark, fx.log(spark, sf), LOG, per_batch=AT_ONCE))
-    jobs.run_append(jobs.session_trace(src), sink, scratch(spark, "checkpoint"))
-    return spark.read.schema(SESSION).parquet(sink).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    src = _requests(_batches(spark, fx.log(spark, sf), LOG))
+    jobs.run_append(jobs.session_stream(src), sink, scratch(spark, "checkpoint"))
+    return _told(spark.read.schema(jobs.SESSION).parquet(sink))

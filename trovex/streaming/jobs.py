@@ -5,13 +5,19 @@ Late rows: 10 minutes by default. Each job takes a streaming DataFrame; `drain`
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 LATE = "10 minutes"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+SKETCH = 800  #: size of a quantile sketch: up to so many values are held as they are
+RANK_ERROR = 0.01  #: of a percentile's rank, as a share of all values, in merged sketches of that size
+SESSION = "session_key string, start timestamp, n long, original_query string, iterations long, trace array<string>"
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 4) -> DataFrame:
@@ -30,12 +36,33 @@ def stream_search_log(src: DataFrame, sink: str, checkpoint: str) -> StreamingQu
     return _append(src.withColumn("complexity", F.coalesce("complexity", 5 * F.col("k")).cast("int")), sink, checkpoint)
 
 
-def latency_windows(src: DataFrame, width: str = "60 seconds", late: str = LATE) -> DataFrame:
-    """src: (ts timestamp, component, value). A window is given out when the watermark has passed it. p50 and p95: a value of the window at that rank."""
-    g = src.withWatermark("ts", late).groupBy(F.window("ts", width), "component")
-    p50, p95 = (F.round(F.percentile_approx("value", p, 10_000), 6).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95")))
-    out = g.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("worst"), p50, p95)
-    return out.select(F.col("window.start").alias("start"), "component", "n", "mean", "worst", "p50", "p95")
+def latency_sketches(src: DataFrame, width: str = "60 seconds", late: str | None = LATE) -> DataFrame:
+    """src: (ts timestamp, component, value). (start, component, n, total, worst, sketch): a window's values as a mergeable quantile sketch.
+
+    A stream gives out a window when the watermark has passed it; late is None for a table.
+    """
+    rows = src if late is None else src.withWatermark("ts", late)
+    g = rows.groupBy(F.window("ts", width), "component")
+    out = g.agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("worst"), F.kll_sketch_agg_double(F.col("value").cast("double"), F.lit(SKETCH)).alias("sketch"))
+    return out.select(F.col("window.start").alias("start"), "component", "n", "total", "worst", "sketch")
+
+
+def merged(sketches: DataFrame, width: str) -> DataFrame:
+    """Sketches of longer windows from those of shorter ones, without the values."""
+    g = sketches.groupBy(F.window("start", width), "component")
+    out = g.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("worst").alias("worst"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"))
+    return out.select(F.col("window.start").alias("start"), "component", "n", "total", "worst", "sketch")
+
+
+def report(sketches: DataFrame, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(start, component, n, mean, worst, p50, p95, ..): a percentile's rank is within RANK_ERROR of all values of what it should be, and exact where a sketch holds all values."""
+    points = [F.round(F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))), 6).alias(f"p{round(100 * p)}") for p in shares]
+    return sketches.select("start", "component", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean"), F.round("worst", 6).alias("worst"), *points)
+
+
+def latency_windows(src: DataFrame, width: str = "60 seconds", late: str | None = LATE) -> DataFrame:
+    """The report of each window of a stream (ts timestamp, component, value) that the watermark has passed."""
+    return report(latency_sketches(src, width, late))
 
 
 def slow_requests(src: DataFrame, threshold: float = 60.0) -> DataFrame:
@@ -52,26 +79,113 @@ def active_keys_stream(src: DataFrame, keys: Callable[[], DataFrame], sink: str,
     return src.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def state_store(spark: SparkSession) -> None:
+    """State on the executors' disks with changes in the checkpoint, unless the session says otherwise."""
+    if spark.conf.get(STORE, None) is None:
+        spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def incremental_encode(src: DataFrame, encoder, sink: str, checkpoint: str) -> StreamingQuery:
-    """Encodes new files only; a batch that is run again overwrites its own folder, and ids are unique in it."""
+    """Encodes new files only, and a docid once, whatever batches and restarts it comes in: the ids seen are state in the checkpoint.
+
+    The first text of an id counts (of several in one batch, any). Rows without an id are told apart by their texts. A batch that is run again overwrites its own folder.
+    """
     from ..operators.training import encode_job
 
+    state_store(src.sparkSession)
+    key = F.coalesce(F.concat(F.lit("="), F.col("docid").cast("string")), F.sha2(F.coalesce("text", F.lit("")), 256))
+    new = src.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+
     def step(batch: DataFrame, number: int) -> None:
-        encode_job(batch.dropDuplicates(["docid"]), encoder).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        encode_job(batch, encoder).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return src.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return new.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def session_trace(src: DataFrame, gap: str = "30 minutes", late: str | None = LATE) -> DataFrame:
-    """src: (ts, session_key, query, iteration). (session_key, start, n, original_query, iterations): requests of one key with less than gap between them.
+def _seconds(gap: str) -> float:
+    return pd.Timedelta(gap).total_seconds()
 
-    iterations is the session's largest iteration number; the original query is that of its least one (of several, the least text).
-    late is None for a table, which gives its last sessions too; a stream gives out a session when the watermark has passed it.
+
+def session_trace(src: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """The batch form, over a table src (ts, session_key, query, iteration): all sessions, the last ones too.
+
+    (session_key, start, n, original_query, iterations, trace): requests of one key with at most gap between them. trace has their
+    queries by iteration (then time, then query), the original query is its first, and iterations is the largest number.
     """
-    rows = src if late is None else src.withWatermark("ts", late)
-    g = rows.groupBy(F.session_window("ts", gap).alias("w"), "session_key")
-    out = g.agg(F.count("*").alias("n"), F.min(F.struct("iteration", "query")).alias("first"), F.max("iteration").alias("iterations"))
-    return out.select("session_key", F.col("w.start").alias("start"), "n", F.col("first.query").alias("original_query"), "iterations")
+    g = src.groupBy(F.session_window("ts", gap).alias("w"), "session_key")
+    out = g.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("iteration", "ts", "query"))).alias("all"))
+    return out.select("session_key", F.col("w.start").alias("start"), "n", F.col("all.query")[0].alias("original_query"), F.element_at("all.iteration", -1).alias("iterations"), F.col("all.query").alias("trace"))
+
+
+class Sessions(StatefulProcessor):
+    """Open requests of a key, and a timer at the time when its earliest session ends."""
+
+    def __init__(self, gap: float) -> None:
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "ts timestamp, iteration long, query string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = sorted(self.open.get()) if self.open.exists() else []
+        passed = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            pdf = pdf[[self._ms(t.to_pydatetime()) > passed for t in pdf["ts"]]]
+            held += [(t.to_pydatetime(), None if pd.isna(i) else int(i), q) for t, i, q in zip(pdf["ts"], pdf["iteration"], pdf["query"])]
+        self._keep(held)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held, closed = [], []
+        for s in self._split(list(self.open.get()) if self.open.exists() else []):
+            if self._ends(s) > now:
+                held += s
+                continue
+            order = sorted(s, key=lambda r: (r[1] is not None, r[1] or 0, r[0], r[2] is not None, r[2] or ""))
+            closed.append((key[0], min(r[0] for r in s), len(s), order[0][2], order[-1][1], [r[2] for r in order]))
+        self._keep(held)
+        if closed:
+            yield pd.DataFrame(closed, columns=["session_key", "start", "n", "original_query", "iterations", "trace"])
+
+    def _split(self, rows: list[tuple]) -> list[list[tuple]]:
+        out: list[list[tuple]] = []
+        for r in sorted(rows, key=lambda r: r[0]):
+            if out and (r[0] - out[-1][-1][0]).total_seconds() <= self.gap:
+                out[-1].append(r)
+            else:
+                out.append([r])
+        return out
+
+    def _ends(self, session: list[tuple]) -> int:
+        return self._ms(session[-1][0]) + round(self.gap * 1000)
+
+    @staticmethod
+    def _ms(t: datetime) -> int:
+        return round(t.replace(tzinfo=t.tzinfo or timezone.utc).timestamp() * 1000)
+
+    def _keep(self, rows: list[tuple]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rows:
+            self.open.put(rows)
+            self.handle.registerTimer(min(self._ends(s) for s in self._split(rows)))
+        else:
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(src: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
+    """The rows of `session_trace` for a stream: a session is given out when the watermark has passed its end, whatever batches its requests came in.
+
+    Requests that come later than `late` behind the latest one of earlier batches are left out.
+    """
+    state_store(src.sparkSession)
+    rows = src.select("ts", "session_key", "query", F.col("iteration").cast("long").alias("iteration")).withWatermark("ts", late)
+    return rows.groupBy("session_key").transformWithStateInPandas(statefulProcessor=Sessions(_seconds(gap)), outputStructType=SESSION, outputMode="append", timeMode="eventTime")
 
 
 def run_append(df: DataFrame, sink: str, checkpoint: str) -> None:
