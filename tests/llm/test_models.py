@@ -1,5 +1,7 @@
 """Trees, quality, toxicity, URL rules, mixing: fixtures with known answers, held-out accuracy and edge cases."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -178,30 +180,88 @@ def test_raking_meets_targets():
     assert capped[0] == 1 and 0 < capped[1] < 1
 
 
+def raked(rows, budget=0.4, power=0.7):
+    """Each cell's probability, by scaling one margin after the other in plain dicts."""
+    have, keep = {}, {}
+    for r in rows:
+        key = (r.source, r.lang, r.topic)
+        have[key] = have.get(key, 0) + r.n_tokens
+    total = sum(have.values())
+    shares = []
+    for m in range(3):
+        seen = {}
+        for k, n in have.items():
+            seen[k[m]] = seen.get(k[m], 0) + n
+        flat = {v: n**power for v, n in seen.items()}
+        shares.append({v: n / sum(flat.values()) for v, n in flat.items()})
+    keep = {k: n * budget for k, n in have.items()}
+    for _ in range(200):
+        for m in range(3):
+            now = {}
+            for k, n in keep.items():
+                now[k[m]] = now.get(k[m], 0) + n
+            keep = {k: min(have[k], n * shares[m][k[m]] * budget * total / now[k[m]]) if now[k[m]] else n for k, n in keep.items()}
+    return {k: keep[k] / n if n else budget for k, n in have.items()}
+
+
+def number(doc_id, text_hash, nth):
+    """The draw of a row, in [0, 1)."""
+    return int(hashlib.md5(f"mix:{'' if doc_id is None else doc_id}:{text_hash}:{nth}".encode()).hexdigest()[:12], 16) / 2**48
+
+
 def test_mixing_equals_a_plain_recount(spark, docs, texts):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(texts) + 1
     by_id = dict(texts)
-    cells = {}
     for r in rows:
-        t = by_id[r.doc_id]
-        assert r.n_tokens == len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-        key = (r.source, r.lang, r.topic)
-        cells[key] = cells.get(key, 0) + r.n_tokens
-    keys = sorted(cells)
-    codes, targets = [], []
-    for m in range(3):
-        values = sorted({k[m] for k in keys})
-        codes.append(np.array([values.index(k[m]) for k in keys]))
-        seen = np.bincount(codes[-1], [cells[k] for k in keys]) ** mixing.POWER
-        targets.append(seen / seen.sum())
-    want = dict(zip(keys, mixing.rake(np.array([float(cells[k]) for k in keys]), codes, targets)))
+        assert r.n_tokens == len(re.findall(r"[^\x20\x09-\x0D]+", by_id[r.doc_id] or ""))
+    chance = raked(rows)
     for r in rows:
-        assert r.probability == pytest.approx(want[r.source, r.lang, r.topic], rel=1e-9)
+        assert r.probability == pytest.approx(chance[r.source, r.lang, r.topic], rel=1e-6)
     drawn = mixing.sample(docs)
     assert drawn.columns == docs.columns and sorted(r.doc_id for r in drawn.collect()) == sorted(r.doc_id for r in rows if r.kept)
 
 
+def test_the_query_draws_by_raked_probabilities(spark, sf):
+    from trovex.llm.queries import QUERIES
+
+    rows = QUERIES["op8_source_mixing"](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    hashes = {r.doc_id: (r.h, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    assert len(rows) == len(hashes)
+    chance = raked(rows)
+    for r in rows:
+        p = chance[r.source, r.lang, r.topic]
+        assert r.n_tokens == hashes[r.doc_id][1] and r.probability == pytest.approx(p, rel=1e-5)
+        assert r.kept == (number(r.doc_id, hashes[r.doc_id][0], 0) < r.probability)
+
+
+def test_rows_without_an_id_and_repeated_rows_are_drawn_one_by_one(spark):
+    rows = [(None, f"word{i} here", "s", "en") for i in range(400)] + [(7, f"other{i} text", "s", "en") for i in range(400)] + [(8, "the same row", "s", "en")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(1)
+    got = mixing.mix(docs, topic_of=F.lit("t"), columns=["doc_id", "text"]).collect()
+    for group in (None, 7, 8):
+        own = [r for r in got if r.doc_id == group]
+        kept, p = sum(r.kept for r in own), own[0].probability
+        assert len(own) == 400 and abs(kept - 400 * p) < 3 * (400 * p * (1 - p)) ** 0.5
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs, topic_of=F.lit("t"), columns=["doc_id", "text"]).collect()))
+
+
+def test_topics_are_not_languages(spark, sf):
+    """Mutual information of topic and language, as a share of what there is to know of the language, with two languages' own vocabularies and at sf0.01."""
+
+    def shared(rows):
+        joint, n = {}, len(rows)
+        for t, lang in rows:
+            joint[t, lang] = joint.get((t, lang), 0) + 1 / n
+        of = lambda i: {v: sum(p for k, p in joint.items() if k[i] == v) for v in {k[i] for k in joint}}
+        a, b = of(0), of(1)
+        return sum(p * math.log(p / a[t] / b[lang]) for (t, lang), p in joint.items()) / -sum(p * math.log(p) for p in b.values())
+
+    got = mixing.mix(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")).select("topic", "lang").collect()
+    assert len({t for t, _ in got}) == mixing.TOPICS and shared(got) < 0.15
+
+
 def test_topics_are_found_and_hold_for_all_texts(spark):
     """Three vocabularies make three topics, whatever the sample; the count of words is the plain one."""
     r = random.Random(8)
