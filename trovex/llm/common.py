@@ -6,7 +6,6 @@ follows its longest document and not the batch. Nulls count as empty texts.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 from uuid import uuid4
@@ -14,9 +13,11 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import shared_dir
+
 SLICE_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1  #: stands for a null doc_id where ids are ordered: after all others
 
@@ -42,16 +43,12 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """Cuts the lineage in the shared folder of spark.checkpoint.dir."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trovex-checkpoint-"))
-    return sc.getCheckpointDir()
+checkpoint_dir = shared_dir
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:
