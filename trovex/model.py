@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,14 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one, but only if there is no other machine."""
     sc = spark.sparkContext
-    top = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if top is None:
-        top = tempfile.mkdtemp(prefix="trovex-")
-        sc.setCheckpointDir(top)
-    return f"{top}/{name}-{uuid4().hex}"
+    if sc.getCheckpointDir() is None:
+        top = sc.getConf().get("spark.checkpoint.dir")
+        if top is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="trovex-"))
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

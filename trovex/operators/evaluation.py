@@ -6,6 +6,7 @@ judgements as 0, unless said otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, floor
 
 from pyspark.ml.clustering import KMeans
@@ -205,9 +206,26 @@ def kmeans_spherical(vectors: DataFrame, k: int, iters: int = 20, seed: int = 7)
     return model.transform(v).select("docid", F.col("prediction").alias("cluster"))
 
 
-def cluster_members(assigned: DataFrame) -> DataFrame:
-    """(cluster, n, first_member): sizes and a representative, not the member lists, which may be as long as the table."""
-    return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.min("docid").alias("first_member"))
+def cluster_members(assigned: DataFrame, block: int = 10_000) -> DataFrame:
+    """(cluster, block, n, members): each cluster's docids, in blocks, as one may be as long as the table."""
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("_n"))
+    cut = assigned.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("docid"), F.ceil(F.col("_n") / block)).cast("int"))
+    return cut.groupBy("cluster", "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("docid")).alias("members"))
+
+
+def lloyd_spherical(vectors: DataFrame, centroids: DataFrame, iters: int = 20) -> DataFrame:
+    """(docid, cluster) after iters rounds of cosine k-means from given centroids (cluster, centroid): each round takes the mean directions of the vectors nearest to each.
+
+    A cluster without vectors goes. Only the centroids come to the driver.
+    """
+    found = assign_nearest(vectors, centroids)
+    kind = dict(centroids.dtypes)["cluster"]
+    for _ in range(iters):
+        means = mean_direction(vectors.join(found.withColumnRenamed("cluster", "_at"), "docid"), "_at")
+        rows = means.groupBy("_at").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("all")).select(F.col("_at").alias("cluster"), F.col("all.value").alias("centroid"))
+        sent = vectors.sparkSession.createDataFrame(rows.collect(), f"cluster {kind}, centroid array<double>")
+        found = assign_nearest(vectors, sent)
+    return found
 
 
 def assign_nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -226,17 +244,20 @@ def assign_nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return every.groupBy("docid").agg(best.cast(kind).alias("cluster"))
 
 
-def select_k(vectors: DataFrame, ks: list[int], seed: int = 7) -> DataFrame:
-    """(k, score, best, band): cosine silhouette for each k; k <= 1 or k >= n scores -1; the first maximum is best."""
-    v = vectors.select("docid", array_to_vector("embedding").alias("features")).cache()
-    n = v.count()
-    judge, rows = ClusteringEvaluator(distanceMeasure="cosine", featuresCol="features"), []
+def select_k(vectors: DataFrame, ks: list[int], seed: int = 7, clusters: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(k, score, best, band): cosine silhouette for each k; k <= 1 or k >= n scores -1, and so does a single cluster; the first maximum is best.
+
+    clusters: from (docid, embedding) and k to (docid, cluster); k-means unless given.
+    """
+    v = vectors.select("docid", "embedding").cache()
+    n, rows = v.count(), []
     for k in ks:
         score = -1.0
         if 1 < k < n:
-            out = KMeans(k=k, maxIter=20, seed=seed, distanceMeasure="cosine").fit(v).transform(v)
-            if out.select("prediction").distinct().limit(2).count() > 1:
-                score = judge.evaluate(out)
+            out = v.join((clusters or (lambda x, k: kmeans_spherical(x, k, seed=seed)))(v, k), "docid").select("embedding", F.col("cluster").alias("label")).cache()
+            if out.select("label").distinct().limit(2).count() > 1:
+                score = silhouette_cosine(out).first().value
+            out.unpersist()
         rows.append((k, float(score)))
     v.unpersist()
     best = max(rows, key=lambda r: r[1])[0]

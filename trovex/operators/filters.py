@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
-from .projections import LANGS, TOKEN, nfd
+from .projections import LANGS, TOKEN
+
+TOKENS = regex.compile(TOKEN)
 
 
 def filter_trainable(groups: DataFrame, min_pos: int = 1, min_neg: int = 1) -> DataFrame:
@@ -23,25 +27,68 @@ def drop_self_match(run: DataFrame) -> DataFrame:
     return run.where("qid <> docid")
 
 
-def tokens_of(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
+class Scanner:
+    """One automaton for all answers seen so far, each a sequence of tokens; a text is scanned once for all of them."""
+
+    SEPARATOR = "\x01"
+
+    def __init__(self, normalize: bool = True, most: int = 1 << 18) -> None:
+        self.normalize, self.most, self.scans = normalize, most, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.automaton, self.forms, self.stale, self.found = ahocorasick.Automaton(), {}, False, {}
+
+    def form(self, text: str) -> str:
+        """Lower-case tokens with a separator around each; nothing where there is no token."""
+        text = unicodedata.normalize("NFD", text) if self.normalize and not text.isascii() else text
+        tokens = TOKENS.findall(text)
+        return f"{self.SEPARATOR}{self.SEPARATOR.join(tokens)}{self.SEPARATOR}".lower() if tokens else ""
+
+    def know(self, answers: Iterable[str]) -> None:
+        """Adds answers to the automaton; it starts anew where that would be more than `most`."""
+        new = {a for a in answers if a not in self.forms}
+        if len(self.forms) + len(new) > self.most:
+            self.clear()
+            new = set(answers)
+        for a in new:
+            self.forms[a] = self.form(a)
+            if self.forms[a]:
+                self.automaton.add_word(self.forms[a], self.forms[a])
+        if new:
+            self.stale, self.found = True, {}
+
+    def scan(self, text: str) -> set[str]:
+        """The forms of all answers that stand in a text."""
+        if text not in self.found:
+            if self.stale and len(self.automaton):
+                self.automaton.make_automaton()
+            self.stale = False
+            if len(self.found) > 4096:
+                self.found = {}
+            self.scans += 1
+            self.found[text] = {w for _, w in self.automaton.iter(self.form(text))} if len(self.automaton) else set()
+        return self.found[text]
+
+    def hits(self, texts: list[str | None], answers: list) -> list[bool]:
+        asked = [[a for a in row if a is not None] if row is not None else [] for row in answers]
+        self.know(set().union(*asked) if asked else ())
+        return [t is not None and bool(row) and not self.scan(t).isdisjoint(f for a in row if (f := self.forms[a])) for t, row in zip(texts, asked)]
+
 
+def has_answer(cands: DataFrame, normalize: bool = True) -> DataFrame:
+    """cands: (.., text, answers array). hit: some answer's tokens stand in the text's tokens, one after the other.
 
-def _joined(tokens: Column) -> Column:
-    return F.concat(F.lit("\x01"), F.array_join(tokens, "\x01"), F.lit("\x01"))
+    Tokens are compared in lower case and, with normalize, decomposed. However many answers there are, a text is scanned once a batch for all.
+    """
 
+    @pandas_udf(BooleanType())
+    def found(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scanner = Scanner(normalize)
+        for texts, answers in parts:
+            yield pd.Series(scanner.hits(texts.tolist(), answers.tolist()), dtype=bool)
 
-def has_answer(cands: DataFrame, normalize: bool = True) -> DataFrame:
-    """cands: (.., text, answers array). hit: some answer's tokens stand in the text's tokens, one after the other."""
-    norm = nfd if normalize else (lambda c: c)
-    text = _joined(tokens_of(norm(F.coalesce("text", F.lit("")))))
-    rows = cands.withColumn("_t", text)
-    if normalize:  # a Python UDF can't stand inside a lambda: answers are decomposed as one string
-        rows = rows.withColumn("_a", F.split(nfd(F.array_join("answers", "\x02")), "\x02"))
-    else:
-        rows = rows.withColumn("_a", F.col("answers"))
-    hit = F.exists("_a", lambda a: (F.size(tokens_of(a)) > 0) & F.contains(F.col("_t"), _joined(tokens_of(a))))
-    return rows.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_t", "_a")
+    return cands.withColumn("hit", found("text", "answers"))
 
 
 @lru_cache(maxsize=4096)

@@ -13,12 +13,14 @@ def dense_index(df: DataFrame, key: str | list[str], name: str = "row") -> DataF
     from ..model import stored
 
     key = [key] if isinstance(key, str) else key
-    parts = stored(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_part", F.spark_partition_id()), "index")
+    # the id has the task in its upper bits and the place in its sorted rows in the lower 33
+    parts = stored(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()), "index")
+    parts = parts.withColumn("_part", F.shiftright("_at", 33))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*key)) - 1
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     # one row for each partition
-    return parts.withColumn(name, own).join(F.broadcast(before), "_part").withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_before")
+    return parts.join(F.broadcast(before), "_part").withColumn(name, (place + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_before", "_at")
 
 
 def rank_in_file_order(run: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ Vectors are ARRAY<FLOAT>. Scores are rounded to 6 places before ranking, ties go
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 MATRIX_BYTES = 64 << 20  #: of a query matrix: that is broadcast, or that a cell of the grid holds
 
@@ -236,8 +239,45 @@ def merge_runs(runs: list[DataFrame], depth: int = 100) -> DataFrame:
     return ranked(out.groupBy("qid", "docid").agg(F.max("score").alias("score")), k=depth)
 
 
+Scorer = Callable[[list[tuple[str, str]]], "list[float] | np.ndarray"]
+
+_SCORERS: dict[str, Scorer] = {}
+
+
+def score_pairs(results: DataFrame, make: Callable[[], Scorer], query: str = "query", text: str = "text", batch: int = 32) -> DataFrame:
+    """results (.., query, text) with new_score: pairs go through the scorer in batches of about equal length.
+
+    `make` builds the scorer (loads its model), once in each worker process, whatever the tasks and batches there.
+    """
+    key = uuid4().hex
+
+    @pandas_udf("double")
+    def scored(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for queries, texts in parts:
+            if key not in _SCORERS:
+                _SCORERS.clear()
+                _SCORERS[key] = make()
+            pairs = [(a or "", b or "") for a, b in zip(queries, texts)]
+            order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]) + len(pairs[i][1]))
+            out = np.empty(len(pairs))
+            for lo in range(0, len(order), batch):
+                chosen = order[lo : lo + batch]
+                found = _SCORERS[key]([pairs[i] for i in chosen])
+                if len(found) != len(chosen):
+                    raise ValueError(f"the scorer gave {len(found)} scores for {len(chosen)} pairs")
+                out[chosen] = found
+            yield pd.Series(out)
+
+    return results.withColumn("new_score", scored(query, text))
+
+
+def overlap_scorer() -> Scorer:
+    """The offline default: how many different words of the query stand in the text."""
+    return lambda pairs: [len({*a.split()} & {*b.split()}) for a, b in pairs]
+
+
 def rerank(results: DataFrame, scorer: Callable[[DataFrame], DataFrame] | Column) -> DataFrame:
-    """results (qid, docid, rank, ..): new_rank by the scorer's score, old_rank as it was. The scorer is a column or an Arrow UDF over columns."""
-    scored = scorer(results) if callable(scorer) else results.withColumn("new_score", scorer)
+    """results (qid, docid, rank, ..): new_rank by the scorer's score, old_rank as it was. The scorer is a column or a function that adds new_score, like `score_pairs`."""
+    scored = scorer(results) if callable(scorer) and not isinstance(scorer, Column) else results.withColumn("new_score", scorer)
     w = Window.partitionBy("qid").orderBy(F.desc("new_score"), "docid")
     return scored.withColumnRenamed("rank", "old_rank").withColumn("new_rank", F.row_number().over(w))

@@ -82,7 +82,7 @@ def ev10_trec_measures(spark, sf):
 
 @query(fx.sql("cands run", ", p AS (SELECT qid, bool_or(hit) FILTER (rank <= 10) AS ok FROM cands GROUP BY qid) SELECT round(avg(coalesce(ok, false)::INT), 6) AS value FROM (SELECT DISTINCT qid FROM run) LEFT JOIN p USING (qid)"))
 def ev11_answer_accuracy_at_k(spark, sf):
-    c = has_answer(fx.candidates(spark, sf), normalize=False)
+    c = has_answer(fx.candidates(spark, sf))
     return E.answer_accuracy_at_k(fx.run(spark, sf), c.select("qid", "docid", "hit"), 10)
 
 

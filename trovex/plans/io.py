@@ -287,7 +287,10 @@ def snk8_write_sparse_docs(spark, sf):
 
 @query(fx.sql("weights", IMPACTS + ", r AS (SELECT docid AS qid, token, unnest(range(0, weight)) FROM i) SELECT qid, md5(string_agg(token, ' ' ORDER BY token)) AS text FROM r GROUP BY qid"))
 def snk9_write_sparse_queries(spark, sf):
-    return writers.sparse_queries(_impacts(spark, sf).withColumnRenamed("docid", "qid")).withColumn("text", F.md5("text"))
+    path = scratch(spark, "sparse")
+    writers.write_sparse_queries(_impacts(spark, sf).withColumnRenamed("docid", "qid"), path)
+    at = lambda i: F.split_part("value", F.lit("\t"), F.lit(i))
+    return spark.read.text(path).select(at(1).alias("qid"), F.md5(at(2)).alias("text"))
 
 
 @query("SELECT event_id AS id, (event_id % 20 + 1)::INT AS k, (CASE WHEN event_id % 3 = 0 THEN 7 ELSE 5 * (event_id % 20 + 1) END)::INT AS complexity FROM events")

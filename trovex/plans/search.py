@@ -93,6 +93,14 @@ def sim9_rerank(spark, sf):
     return r.select("qid", "docid", F.col("old_rank").cast("long").alias("old_rank"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
+@query(fx.sql("run corpus query_texts", ", s AS (SELECT qid, docid, rank, len(list_intersect(list_distinct(regexp_extract_all(query, '\\S+')), list_distinct(regexp_extract_all(text, '\\S+')))) AS s FROM run JOIN corpus USING (docid) JOIN query_texts USING (qid)) SELECT qid, docid, rank::BIGINT AS old_rank, row_number() OVER (PARTITION BY qid ORDER BY s DESC, docid) AS new_rank FROM s"))
+def sim9b_rerank_texts(spark, sf):
+    """Pairs of texts through a scorer in batches."""
+    texts = fx.run(spark, sf).join(fx.corpus(spark, sf).select("docid", "text"), "docid").join(fx.query_texts(spark, sf), "qid")
+    r = search.rerank(texts, lambda df: search.score_pairs(df, search.overlap_scorer))
+    return r.select("qid", "docid", F.col("old_rank").cast("long").alias("old_rank"), F.col("new_rank").cast("long").alias("new_rank"))
+
+
 @query(fx.sql("run", ", r AS (SELECT qid, docid, round(score, 1) AS score FROM run) SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM r"))
 def sim10_rank_by_score(spark, sf):
     r = search.rank_by_score(fx.run(spark, sf).select("qid", "docid", F.round("score", 1).alias("score")))
@@ -141,10 +149,32 @@ def ev15_silhouette_cosine(spark, sf):
     return E.silhouette_cosine(fx.vectors(spark, sf))
 
 
-@query("SELECT count(*) AS n_vectors, 10::BIGINT AS n_clusters FROM embeddings")
+def _lloyd_sql(ks: str, rounds: int) -> str:
+    """CTEs u (unit vectors) and a0, a1, ..: (k, docid, cluster) before the first round and after each, from the vectors of ids below k."""
+    near = "a{n} AS (SELECT k, docid, cluster FROM (SELECT k, docid, cluster, row_number() OVER (PARTITION BY k, docid ORDER BY round(list_inner_product(embedding, c), 6) DESC, cluster) AS r FROM vp, c{n}) WHERE r = 1)"
+    mean = "c{n} AS (SELECT k, cluster, list(round(m / norm, 6) ORDER BY i) AS c FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY k, cluster)) AS norm FROM (SELECT k, cluster, i, avg(e[i]) AS m FROM a{p} JOIN u USING (docid), range(1, 65) t(i) GROUP BY k, cluster, i)) GROUP BY k, cluster)"
+    out = [", u AS (SELECT docid, list_transform(embedding, x -> x / sqrt(list_inner_product(embedding, embedding))) AS e FROM vp)", f"c0 AS (SELECT k, vec_id AS cluster, embedding AS c FROM vp, (SELECT unnest([{ks}]) AS k) WHERE vec_id < k)", near.format(n=0)]
+    for n in range(1, rounds + 1):
+        out += [mean.format(n=n, p=n - 1), near.format(n=n)]
+    return ", ".join(out)
+
+
+def _lloyd(v, k, rounds):
+    start = v.where("vec_id < " + str(k)).select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("centroid"))
+    return E.lloyd_spherical(v.select("docid", "embedding"), start, rounds)
+
+
+@query(fx.sql("vp", _lloyd_sql("5", 2) + " SELECT docid, cluster FROM a2"))
 def ev16_kmeans_spherical(spark, sf):
+    """The members of each cluster, after two rounds from given centroids."""
+    members = E.cluster_members(_lloyd(fx.vectors(spark, sf), 5, 2), 50)
+    return members.select(F.explode("members").alias("docid"), "cluster")
+
+
+@query("SELECT count(*) AS n_vectors, 10::BIGINT AS n_clusters FROM embeddings")
+def ev16b_kmeans_fitted(spark, sf):
     members = E.cluster_members(E.kmeans_spherical(fx.vectors(spark, sf), 10))
-    return members.agg(F.sum("n").alias("n_vectors"), F.count("*").alias("n_clusters"))
+    return members.agg(F.sum("n").alias("n_vectors"), F.count_distinct("cluster").alias("n_clusters"))
 
 
 @query(fx.sql("vp", ", c AS (SELECT vec_id AS cluster, embedding AS centroid FROM vp WHERE vec_id < 5), s AS (SELECT docid, cluster, round(list_inner_product(embedding, centroid), 6) AS s FROM vp, c), r AS (SELECT *, row_number() OVER (PARTITION BY docid ORDER BY s DESC, cluster) AS r FROM s) SELECT docid, cluster FROM r WHERE r = 1"))
@@ -153,10 +183,17 @@ def ev17_assign_nearest(spark, sf):
     return E.assign_nearest(v, v.where("vec_id < 5").select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("centroid")))
 
 
-@query("SELECT k::INT AS k, (k = 1) AS unscored FROM range(1, 5) t(k)")
+SCORED = _lloyd_sql("2, 3, 4", 1) + """, s AS (SELECT k, cluster, list(s ORDER BY i) AS s, any_value(n) AS n FROM (SELECT k, cluster, i, sum(e[i]) AS s, count(*) AS n FROM a1 JOIN u USING (docid), range(1, 65) t(i) GROUP BY k, cluster, i) GROUP BY k, cluster),
+d AS (SELECT a1.k, docid, a1.cluster AS own, s.cluster, s.n, CASE WHEN a1.cluster = s.cluster THEN (s.n - list_inner_product(e, s)) / greatest(s.n - 1, 1) ELSE 1 - list_inner_product(e, s) / s.n END AS d FROM a1 JOIN u USING (docid) JOIN s ON s.k = a1.k),
+ab AS (SELECT k, docid, min(d) FILTER (own = cluster) AS a, min(d) FILTER (own <> cluster) AS b, max(n) FILTER (own = cluster) AS n FROM d GROUP BY k, docid),
+v AS (SELECT k, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS score FROM ab GROUP BY k UNION ALL SELECT 1, -1.0)
+SELECT k::INT AS k, score, k = (SELECT arg_max(k, (score, -k)) FROM v) AS best, CASE WHEN score > 0.75 THEN 'strong' WHEN score > 0.5 THEN 'reasonable' WHEN score > 0.25 THEN 'weak' WHEN score > 0 THEN 'slight' ELSE 'none' END AS band FROM v"""
+
+
+@query(fx.sql("vp", SCORED))
 def ev18_select_k(spark, sf):
-    s = E.select_k(fx.vectors(spark, sf).select("docid", "embedding"), [1, 2, 3, 4])
-    return s.select("k", (F.col("score") == -1.0).alias("unscored"))
+    v = fx.vectors(spark, sf)
+    return E.select_k(v, [1, 2, 3, 4], clusters=lambda _, k: _lloyd(v, k, 1))
 
 
 @query(fx.sql("vp", ", u AS (SELECT label, list_transform(embedding, x -> x / sqrt(list_inner_product(embedding, embedding))) AS e FROM vp), m AS (SELECT label, i, avg(e[i]) AS m FROM u, range(1, 65) t(i) GROUP BY label, i), n AS (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY label)) AS n FROM m) SELECT label, (i - 1)::INT AS pos, round(m / n, 6) AS value FROM n"))

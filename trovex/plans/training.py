@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import table
+from ..model import scratch, stored, table
 from ..operators import layout
 from ..operators import training as T
 from ..operators.filters import filter_trainable
+from ..operators.joins import drop_positives
 from . import fixtures as fx
 from .registry import query
 
@@ -118,17 +119,46 @@ def trn5_from_dpr(spark, sf):
     return T.from_dpr(o, 2).select("query", F.array_join("positives", "|").alias("positives"), F.array_join("negatives", "|").alias("negatives"))
 
 
-@query(fx.sql("run qrels query_texts corpus", ", f AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM run r JOIN corpus USING (docid) WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.qid = r.qid AND q.docid = r.docid)) SELECT qid, least(64, len(regexp_extract_all(query, '\\S+')))::BIGINT AS n_query, least(30, (SELECT count(*) FROM f WHERE f.qid = t.qid AND r <= 200))::BIGINT AS n_negatives FROM query_texts t WHERE qid IN (SELECT qid FROM f)"))
-def trn6_pretokenize(spark, sf):
-    neg = fx.run(spark, sf).join(_texts(spark, sf), "docid").select("qid", "rank", "docid", "text")
-    out = T.pretokenize(fx.query_texts(spark, sf).select("qid", F.col("query").alias("text")), neg, fx.qrels(spark, sf), T.hash_tokenizer())
-    return out.select("qid", F.size("query").cast("long").alias("n_query"), F.size("negatives").cast("long").alias("n_negatives"))
+IDS = "array_to_string(list_transform(regexp_extract_all({}, '\\S+')[1:{}], w -> ('0x' || substring(md5(w), 1, 8))::BIGINT % 30000), ',')"
+PRETOKENIZED = f""", p AS (SELECT DISTINCT qid, docid FROM qrels),
+c AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY md5('1:' || qid || ':' || docid), docid) AS r FROM run r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.qid = r.qid AND p.docid = r.docid)),
+chosen AS (SELECT qid, docid, 'p' AS side, '' AS ord FROM p WHERE qid IN (SELECT qid FROM c) UNION ALL SELECT qid, docid, 'n', md5('1:' || qid || ':' || docid) FROM c WHERE r <= 5 AND qid IN (SELECT qid FROM p)),
+placed AS (SELECT qid, side, title, text, row_number() OVER (PARTITION BY qid, side ORDER BY ord, docid) - 1 AS place FROM chosen JOIN corpus USING (docid)),
+parts AS (SELECT qid, side, place::INT AS place, title, t.text, (t.i - 1)::INT AS part FROM placed, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) x(z), (SELECT z[1] AS text, z[2] AS i) t)
+SELECT qid, {IDS.format("'query: ' || query", 8)} AS query, side, place, part, {IDS.format("title || ' | ' || text", 16)} AS ids FROM parts JOIN query_texts USING (qid)"""
+
 
+def _pretokenized(spark, sf):
+    found = drop_positives(fx.run(spark, sf), fx.qrels(spark, sf))
+    q = fx.query_texts(spark, sf).select("qid", F.col("query").alias("text"))
+    return T.pretokenize(q, fx.qrels(spark, sf), found, fx.corpus(spark, sf), T.hash_tokens(), "query: <text>", "<title> | <text>", "\n", 16, 8, 5)
 
-@query(fx.sql("corpus", ", r AS (SELECT docid, text, row_number() OVER (ORDER BY docid) - 1 AS row, count(*) OVER () AS n FROM corpus) SELECT docid, least(128, len(regexp_extract_all(text, '\\S+')))::BIGINT AS n_tokens, (row // ((n + 9) // 10))::INT AS split FROM r"))
+
+@query(fx.sql("run qrels query_texts corpus", PRETOKENIZED))
+def trn6_pretokenize(spark, sf):
+    """A row for each passage of each document of a training row."""
+    ids = lambda c: F.array_join(c, ",")
+    rows = stored(_pretokenized(spark, sf))
+    sides = [rows.select("qid", "query", F.lit(side).alias("side"), F.posexplode(c).alias("place", "doc")) for side, c in (("p", "positives"), ("n", "negatives"))]
+    return sides[0].unionByName(sides[1]).select("qid", ids("query").alias("query"), "side", "place", F.posexplode("doc").alias("part", "x")).withColumn("ids", ids("x")).drop("x")
+
+
+@query(fx.sql("run qrels query_texts corpus", PRETOKENIZED.replace("SELECT qid, array_to_string", ", every AS (SELECT qid, array_to_string", 1) + ") SELECT query, count(*) FILTER (side = 'p') AS n_positives, count(*) FILTER (side = 'n') AS n_negatives FROM every WHERE part = 0 GROUP BY qid, query"))
+def trn6b_pretokenized_files(spark, sf):
+    """The rotated files, read back; no file has more rows than asked for."""
+    path = scratch(spark, "pretokenized")
+    T.write_pretokenized(_pretokenized(spark, sf), path, 5)
+    rows = spark.read.schema("query array<int>, positives array<array<array<int>>>, negatives array<array<array<int>>>").json(path)
+    largest = rows.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    if largest is not None and largest > 5:
+        raise ValueError("a file is too long")
+    return rows.select(F.array_join("query", ",").alias("query"), F.size("positives").cast("long").alias("n_positives"), F.size("negatives").cast("long").alias("n_negatives"))
+
+
+@query(fx.sql("corpus", f", r AS (SELECT docid, text, row_number() OVER (ORDER BY docid) - 1 AS row, count(*) OVER () AS n FROM corpus) SELECT docid, {IDS.format('text', 128)} AS ids, (row // ((n + 9) // 10))::INT AS split FROM r"))
 def trn7_tokenize_corpus(spark, sf):
-    out = T.tokenize_corpus(fx.corpus(spark, sf), T.hash_tokenizer(), 128)
-    return out.select("docid", F.size("input_ids").cast("long").alias("n_tokens"), "split")
+    out = T.tokenize_corpus(fx.corpus(spark, sf), T.hash_tokens(), 128)
+    return out.select("docid", F.array_join("input_ids", ",").alias("ids"), "split")
 
 
 ENCODED = "WITH w AS (SELECT {id} AS id, unnest(regexp_extract_all({text}, '\\S+')) AS w FROM {table}), h AS (SELECT id, ('0x' || substring(md5(w), 1, 8))::BIGINT AS h FROM w), s AS (SELECT id, (h // 2) % 16 AS dim, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL), n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY id)) AS n FROM s) SELECT 'd' || id AS docid, dim::INT AS dim, round(v / n, 6) AS value FROM n WHERE v <> 0"
@@ -136,7 +166,7 @@ ENCODED = "WITH w AS (SELECT {id} AS id, unnest(regexp_extract_all({text}, '\\S+
 
 @query(ENCODED.format(id="doc_id", text="text", table="documents"))
 def trn8_encode_job(spark, sf):
-    e = T.encode_job(fx.corpus(spark, sf).select("docid", "text"), T.hashing_encoder())
+    e = T.encode_to(fx.corpus(spark, sf).select("docid", "text"), T.hashing_encoder(), scratch(spark, "encoded"))
     return e.select("docid", F.posexplode("embedding").alias("dim", "x")).select("docid", "dim", F.round("x", 6).alias("value")).where("value <> 0")
 
 
