@@ -12,8 +12,9 @@ n - ceil(0.8 n) + 1 of the longer one's n runs, and of the first n - ceil(2 * 0.
 here is the rarest first, so passages that many texts share come last and propose next to nothing. Only
 pairs of different classes are compared. So the bound `small` changes the work and no class.
 
-Edge cases: a text of fewer words is one run; null and empty texts are one class; repeated rows share a class; an empty
-table gives no rows; other columns are ignored.
+Edge cases: a text of fewer words is one run; null and empty texts are one class; repeated rows share a class; the least id names
+a class, and ids must not be null (`simhash.keep_one` numbers the rows first, so its callers' may be); a similarity of exactly the
+bound is a link; very long texts are read whole, one at a time; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

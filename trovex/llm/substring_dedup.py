@@ -5,11 +5,12 @@ deep node is settled first: winnowing picks an anchor (a gram of a third of the
 so equal windows have equal anchors; suffixes whose anchor occurs once cannot repeat and are dropped. Of texts that are
 equal as a whole only the first is looked at: the others repeat it from end to end. The rest are
 split by a variable-length prefix: the suffix's words up to the end of its anchor. Prefixes that end in one anchor make
-up one group, whose size is known from the anchors' counts. Groups within `group_rows` are sorted into suffix arrays
-with common prefix lengths, whose runs of full depth are the tree's deep internal nodes. Larger groups (a passage that
-a third of all documents share) are split by longer prefixes, first all that an anchor's windows cover, then, where such
-a span is the first of its kind, each window down to the full depth. There a node's leaves are all alike and only the
-first counts, so its leaves are pre-aggregated by a minimum and never gathered.
+up one group, whose size is known from the anchors' counts. Groups within `group_rows` are sorted in a task, by suffix;
+neighbours that agree to the full depth hang from one deep node. No shallower node is built, as none counts. Larger groups
+(a passage that a third of all documents share) are not sorted: they are split by longer prefixes, first all that an anchor's
+windows cover, then, where such a span is the first of its kind, each window down to the full depth. There a node's leaves are
+all alike and only the first counts, so its leaves are pre-aggregated by a minimum and never gathered. This is another method
+for such groups, with the same result.
 
 Every leaf of a deep node but the first, by (doc_id, start), is a repeat; its words go.
 
