@@ -184,8 +184,8 @@ def src16_read_dpr(spark, sf):
 
     done = F.col("o_orderstatus") == "F"
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("question")).agg(ctx(done).alias("positive_ctxs"), ctx(~done).alias("hard_negative_ctxs"))
-    # one array for each file
-    rows = o.withColumn("f", F.pmod(F.xxhash64("question"), F.lit(4))).groupBy("f").agg(F.to_json(F.collect_list(F.struct("question", "positive_ctxs", "hard_negative_ctxs"))).alias("value"))
+    # one array for each file, of up to a thousand questions
+    rows = o.withColumn("f", F.expr("cast(question as bigint) div 1000")).groupBy("f").agg(F.to_json(F.collect_list(F.struct("question", "positive_ctxs", "hard_negative_ctxs"))).alias("value"))
     path = scratch(spark, "dpr")
     rows.select("value", "f").write.partitionBy("f").text(path)
     return readers.read_dpr(spark, path).select("question", F.size("positive_ctxs").alias("n_pos"), F.size("hard_negative_ctxs").alias("n_neg"))
@@ -193,7 +193,7 @@ def src16_read_dpr(spark, sf):
 
 @query("SELECT 'k' || c_custkey AS api_key, TIMESTAMP '2024-01-01' AS enabled_time, c_name AS user_info FROM customer WHERE c_custkey % 5 <> 0")
 def src17_read_access_keys(spark, sf):
-    c = table(spark, sf, "customer").select(F.expr("concat('k', c_custkey)").alias("k"), F.struct(F.lit("2024-01-01T00:00:00Z").alias("enabled_time"), F.col("c_name").alias("user_info"), F.expr("c_custkey % 5 <> 0").alias("is_active")).alias("v"), F.expr("c_custkey % 4").alias("f"))
+    c = table(spark, sf, "customer").select(F.expr("concat('k', c_custkey)").alias("k"), F.struct(F.lit("2024-01-01T00:00:00Z").alias("enabled_time"), F.col("c_name").alias("user_info"), F.expr("c_custkey % 5 <> 0").alias("is_active")).alias("v"), F.expr("c_custkey div 1000").alias("f"))
     rows = c.groupBy("f").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value"))
     path = scratch(spark, "keys")
     rows.select("value", "f").write.partitionBy("f").text(path)

@@ -201,14 +201,12 @@ def ev22_mean_direction(spark, sf):
     return E.mean_direction(fx.vectors(spark, sf), "label")
 
 
-TOK = ", t AS (SELECT 'g' || label AS docid, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding, (vec_id % 5 <> 0)::INT AS mask FROM vp)"
+#: Token vectors: eight consecutive vectors make up a document
+TOK = ", t AS (SELECT 'g' || (vec_id // 8) AS docid, vec_id % 8 AS pos, embedding, (vec_id % 5 <> 0)::INT AS mask FROM vp)"
 
 
 def _tokens(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return fx.vectors(spark, sf).select(F.expr("concat('g', label)").alias("docid"), (F.row_number().over(w) - 1).alias("pos"), "embedding", F.expr("if(vec_id % 5 <> 0, 1, 0)").alias("mask"))
+    return fx.vectors(spark, sf).select(F.expr("concat('g', vec_id div 8)").alias("docid"), F.expr("vec_id % 8").alias("pos"), "embedding", F.expr("if(vec_id % 5 <> 0, 1, 0)").alias("mask"))
 
 
 @query(fx.sql("vp", TOK + ", x AS (SELECT docid, i, sum((pos + 1) * embedding[i]) / sum(pos + 1) AS m FROM t, range(1, 65) r(i) WHERE mask = 1 GROUP BY docid, i), n AS (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY docid)) AS n FROM x) SELECT docid, (i - 1)::INT AS dim, round(m / n, 6) AS value FROM n"))
