@@ -253,3 +253,11 @@ def test_language_of_odd_rows(spark, tmp_path):
     assert all(by[i][2] == lang for i, _, lang in en + de)
     none = frame.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(none, langid.learn(none)).collect()} == {"und"}
+
+
+def test_more_languages_than_the_automata_may_take(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"l{i}", f"text of {i}") for i in range(5)], "lang string, text string")
+    assert [x[0] for x in langid.learn(rows)] == [f"l{i}" for i in range(5)]
+    monkeypatch.setattr(langid, "TOTAL", 4 * langid.WINDOW)
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        langid.learn(rows)

@@ -18,7 +18,7 @@ Edge cases: a text that is null or has no letter is `und`, with score 0, and so
 score is the lead over the second estimate, as a share of that (1 where one language alone was learned); ties go to the lesser
 name; equal texts have equal results; repeated rows are returned as often as they occur, but count once in the sample; a null
 doc_id isn't held out; very long texts are parsed whole, in pieces; an empty table gives no rows; other columns, whatever their
-names, are ignored by `identify`, whose rows are (doc_id, lang_pred, score).
+names, are ignored by `identify`, whose rows are (doc_id, lang_pred, score); more than TOTAL / WINDOW languages are an error.
 """
 
 from __future__ import annotations
@@ -171,7 +171,9 @@ def learn(labelled: DataFrame) -> list[tuple[str, int, int, np.ndarray]]:
     """(name, learned symbols, states, transitions) of each language, in the order of names. labelled: (lang, text)."""
     parts = stored(windows(labelled))
     languages = parts.select("lang").distinct().count()
-    most = max(1, min(SYMBOLS, TOTAL // max(languages, 1)) // WINDOW)
+    if languages > TOTAL // WINDOW:
+        raise ValueError(f"more than {TOTAL // WINDOW} languages: their automata would outgrow what is sent to tasks")
+    most = min(SYMBOLS, TOTAL // max(languages, 1)) // WINDOW
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         text = b"\0".join(pdf.sort_values("r")["part"])
