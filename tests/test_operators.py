@@ -139,3 +139,27 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() == 15
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from trovex.model import shared_dir
+
+    def session(master, named=None):
+        kept = []
+        conf = N(get=lambda key: named)
+        return N(sparkContext=N(master=master, getConf=lambda: conf, getCheckpointDir=lambda: kept[0] if kept else None, setCheckpointDir=kept.append))
+
+    assert shared_dir(session("local[4]")).startswith("/")
+    assert shared_dir(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError, match="share"):
+            shared_dir(session(master))
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.range(1000).selectExpr("(id * 37) % 1000 div 3 as k", "id").repartition(7)
+    got = [r.row for r in layout.dense_index(df, ["k", "id"]).orderBy("k", "id").collect()]
+    assert got == list(range(1000))
+    assert layout.dense_index(df.limit(0), "k").count() == 0
