@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -173,3 +174,15 @@ def test_pipeline_drops_copies_beyond_two_bits(spark, sf):
     assert 0.8 <= len(runs_of(near[0]) & runs_of(near[1])) / len(runs_of(near[0]) | runs_of(near[1])) and bin(fingerprint(near[0]) ^ fingerprint(near[1])).count("1") > 2
     df = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf).collect()] == [0]
+
+
+def test_parities_never_exceed_what_two_texts_differ_in():
+    r = np.random.default_rng(9)
+    sets = [r.choice(5000, r.integers(1, 900), replace=False) * 7919 for _ in range(30)]
+    sets += [np.concatenate((s[: len(s) - 3], [11, 13])) for s in sets[:10]]
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    w = near_copies.parities(np.concatenate(sets).astype(np.int64), at).view(np.uint64)
+    for i in range(len(sets)):
+        for j in range(i):
+            apart = len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
+            assert sum(int(a ^ b).bit_count() for a, b in zip(w[i], w[j])) <= apart

@@ -10,7 +10,9 @@ settles each large bucket whose members are then one class: no further pair coul
 large buckets are joined exactly: in any one order of all runs, two linked texts share one of the first
 n - ceil(0.8 n) + 1 of the longer one's n runs, and of the first n - ceil(2 * 0.8 / 1.8 n) + 1 of the shorter one's. The order
 here is the rarest first, so passages that many texts share come last and propose next to nothing. Only
-pairs of different classes are compared. So the bound `small` changes the work and no class.
+pairs of different classes are compared. Each text also has the parities of its runs in 64 * WORDS slots: two texts differ in at
+least as many runs as parities, so a pair that differs in too many is no link and is dropped as it meets. So the bound `small`
+changes the work and no class.
 
 Edge cases: a text of fewer words is one run; null and empty texts are one class; repeated rows share a class; the least id names
 a class, and ids must not be null (`simhash.keep_one` numbers the rows first, so its callers' may be); a similarity of exactly the
@@ -35,6 +37,7 @@ SMALL = 32  #: members of a bucket that are paired one with another
 SLOTS = 1 << 22  #: of the bitmap
 RARITY = 1 << 18  #: counts of runs by hash, which order them: collisions change the order, not what is found
 BLOCK = 512  #: rows of a shared run that meet in one task
+WORDS = 16  #: of 64 bits, of a text's parities
 _rng = np.random.default_rng(20240611)
 _XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,6 +103,18 @@ def _within(bitmap):
     return run
 
 
+PARITY = [f"w{i}" for i in range(WORDS)]
+
+
+def parities(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each text, the parity of the number of its runs in each slot, as WORDS longs."""
+    out, slot = np.empty((len(at) - 1, WORDS), np.int64), (mix(runs.view(np.uint64)) % np.uint64(64 * WORDS)).astype(np.int64)
+    for i in range(len(at) - 1):
+        odd = np.bincount(slot[at[i] : at[i + 1]], minlength=64 * WORDS) & 1
+        out[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return out
+
+
 def _prefixes(counts, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(counts.value, np.int64)
@@ -116,8 +131,9 @@ def _prefixes(counts, similarity: float):
             at_most = n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
             rank = (np.arange(len(runs)) - np.repeat(at[:-1], n))[pick]
             row = row[pick]
-            columns = node[row], root[row], n[row].astype(np.int32), runs[by][pick], rank.astype(np.int32), rank < at_most[row]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "root", "n", "run", "rank", "leads"])
+            own = parities(runs, at)
+            columns = node[row], root[row], n[row].astype(np.int32), runs[by][pick], rank.astype(np.int32), rank < at_most[row], *(own[row, i] for i in range(WORDS))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "root", "n", "run", "rank", "leads", *PARITY])
 
     return run
 
@@ -159,16 +175,19 @@ def across(sets: DataFrame, similarity: float) -> DataFrame:
     for r in sets.select(F.explode("runs").alias("run")).groupBy(slot.alias("slot")).count().toLocalIterator():
         counts[r[0]] = r[1]
     counts = sets.sparkSession.sparkContext.broadcast(counts.tobytes())
-    first = stored(sets.select("node", "root", "runs").mapInArrow(_prefixes(counts, similarity), "node long, root long, n int, run long, rank int, leads boolean"))
+    first = stored(sets.select("node", "root", "runs").mapInArrow(_prefixes(counts, similarity), ", ".join(["node long, root long, n int, run long, rank int, leads boolean", *(f"{w} long" for w in PARITY)])))
     groups = first.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("leads").alias("leads"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     held = first.join(groups.where("lo < hi and leads").select("run", "blocks"), "run")
-    fields = "node", "root", "n", "rank"
+    fields = "node", "root", "n", "rank", *PARITY
     one = held.where("leads").select("run", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *(F.col(x).alias(f"{x}_a") for x in fields))
     two = held.select("run", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(x).alias(f"{x}_b") for x in fields))
     # the shorter text leads; what follows a shared run bounds all that two texts share from it on
     reach = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + F.least("rank_a", "rank_b")
     met = (F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("n_a") >= similarity * F.col("n_b"))
-    pairs = one.join(two, ["run", "block"]).where(met & (reach * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6))
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in PARITY), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    close = (reach * (1 + similarity) >= similarity * both - 1e-6) & (apart * (1 + similarity) <= (1 - similarity) * both + 1e-6)
+    pairs = one.join(two, ["run", "block"]).where(met & close)
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
