@@ -6,7 +6,6 @@ Late rows: 10 minutes by default. Each job takes a streaming DataFrame; `drain`
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -125,14 +124,14 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "ts timestamp, iteration long, query string")
+        self.open = handle.getListState("open", "us long, iteration long, query string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = sorted(self.open.get()) if self.open.exists() else []
+        held = list(self.open.get()) if self.open.exists() else []
         passed = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            pdf = pdf[[self._ms(t.to_pydatetime()) > passed for t in pdf["ts"]]]
-            held += [(t.to_pydatetime(), None if pd.isna(i) else int(i), q) for t, i, q in zip(pdf["ts"], pdf["iteration"], pdf["query"])]
+            pdf = pdf[pdf["us"] // 1000 > passed]
+            held += [(int(t), None if pd.isna(i) else int(i), q) for t, i, q in zip(pdf["us"], pdf["iteration"], pdf["query"])]
         self._keep(held)
         return iter([])
 
@@ -152,18 +151,14 @@ class Sessions(StatefulProcessor):
     def _split(self, rows: list[tuple]) -> list[list[tuple]]:
         out: list[list[tuple]] = []
         for r in sorted(rows, key=lambda r: r[0]):
-            if out and (r[0] - out[-1][-1][0]).total_seconds() <= self.gap:
+            if out and r[0] - out[-1][-1][0] <= self.gap * 1_000_000:
                 out[-1].append(r)
             else:
                 out.append([r])
         return out
 
     def _ends(self, session: list[tuple]) -> int:
-        return self._ms(session[-1][0]) + round(self.gap * 1000)
-
-    @staticmethod
-    def _ms(t: datetime) -> int:
-        return round(t.replace(tzinfo=t.tzinfo or timezone.utc).timestamp() * 1000)
+        return -(-session[-1][0] // 1000) + round(self.gap * 1000)
 
     def _keep(self, rows: list[tuple]) -> None:
         for timer in list(self.handle.listTimers()):
@@ -184,8 +179,11 @@ def session_stream(src: DataFrame, gap: str = "30 minutes", late: str = LATE) ->
     Requests that come later than `late` behind the latest one of earlier batches are left out.
     """
     state_store(src.sparkSession)
-    rows = src.select("ts", "session_key", "query", F.col("iteration").cast("long").alias("iteration")).withWatermark("ts", late)
-    return rows.groupBy("session_key").transformWithStateInPandas(statefulProcessor=Sessions(_seconds(gap)), outputStructType=SESSION, outputMode="append", timeMode="eventTime")
+    # times go to Python as numbers, whatever the session's time zone
+    rows = src.select("ts", F.unix_micros("ts").alias("us"), "session_key", "query", F.col("iteration").cast("long").alias("iteration")).withWatermark("ts", late)
+    kinds = SESSION.replace("start timestamp", "start long")
+    out = rows.groupBy("session_key").transformWithStateInPandas(statefulProcessor=Sessions(_seconds(gap)), outputStructType=kinds, outputMode="append", timeMode="eventTime")
+    return out.withColumn("start", F.timestamp_micros("start"))
 
 
 def run_append(df: DataFrame, sink: str, checkpoint: str) -> None:
