@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import table
 from ..operators import filters, joins
 from ..operators import projections as P
+from ..operators.judgements import met
 from . import fixtures as fx
 from .fixtures import TOKENS
 from .registry import query
@@ -201,5 +202,5 @@ def flt8_known_queries_only(spark, sf):
 
 @query(fx.sql("run qrels", ", r AS (SELECT r.qid, r.docid FROM run r JOIN qrels USING (qid, docid)) SELECT qid, docid, count(*) OVER (PARTITION BY qid) <= 3 AS eligible FROM r"))
 def flt9_rerank_cap(spark, sf):
-    r = fx.run(spark, sf).join(fx.qrels(spark, sf), ["qid", "docid"]).select("qid", "docid")
+    r = met(fx.run(spark, sf).select("qid", "docid"), fx.judgements(spark, sf)).select("qid", "docid")
     return joins.rerank_cap(r, 3)
