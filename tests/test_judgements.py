@@ -99,3 +99,47 @@ def test_a_block_holds_the_best_alone(spark, monkeypatch):
         list(block.add(pa.array([f"d{i}" for i in range(lo, lo + 50)]), pa.array(x[lo : lo + 50].tolist(), pa.list_(pa.float64())), None))
     assert len(block.held) == 3 and all(len(h[0]) <= 5 * search.QUERY_ROWS for h in block.held.values())
     assert sum(b.num_rows for b in block.end()) == 3000 and not block.held
+
+
+def test_weights_are_dealt_by_document_once(spark, sf):
+    """Words are counted and gathered by document without a further exchange, and the placeholder takes no second read."""
+    from trovex.plans import fixtures as fx
+    from trovex.sources import writers
+
+    impacts = E.quantize_impacts(fx.weights(spark, sf).select("docid", "token", (F.col("weight") - 0.95).alias("weight")))
+    for df in (impacts, writers.sparse_docs(impacts), writers.sparse_queries(impacts.withColumnRenamed("docid", "qid"))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    w = spark.createDataFrame([("a", "x", 0.004), ("a", "y", -1.0), ("b", "x", 0.5), ("b", "y", -0.2), ("c", "z", None)], "docid string, token string, weight double")
+    assert rows(E.quantize_impacts(w)) == sorted(map(str, spark.createDataFrame([("a", "[NONE]", 1), ("b", "x", 50), ("c", "[NONE]", 1)], "docid string, token string, weight int").collect()))
+
+
+def test_probes_keep_up_with_the_budget():
+    """Tables of more bits are probed in more buckets, so a share of the rows stays within reach."""
+    import numpy as np
+
+    from trovex.operators import ann
+
+    for bits, n in ((8, 2000), (10, 10_000), (13, 60_000)):
+        index = ann.Tables(None, np.zeros((32, 64, bits)), n)
+        share = ann.enough_probes(index, int(0.28 * n)) * 32 / (1 << bits)
+        assert share >= 0.28 * 5 * 0.99
+    assert ann.enough_probes(ann.Tables(None, np.zeros((32, 64, 10)), 10_000), 10) == 12
+
+
+def test_a_task_drops_what_cannot_be_among_its_best():
+    """Equal to a plain count, with documents found in several cells."""
+    import numpy as np
+    import pyarrow as pa
+
+    from trovex.operators import ann
+
+    rng = np.random.default_rng(2)
+    found = [(f"q{rng.integers(5)}", f"d{rng.integers(30)}", float(rng.integers(20))) for _ in range(600)]
+    best = {}
+    for q, d, s in found:
+        best[q, d] = max(s, best.get((q, d), -1))
+    want = [(q, d, s) for one in sorted({q for q, *_ in found}) for q, d, s in sorted(((q, d, s) for (q, d), s in best.items() if q == one), key=lambda r: (-r[2], r[1]))[:7]]
+    t = pa.table(dict(zip(("qid", "docid", "score"), map(list, zip(*found)))))
+    halves = pa.concat_tables([ann._foremost(t.slice(0, 300), 7), t.slice(300)])
+    for got in (ann._foremost(t, 7), ann._foremost(halves, 7)):
+        assert list(zip(*got.to_pydict().values())) == want

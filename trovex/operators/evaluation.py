@@ -327,6 +327,10 @@ def quantize_impacts(weights: DataFrame, mode: str = "rint", placeholder: str =
     x = F.col("weight") * 100
     if mode == "ceil":
         return weights.select("docid", "token", F.ceil(x).cast("int").alias("weight"))
-    kept = weights.select("docid", "token", F.rint(x).cast("int").alias("weight")).where("weight > 0")
-    empty = weights.select("docid").distinct().join(kept, "docid", "left_anti")
-    return kept.unionByName(empty.select("docid", F.lit(placeholder).alias("token"), F.lit(1).alias("weight")))
+    # one read of the weights: a document without positive ones keeps its first row, as the placeholder
+    own = Window.partitionBy("docid")
+    rows = weights.select("docid", "token", F.rint(x).cast("int").alias("weight"))
+    rows = rows.withColumn("_most", F.coalesce(F.max("weight").over(own), F.lit(0))).withColumn("_r", F.row_number().over(own.orderBy("token")))
+    kept = rows.where("weight > 0 or (_most <= 0 and _r = 1)")
+    some = F.col("_most") > 0
+    return kept.select("docid", F.when(some, F.col("token")).otherwise(placeholder).alias("token"), F.when(some, F.col("weight")).otherwise(1).alias("weight"))
