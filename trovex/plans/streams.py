@@ -12,6 +12,7 @@ from .registry import query
 from .training import ENCODED
 
 
+FILE_ROWS = 50_000  #: of a third of str5's stream: larger tables come in more files a batch
 FILES = 5  #: of a stream whose rows come in about the order of their times, in as many batches
 
 
@@ -88,9 +89,10 @@ def str5_incremental_encode(spark, sf):
     """Every document comes three times, in several batches; a second run takes up from the first one's checkpoint."""
     sink, checkpoint, path = (scratch(spark, name) for name in ("sink", "checkpoint", "stream"))
     docs = fx.corpus(spark, sf).select("docid", "text")
+    files = 3 * max(1, -(-docs.count() // FILE_ROWS))  # so that a task's share stays as the table grows
     for again in (1, 2):
-        docs.unionByName(docs.limit(0) if again == 1 else docs).repartition(3).write.mode("append").parquet(path)
-        src = jobs.file_stream(spark, path, "docid string, text string", 2)
+        docs.unionByName(docs.limit(0) if again == 1 else docs).repartition(files).write.mode("append").parquet(path)
+        src = jobs.file_stream(spark, path, "docid string, text string", 2 * files // 3)
         jobs.drain(jobs.incremental_encode(src, hashing_encoder(), sink, checkpoint))
     e = spark.read.schema("docid string, embedding array<double>").parquet(sink)
     return e.select("docid", F.posexplode("embedding").alias("dim", "x")).select("docid", "dim", F.round("x", 6).alias("value")).where("value <> 0")
