@@ -24,6 +24,8 @@ from .search import _matrix, _with_own, dot, named, ranked
 BLOCK = 4096  #: vectors of a cell or bucket in one row of an index
 QUERIES = 256  #: queries of a cell that are scored at once
 CODES = 256  #: of a codebook
+FULL = 5  #: times a budget: rows in all the buckets that a query probes, counted in each table
+HELD = 1 << 20  #: pairs found that a task holds before it drops those that can't be among its best
 
 
 def exact_scores(cands: DataFrame, q: DataFrame, p: DataFrame, k: int) -> DataFrame:
@@ -128,6 +130,18 @@ def ivf_index(p: DataFrame, nlist: int | None = None, spill: int = 3, part: int
     return Ivf(stored(_packed(coded, "cell").withColumnRenamed("code", "codes")), centres, books)
 
 
+def _foremost(t: pa.Table, k: int) -> pa.Table:
+    """The k rows of largest score of each qid (of several alike those of least docid), each docid once, with its largest score."""
+    t = t.group_by(["qid", "docid"]).aggregate([("score", "max")]).rename_columns(["qid", "docid", "score"])
+    t = t.sort_by([("qid", "ascending"), ("score", "descending"), ("docid", "ascending")])
+    q = t["qid"].combine_chunks().dictionary_encode()
+    code = (q if not isinstance(q, pa.ChunkedArray) else q.combine_chunks()).indices.to_numpy()
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(code)), 0))
+    return t.filter(pa.array(np.arange(len(code)) - first < k))
+
+
 def knn_ivf(q: DataFrame, p: DataFrame, k: int, index: Ivf | None = None, nprobe: int | None = None, refine: int | None = None, exclude_self: bool = False) -> DataFrame:
     """The best k of what nprobe cells (a quarter of all, unless given) hold: the best `refine` (20 k) by their codes, ranked by their vectors.
 
@@ -156,6 +170,8 @@ def knn_ivf(q: DataFrame, p: DataFrame, k: int, index: Ivf | None = None, nprobe
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = centres.shape[1]
         cuts = _parts(width, books[0].shape[1]) if books else []
+        held: list[pa.Table] = []
+        n = limit = 0
         for b in batches:
             for i in range(b.num_rows):
                 docs = np.array(b.column(1)[i].as_py(), object)
@@ -170,7 +186,14 @@ def knn_ivf(q: DataFrame, p: DataFrame, k: int, index: Ivf | None = None, nprobe
                 if len(docs) > refine:
                     ok &= s >= np.partition(s, len(docs) - refine, axis=1)[:, len(docs) - refine, None]
                 r, c = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[r], pa.string()), pa.array(docs[c], pa.string()), pa.array(s[r, c])], ["qid", "docid", "score"])
+                held.append(pa.table({"qid": pa.array(qids[r], pa.string()), "docid": pa.array(docs[c], pa.string()), "score": s[r, c]}))
+                n += len(r)
+                if n > max(HELD, limit):
+                    held = [_foremost(pa.concat_tables(held), refine)]
+                    n = held[0].num_rows
+                    limit = 2 * n  # what stays is at most refine rows a query
+        if held:
+            yield from _foremost(pa.concat_tables(held), refine).to_batches(max_chunksize=HELD)
 
     near = met.mapInArrow(search, "qid string, docid string, score double")
     best = ranked(near.groupBy("qid", "docid").agg(F.max("score").alias("score")), k=refine).select("qid", "docid")
@@ -235,14 +258,24 @@ def probed(q: DataFrame, index: Tables, probes: int) -> DataFrame:
     return q.select("qid", "own", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(ask, "qid string, own string, tab int, bucket long")
 
 
-def candidates(q: DataFrame, index: Tables, budget: int, probes: int = 12, exclude_self: bool = False) -> DataFrame:
+def enough_probes(index: Tables, budget: int) -> int:
+    """Buckets to probe in each table: 12 at least, and so many that all tables' together hold FULL times the budget.
+
+    Buckets don't grow with the rows, so a fixed number of them would hold an ever smaller share of a budget that does.
+    """
+    tables, _, bits = index.planes.shape
+    return max(12, math.ceil(FULL * budget / max(index.rows, 1) * (1 << bits) / tables))
+
+
+def candidates(q: DataFrame, index: Tables, budget: int, probes: int | None = None, exclude_self: bool = False) -> DataFrame:
     """(qid, docid): at most `budget` rows a query, those that share the most probed buckets; of several the least docid."""
+    probes = enough_probes(index, budget) if probes is None else probes
     asked = probed(_with_own(q, exclude_self), index, probes)
     met = index.buckets.join(asked, ["tab", "bucket"]).select("qid", "own", F.explode("docids").alias("docid")).where("own is null or own <> docid")
     return ranked(met.groupBy("qid", "docid").agg(F.count("*").alias("score")), k=budget).select("qid", "docid")
 
 
-def knn_approx(q: DataFrame, p: DataFrame, k: int, complexity: int | None = None, exclude_self: bool = False, index: Tables | None = None, probes: int = 12) -> DataFrame:
+def knn_approx(q: DataFrame, p: DataFrame, k: int, complexity: int | None = None, exclude_self: bool = False, index: Tables | None = None, probes: int | None = None) -> DataFrame:
     """Approximate search with a candidate budget (default 5 k, at least k): that many rows are found by hash tables and scored by their vectors.
 
     Candidates come from an equi-join on buckets; a larger budget keeps all of a smaller one's, so recall rises with it.
