@@ -186,3 +186,36 @@ def test_parities_never_exceed_what_two_texts_differ_in():
         for j in range(i):
             apart = len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
             assert sum(int(a ^ b).bit_count() for a, b in zip(w[i], w[j])) <= apart
+
+
+def join_rows(df) -> list[int]:
+    """Runs df and gives the rows that each of its joins made."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    made, plans = [], [plan]
+    while plans:
+        plan = plans.pop()
+        if "Join" in plan.nodeName():
+            made.append(plan.metrics().apply("numOutputRows").value())
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return made
+
+
+def test_leaves_of_a_large_node_meet_their_first_by_salts(spark):
+    """A node of 3,000 leaves in 6 salts and one of 1: each leaf but the first is a repeat, ties are all firsts, and no join makes a row for each leaf."""
+    rows = [(1, 2, i, 7 + i % 2, i % 3, bytearray(b"c"), 6) for i in range(3000)] + [(1, 2, 0, 9, 0, bytearray(b"c"), 6), (5, 5, 4, 4, 4, bytearray(b"d"), 2)]
+    leaves = spark.createDataFrame(rows, "key long, other long, k long, th long, start int, ctx binary, salts long")
+    was = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for name, value in zip(was, ("false", "-1")):
+            spark.conf.set(name, value)
+        later, first = substring_dedup._later(leaves)
+        assert sorted(tuple(r) for r in later.select("k", "th", "start").collect()) == [(i, 7 + i % 2, i % 3) for i in range(1, 3000)]
+        assert sorted(tuple(r) for r in first.select("k", "th", "start", "salts").collect()) == [(0, 7, 0, 6), (0, 9, 0, 6), (4, 4, 4, 2)]
+        for part in substring_dedup._later(leaves):
+            made = join_rows(part.select("k", "th", "start"))
+            assert made and max(made) <= 7
+    finally:
+        for name, value in was.items():
+            spark.conf.set(name, value)

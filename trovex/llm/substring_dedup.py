@@ -204,19 +204,25 @@ def _subtrees(window: int):
 
 
 def _later(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leaves: (key, other, k, start, salts, ..) of nodes at full depth. Those that are not their node's first, and the firsts.
+    """leaves: (key, other, k, th, start, salts, ..) of nodes at full depth; any other columns are alike in a node. Those that are not their node's first, and the firsts.
 
     A node's leaves may be a third of all rows: they are salted, by as many salts as its group has times `group_rows`, each
-    salt has a minimum, and a node the least of those.
+    salt has a minimum, and a node the least of those. A salt's leaves, some `group_rows`, become one row before its minimum meets
+    the node's, so that join gives as many rows as there are salts and none for each leaf.
     One exchange serves the minima and the join; that all columns are read on both ways keeps it one.
     """
+    alike = [c for c in leaves.columns if c not in ("key", "other", "k", "th", "start", "salts")]
     every = F.max(F.xxhash64(*leaves.columns)).alias("every")
     salted = leaves.where("key is not null and other is not null and k is not null and start is not null").withColumn("salt", F.pmod(F.xxhash64("k", "start"), F.col("salts"))).repartition("key", "other", "salt")
-    parts = salted.groupBy("key", "other", "salt").agg(F.min(F.struct("k", "start")).alias("least"), every).where("every is not null")
+    parts = salted.groupBy("key", "other", "salt").agg(
+        F.min(F.struct("k", "start")).alias("least"), every, F.collect_list(F.struct("k", "start", "th")).alias("leaves"), F.max("salts").alias("salts"), *[F.first(c).alias(c) for c in alike]
+    )
+    parts = parts.where("every is not null")
     firsts = parts.groupBy("key", "other").agg(F.min("least").alias("first"))
-    firsts = parts.select("key", "other", "salt").join(firsts, ["key", "other"])  # a row for each salt
-    marked = salted.join(firsts, ["key", "other", "salt"])
-    return marked.where(F.struct("k", "start") > F.col("first")), marked.where(F.struct("k", "start") == F.col("first"))
+    firsts = parts.select("key", "other", "salt").join(firsts.select("key", "other", "first"), ["key", "other"])  # a row for each salt
+    marked = parts.join(firsts, ["key", "other", "salt"])
+    each = marked.select(F.explode("leaves").alias("leaf"), "first", "salts", *alike).select("leaf.*", "first", "salts", *alike)
+    return each.where(F.struct("k", "start") > F.col("first")), each.where(F.struct("k", "start") == F.col("first"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
