@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trovex.model import scratch
 from trovex.operators.training import hashing_encoder
+from trovex.plans import streams
 from trovex.streaming import jobs
 
 T0 = datetime(2024, 5, 1)
@@ -75,3 +77,19 @@ def test_percentiles_of_merged_windows_are_near_the_exact_ranks(spark):
         x = got[f"p{round(100 * p)}"]
         low, high = np.searchsorted(ordered, x - 1e-5) / len(values), np.searchsorted(ordered, x + 1e-5, "right") / len(values)
         assert low - jobs.RANK_ERROR <= p <= high + jobs.RANK_ERROR
+
+
+def test_batches_have_as_many_files_whatever_their_rows(spark, monkeypatch):
+    """A batch of many rows is read by several tasks; one of few or none has as many files, so that no batch takes another's."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    minutes = [0] * 350 + [20] * 7 + [99]
+    log = spark.createDataFrame([(i, T0 + timedelta(minutes=m, milliseconds=i)) for i, m in enumerate(minutes)], "id long, ts timestamp")
+    src = streams._batches(spark, log, "id long, ts timestamp")
+    sizes = []
+
+    def step(batch, number):
+        files = {r[0] for r in batch.select(F.input_file_name()).collect()}
+        sizes.append((batch.count(), len(files)))
+
+    src.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", scratch(spark, "checkpoint")).start().awaitTermination()
+    assert [n for n, _ in sizes if n] == [350, 7, 1] and sizes[0][1] > 1

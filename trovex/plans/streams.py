@@ -12,8 +12,8 @@ from .registry import query
 from .training import ENCODED
 
 
-FILE_ROWS = 50_000  #: of a third of str5's stream: larger tables come in more files a batch
-FILES = 5  #: of a stream whose rows come in about the order of their times, in as many batches
+FILE_ROWS = 50_000  #: of a batch's file: larger tables come in more files a batch
+BATCHES = 5  #: of a stream whose rows come in about the order of their times
 
 
 def _stream(spark, df, schema, parts=4, per_batch=4):
@@ -37,16 +37,20 @@ def str1_stream_search_log(spark, sf):
     return spark.read.schema("id long, complexity int").parquet(sink)
 
 
-def _batches(spark, df, schema, parts=FILES):
+def _batches(spark, df, schema, parts=BATCHES):
     """A stream of several batches. A row comes up to eight minutes after its time, by its id, so batches overlap; no row is later than the jobs allow."""
     path = scratch(spark, "stream")
     first, last = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     comes = F.unix_micros("ts") + F.pmod(F.xxhash64("id"), F.lit(480_000_000))
     part = F.least(F.floor((comes - (first or 0)) * parts / ((last or 0) - (first or 0) + 1)), F.lit(parts - 1)).cast("int")
     rows = stored(df.withColumn("_part", part))
-    for i in range(parts):  # files are taken in the order in which they were written
-        rows.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return jobs.file_stream(spark, path, schema, 1)
+    most = rows.groupBy("_part").count().agg(F.max("count")).first()[0] or 0
+    files = max(1, -(-most // FILE_ROWS))
+    for i in range(parts):  # files are taken in the order in which they were written, so each batch must have as many
+        rows.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(path)
+        for _ in range((i + 1) * files - len(spark.read.schema(schema).parquet(path).inputFiles())):
+            rows.limit(0).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, schema, files)
 
 
 WINDOWS = ", w AS (SELECT time_bucket(INTERVAL {width}, ts) AS start, search_type AS component, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS worst, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM log GROUP BY 1, 2)"
