@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,21 @@ def test_topics_are_found_and_hold_for_all_texts(spark):
         assert all(got[i].n_tokens == len((t or "").split()) for i, t in rows)
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    """Weights are counts over all rows and centres the means of all their rows, however few texts the start is sought among and however rows are dealt."""
+    r = random.Random(9)
+    rows = [(" ".join(f"w{i % 3}x{r.randrange(30)}" for _ in range(30)) + (" rare" if i == 5 else ""),) for i in range(120)]
+    docs = spark.createDataFrame(rows, "text string")
+    weight, centres, _ = mixing.fit_topics(docs.repartition(5), 3, 12)
+    x = np.concatenate([v for _, v in mixing._vectors(pa.array([t for (t,) in rows]))])
+    assert np.allclose(weight, np.log(121 / ((x > 0).sum(axis=0) + 1)))
+    x = mixing._unit(x * weight)
+    near = (x @ centres.T).argmax(axis=1)
+    assert np.allclose(centres, mixing._unit(np.stack([x[near == i].sum(axis=0) for i in range(3)])), atol=1e-6)
+    again = mixing.fit_topics(docs.repartition(2), 3, 12)
+    assert (again[0] == weight).all() and np.allclose(again[1], centres, atol=1e-12)
+
+
 def test_unmet_margins_are_told(spark):
     cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "x", "t", 1000)], "source string, lang string, topic string, n_tokens long")
     with pytest.warns(UserWarning, match="from its target"):

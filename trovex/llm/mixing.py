@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 8).
 
 Topics are derived: texts are vectors of hashed terms (log counts, weighted by how few texts have the term), clustered by
-spherical k-means on a bounded sample (`FIT_ROWS` distinct texts of least hash); every text takes its nearest centre's topic. What
-tells languages apart is taken out first, by projecting off the span of the sample's mean vectors of each language: else topics
+spherical k-means: term weights, languages and centres are those of all rows, whose vectors are stored once and read once a round, and a
+few texts (`FIT_ROWS` of least hash) only say where the centres start; every text takes its nearest centre's topic. What
+tells languages apart is taken out first, by projecting off the span of the mean vectors of each language: else topics
 would be languages again, and their margin no news.
 Tokens (words) are summed for each cell of source, language and topic. Starting from an equal share of each cell, the
 tokens to keep are raked: multiplied, margin by margin, until every source, language and topic has its target share of
@@ -11,7 +12,7 @@ targets allow; `margin_gap` tells how far the worst margin stays from its target
 the id and the text, so rows are drawn one by one, with or without an id, and alike on every run; rows that are equal in both are
 told apart by their number within their task.
 
-Only the cells, sums over all rows, come to the driver: `max_cells` at most, beyond which the call fails rather than drop any.
+Only sums over all rows and the few texts' vectors come to the driver; of cells `max_cells` at most, beyond which the call fails rather than drop any.
 Default targets flatten the observed shares by a power, so they need no numbers from outside.
 
 Edge cases: a null source, language or topic is a value of its own; null and empty texts have 0 tokens and take their
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, slices, word_hashes, words
+from .common import LOWER, NOT_SPACE, slices, stored, word_hashes, words
 
 MARGINS = ("source", "lang", "topic")
 POWER = 0.7
@@ -38,8 +39,10 @@ BUDGET = 0.4
 MAX_CELLS = 1_000_000
 ROUNDS = 200
 
-TOPICS, DIM, FIT_ROWS = 8, 1024, 2000
-STARTS = 5  #: of the clustering; the best is kept
+TOPICS, DIM = 8, 1024
+FIT_ROWS = 2000  #: texts among which the centres' first places are sought
+STARTS = 5  #: of that search; the best is kept
+FIT_ROUNDS = 4  #: over all rows, at most; fewer where no row changes its topic
 BLOCK = 512  #: rows whose vectors are held at once
 TOLERANCE = 0.01
 
@@ -62,38 +65,62 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def fit_topics(texts: DataFrame, topics: int = TOPICS, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term weights, centres and the directions that are taken out, from texts (text, and lang if there is one): at most fit_rows vectors come to the driver."""
-    lang = F.col("lang").cast("string") if "lang" in texts.columns else F.lit(None).cast("string")
-    hashed = texts.where("text is not null").select("text", lang.alias("lang"), F.xxhash64("text").alias("h"))
-    last = hashed.select("h").distinct().orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-    if last is None:
-        return np.ones(DIM), np.zeros((1, DIM)), np.zeros((DIM, 0))
+SPARSE = "slots array<int>, counts array<int>, lang string, h long"
+FIXED = float(1 << 30)  #: entries of unit vectors are summed as whole numbers, so that sums don't depend on how rows are dealt
+
+
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of hashed words of each text that has any."""
+    for b in batches:
+        at = 0
+        for n, x in _vectors(b.column(0)):
+            some = np.flatnonzero(n)
+            row, slot = np.nonzero(x[some])
+            off = pa.array(np.searchsorted(row, np.arange(len(some) + 1)), pa.int32())
+            count = np.rint(np.expm1(x[some][row, slot])).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(off, pa.array(v, pa.int32())) for v in (slot, count)]
+            yield pa.RecordBatch.from_arrays([*lists, *(b.column(i).slice(at, len(n)).take(pa.array(some)) for i in (1, 2))], ["slots", "counts", "lang", "h"])
+            at += len(n)
+
+
+def _dense(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Log counts and languages of a stored batch, by blocks."""
+    for lo in range(0, b.num_rows, BLOCK):
+        part = b.slice(lo, BLOCK)
+        x = np.zeros((part.num_rows, DIM))
+        slots, counts = part.column(0), part.column(1)
+        row = np.repeat(np.arange(part.num_rows), np.diff(slots.offsets.to_numpy()))
+        x[row, slots.flatten().to_numpy()] = np.log1p(counts.flatten().to_numpy())
+        yield x, part.column(2)
+
+
+def _summed(vectors: DataFrame, of) -> DataFrame:
+    """(key, sums array<long>), ordered by key. of gives pairs of a key and whole numbers, DIM columns, for a block; sums end with the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            keys = pa.array([k for k in held for _ in range(DIM + 1)], pa.string())
+            values = np.concatenate(list(held.values())) if held else np.zeros(0, np.int64)
+            slot = np.tile(np.arange(DIM + 1, dtype=np.int32), len(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([keys, pa.array(slot), pa.array(values)], ["key", "slot", "value"])
+
         for b in batches:
-            if b.num_rows:
-                x = np.concatenate([v for _, v in _vectors(b.column(0))]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float32())), b.column(1)], ["x", "lang"])
-
-    chosen = hashed.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).orderBy("h")
-    got = chosen.select("text", "lang").mapInArrow(run, "x array<float>, lang string").toArrow()
-    x = got.column(0).combine_chunks().flatten().to_numpy().reshape(-1, DIM).astype(float)
-    langs = np.array(["" if v is None else f"={v}" for v in got.column(1).to_pylist()])
-    order = np.lexsort((langs, *x.T))
-    x, langs = x[order], langs[order]
-    weight = np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1))
-    some = x.any(axis=1)
-    x, langs = _unit(x[some] * weight), langs[some]
-    if not len(x):
-        return weight, np.zeros((1, DIM)), np.zeros((DIM, 0))
-    names = sorted(set(langs) - {""})
-    out = np.zeros((DIM, 0))
-    if len(names) > 1:
-        # of very many languages' means the directions of most length
-        left, size, _ = np.linalg.svd(np.array([x[langs == v].mean(axis=0) for v in names]).T, full_matrices=False)
-        out = left[:, size > 1e-9][:, : DIM // 4]
-    x = _unit(x - (x @ out) @ out.T)
+            for x, lang in _dense(b):
+                for key, rows in of(x, lang):
+                    held[key] = held.get(key, 0) + np.append(rows.sum(axis=0), len(rows)).astype(np.int64)
+                if len(held) > 64:
+                    yield out()
+        yield out()
+
+    each = vectors.mapInArrow(run, "key string, slot int, value long").groupBy("key", "slot").agg(F.sum("value").alias("value"))
+    return each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("all")).select("key", F.col("all.value").alias("sums")).orderBy("key")
+
+
+def _seeds(x: np.ndarray, topics: int) -> np.ndarray:
+    """Centres to start from: the best of STARTS clusterings of a few vectors."""
     rng, best = np.random.default_rng(7), (-1.0, x[:1])
     for _ in range(STARTS):
         centres = x[[rng.integers(len(x))]]
@@ -105,7 +132,63 @@ def fit_topics(texts: DataFrame, topics: int = TOPICS, fit_rows: int = FIT_ROWS)
             sums = np.stack([x[near == i].sum(axis=0) for i in range(len(centres))])
             centres = np.where((np.bincount(near, minlength=len(centres)) > 0)[:, None], _unit(sums), centres)
         best = max(best, (float((x @ centres.T).max(axis=1).sum()), centres), key=lambda p: p[0])
-    centres = best[1]
+    return best[1]
+
+
+def fit_topics(texts: DataFrame, topics: int = TOPICS, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term weights, centres and the directions that are taken out, all from every row of texts (text, and lang if there is one).
+
+    Only the centres' first places come from a few rows, the fit_rows texts of least hash; then all rows move them.
+    """
+    lang = F.col("lang").cast("string") if "lang" in texts.columns else F.lit(None).cast("string")
+    hashed = texts.where("text is not null").select("text", lang.alias("lang"), F.xxhash64("text").alias("h"))
+    vectors = stored(hashed.mapInArrow(_sparse, SPARSE))
+    got = _summed(vectors, lambda x, _: [("", (x > 0).astype(np.int64))]).collect()
+    if not got or not got[0].sums[-1]:
+        return np.ones(DIM), np.zeros((1, DIM)), np.zeros((DIM, 0))
+    *often, n = got[0].sums
+    weight = np.log((n + 1) / (np.array(often) + 1))
+
+    def by_lang(x: np.ndarray, langs: pa.Array):
+        names = np.array(langs.to_pylist(), object)
+        fixed = np.rint(_unit(x * weight) * FIXED).astype(np.int64)
+        for v in {v for v in names if v is not None}:
+            yield v, fixed[names == v]
+
+    # the span of the languages' means, of very many the directions of most length: a language's row is added up and let go
+    gram, named = np.zeros((DIM, DIM)), 0
+    for r in _summed(vectors, by_lang).toLocalIterator():
+        mean = np.array(r.sums[:-1]) / FIXED / r.sums[-1]
+        gram += np.outer(mean, mean)
+        named += 1
+    out = np.zeros((DIM, 0))
+    if named > 1:
+        size, left = np.linalg.eigh(gram)
+        out = left[:, ::-1][:, size[::-1] > 1e-10 * size[-1]][:, : DIM // 4]
+
+    def placed(x: np.ndarray) -> np.ndarray:
+        x = _unit(x * weight)
+        return _unit(x - (x @ out) @ out.T)
+
+    first = vectors.groupBy("h").agg(F.min(F.struct("slots", "counts")).alias("v")).orderBy("h").limit(fit_rows).select("v.slots", "v.counts", F.lit(None).cast("string").alias("lang")).toArrow()
+    few = placed(np.concatenate([x for b in first.combine_chunks().to_batches() for x, _ in _dense(b)]))
+    few = few[few.any(axis=1)]
+    if not len(few):
+        return weight, np.zeros((1, DIM)), out
+    centres, before = _seeds(few, topics), None
+    for _ in range(FIT_ROUNDS):
+
+        def by_topic(x: np.ndarray, _, centres=centres):
+            x = placed(x)
+            near, fixed = np.round(x @ centres.T, 9).argmax(axis=1), np.rint(x * FIXED).astype(np.int64)
+            return [(str(i), fixed[near == i]) for i in range(len(centres))]
+
+        sums = {int(r.key): r.sums for r in _summed(vectors, by_topic).collect()}
+        if sums == before:
+            break
+        before = sums
+        moved = np.array([sums[i][:-1] for i in range(len(centres))], float) / FIXED
+        centres = np.where(moved.any(axis=1)[:, None], _unit(moved), centres)
     return weight, centres, out
 
 
