@@ -148,3 +148,21 @@ def test_postings_that_are_read(spark, sf):
     assert late[1] < late[0] / 10
     for df in (dw, reads):
         df.unpersist()
+
+
+@pytest.mark.parametrize("part", [32, 400])
+def test_index_of_one_row_a_document_has_a_file_for_each_part(spark, weighted, part):
+    """So a reader never holds two parts; words counted text by text have the weights of words counted as rows."""
+    qw, dw = weighted
+    whole = dw.groupBy("docid").agg(F.collect_list(F.struct("token", "weight")).alias("p")).select("docid", F.col("p.token").alias("tokens"), F.col("p.weight").alias("weights"))
+    index = inverted.build(whole, part)
+    assert len(index.parts.inputFiles()) == index.n == -(-400 // part)
+    close(inverted.sparse_retrieve(qw, None, 7, index), joined(qw, dw, 7))
+    read = [r.n for r in inverted.sparse_retrieve(qw, None, 3, index, reads=True).groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert part == 400 or len(read) < index.n or min(read) < 30  # parts of short documents are skipped by length alone
+
+
+def test_words_counted_text_by_text(spark):
+    texts = [("d1", "A b  a B\u00c9 "), ("d1", "a z"), ("d2", None), ("d3", " "), ("d4", "x")]
+    got = fx.counted_words(spark.createDataFrame(texts, "docid string, text string")).collect()
+    assert {r.docid: dict(zip(r.tokens, r.counts)) for r in got} == {"d1": {"a": 3, "b": 1, "b\u00e9": 1, "z": 1}, "d4": {"x": 1}}
