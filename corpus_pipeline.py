@@ -26,7 +26,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word runs, Jaccard similarity from 0.8 on) the document of least id stays."""
+    """Of each group of near-duplicates (SimHash of five-word runs, verified by Jaccard similarity from 0.8 on) the document of least id stays."""
     ship(spark)
     return simhash.keep_one(docs, near_copies.near_duplicates, size=5, similarity=0.8)
 

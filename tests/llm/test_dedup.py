@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -176,6 +177,66 @@ def test_pipeline_drops_copies_beyond_two_bits(spark, sf):
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf).collect()] == [0]
 
 
+def test_fingerprints_are_majorities_of_run_hashes():
+    """Texts of one run, of an even number (ties) and of more than the bytes hold that votes are added up in."""
+    texts = ["one", " ".join(f"a{i}" for i in range(8)), " ".join(f"b{i}" for i in range(9000))]
+    ((_, _, runs, at),) = near_copies.distinct_runs(pa.array(texts), 5)
+    got = np.unpackbits(near_copies.prints(runs, at), axis=1)
+    for t in range(3):
+        own = runs[at[t] : at[t + 1]]
+        for i in (0, 31):
+            h = near_copies.mix(own ^ near_copies._XOR[i])
+            votes = [int(((h >> np.uint64(8 * lane + k)) & np.uint64(1)).sum()) for k in range(8) for lane in range(8)]
+            assert got[t, 64 * i : 64 * i + 64].tolist() == [int(2 * v > len(own)) for v in votes]
+
+
+def test_segments_meet_texts_at_the_bound(spark):
+    """Pairs of similarity 0.8 and little above, long and short, share a segment; the fingerprints propose them and hardly others."""
+    r, rows = random.Random(11), []
+    for k in range(400):
+        n = r.choice([4, 5, 9, 12, 40, 300, 2000])
+        rows.append((np.array([r.getrandbits(63) for _ in range(n)], np.uint64)))
+        rows.append(np.concatenate((rows[-1], np.array([r.getrandbits(63) for _ in range(n // 4)], np.uint64))))
+    at = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+    found = near_copies.prints(np.concatenate(rows), at)
+    fields = [(i, len(x), bytearray(found[i]), [int(v) for v in x] if len(x) <= near_copies.SHORT else []) for i, x in enumerate(rows)]
+    nodes = spark.createDataFrame(fields, "node long, n int, print binary, few array<long>")
+    met = {(x.a, x.b) for x in near_copies.proposals(nodes, 0.8).where("not many").collect()}
+    assert {(i, i + 1) for i in range(0, 800, 2)} <= met and len(met) < 500
+
+
+def test_meeting_is_the_same_in_batches_of_any_size():
+    r = np.random.default_rng(3)
+    key = np.sort(np.concatenate([np.repeat(7, 90), r.integers(0, 60, 200)])).astype(np.int32)
+    c = r.integers(0, 3, (len(key), 2)) - 1
+    rows = pa.table({"key": key, "node": np.arange(len(key)), "c0": c[:, 0], "c1": c[:, 1]})
+    met = []
+    for size in (1, 7, 10_000):
+        out = [x for b in near_copies._meet(20, 43)(iter(rows.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+        met.append(sorted((x["a"], x["b"], x["many"]) for x in out))
+    small = [n for n in range(len(key)) if (key == key[n]).sum() <= 20]
+    first = int(np.flatnonzero(key == 7)[0])
+    differ = lambda i, j: sum(bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") for x, y in zip(c[i], c[j]))
+    want = [(i, j, False) for i in small for j in small if i < j and key[i] == key[j] and differ(i, j) <= 43]
+    want += [x for j in np.flatnonzero(key == 7).tolist() for x in [(7, j, True)] + [(first, j, False)] * (j != first and differ(first, j) <= 43)]
+    assert met[0] == met[1] == met[2] == sorted(want)
+
+
+def test_near_dedup_runs_no_job_for_each_partition(spark, sf):
+    """What the driver gathers (bitmap, counts of runs) comes in one job each, however many partitions a shuffle has."""
+    rows = [f"{' '.join(f'w{i}' for i in range(100))} {' '.join(f'{k // 3}x{i}' for i in range(k % 3, 12))}" for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    spark.sparkContext.setJobGroup("near_dedup", "near_dedup")
+    try:
+        near_copies.near_duplicates(df, small=2).count()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near_dedup")) < 150
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_parities_never_exceed_what_two_texts_differ_in():
     r = np.random.default_rng(9)
     sets = [r.choice(5000, r.integers(1, 900), replace=False) * 7919 for _ in range(30)]

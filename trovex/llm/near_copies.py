@@ -1,11 +1,15 @@
-"""Near copies by Jaccard similarity of word runs: MinHash bands propose pairs, exact similarity decides.
-
-A text is the set of its runs of `size` words, lower-cased. Texts of equal sets are one node. A node has BANDS keys of
-ROWS min-hashes each; nodes that share a key are a candidate pair, which is linked if its exact similarity reaches
-the bound. At 0.8 a pair shares no key with probability (1 - 0.8**4)**16, about 0.0002.
-
-Buckets with few members are paired one with another. In larger ones (near copies by the thousand) each member first meets
-a centre of the bucket, and a centre of those that share its next key too, so pairs stay linear in the members. That
+"""Near copies by Jaccard similarity of word runs: SimHash fingerprints propose pairs by multi-index hashing, exact similarity decides.
+
+A text is the set of its runs of `size` words, lower-cased. Texts of equal sets are one node. A node's fingerprint has BITS bits, each the
+majority of its runs' hashes. Two sets of similarity s have a cosine of 2 s / (1 + s), so a bit differs with probability
+acos(2 s / (1 + s)) / pi: 0.15 at 0.8, 10 of 64 bits, where fingerprints of other texts differ in 64 / 2. A ball of that width has too many members to be
+probed on 64 bits. So the fingerprint is wider: its first CHECK bits are what is verified, within a radius six deviations wide; the others are
+cut into as many segments (`index_shape`) as a pair at the bound needs to share one but for a probability of MISS. Segments lengthen with the logarithm of the
+nodes, so that a bucket holds about LOAD of them at any size, and all members of a bucket are verified one with another.
+Texts of at most SHORT runs, whose few votes tie often, are also filed under each run. What is left is linked if its exact similarity reaches the bound.
+
+In buckets of more than `small` members (near copies by the thousand) each member first meets
+the bucket's first node, so pairs stay linear in the members. That
 settles each large bucket whose members are then one class: no further pair could change it. The members of all other
 large buckets are joined exactly: in any one order of all runs, two linked texts share one of the first
 n - ceil(0.8 n) + 1 of the longer one's n runs, and of the first n - ceil(2 * 0.8 / 1.8 n) + 1 of the shorter one's. The order
@@ -21,6 +25,7 @@ bound is a link; very long texts are read whole, one at a time; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +37,17 @@ from .common import LOWER, NOT_SPACE, checkpoint, gram_hashes, mix, rows_left, s
 from .simhash import components
 
 SIZE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 4
-SMALL = 32  #: members of a bucket that are paired one with another
+BITS, CHECK = 2048, 128  #: of a fingerprint, and of its part that is verified
+MISS = 2e-4  #: probability that a pair at the bound shares no segment
+LOAD = 16  #: nodes in a bucket at most, on average, where texts have nothing in common
+SHORT = 8  #: runs of a text that is filed under each of them, too
+SMALL = 64  #: members of a bucket that are verified one with another
 SLOTS = 1 << 22  #: of the bitmap
 RARITY = 1 << 18  #: counts of runs by hash, which order them: collisions change the order, not what is found
 BLOCK = 512  #: rows of a shared run that meet in one task
 WORDS = 16  #: of 64 bits, of a text's parities
 _rng = np.random.default_rng(20240611)
-_XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_ODD = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 63, BITS // 64, dtype=np.uint64)
 
 
 def distinct_runs(column: pa.Array, size: int):
@@ -65,21 +72,139 @@ def distinct_runs(column: pa.Array, size: int):
         yield lo, hi, runs, np.searchsorted(rows, np.arange(hi - lo + 1))
 
 
-def _bands(size: int):
+def prints(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each text, a row of BITS / 8 bytes: the majority of its runs' hashes in each bit; half of them is none. Texts have runs, one at least."""
+    n = np.diff(at)
+    blocks = -(-n // 255)  # bits are added up in bytes
+    own = np.concatenate(([0], np.cumsum(blocks)))
+    starts = np.repeat(at[:-1], blocks) + (np.arange(own[-1]) - np.repeat(own[:-1], blocks)) * 255
+    out = np.empty((len(n), BITS // 64, 8), np.uint8)
+    for i, x in enumerate(_XOR):
+        h, votes = mix(runs ^ x), np.empty((len(n), 8, 8), np.int64)
+        for k in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), starts).view(np.uint8).reshape(-1, 8)
+            votes[:, k] = np.add.reduceat(lanes, own[:-1], axis=0, dtype=np.int64)
+        out[:, i] = np.packbits((votes * 2 > n[:, None, None]).reshape(len(n), 64), axis=1)
+    return out.reshape(len(n), BITS // 8)
+
+
+def _prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, runs, at in distinct_runs(b.column(1), size):
-                some = np.flatnonzero(np.diff(at))
-                node, keys = np.zeros(hi - lo, np.uint64), np.zeros((hi - lo, BANDS), np.uint64)
+                n = np.diff(at)
+                some = np.flatnonzero(n)
+                node, print_, short = np.zeros(hi - lo, np.uint64), np.zeros((hi - lo, BITS // 8), np.uint8), n * (n <= SHORT)
                 if len(some):
                     node[some] = mix(np.add.reduceat(mix(runs ^ _XOR[0]), at[some]))
-                    for i in range(BANDS):
-                        for j in range(i * ROWS, (i + 1) * ROWS):
-                            keys[some, i] = mix(keys[some, i] + np.minimum.reduceat((runs ^ _XOR[j]) * _ODD[j], at[some]))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(node.view(np.int64)), pa.array(np.diff(at).astype(np.int32)), lists], ["doc_id", "node", "n", "bands"]
-                )
+                    print_[some] = prints(runs, np.append(at[some], at[-1]))
+                few = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(short))).astype(np.int32)), pa.array(runs[np.repeat(short > 0, n)].view(np.int64)))
+                flat = pa.array(print_.ravel())
+                held = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (BITS // 8)).buffers()[1], flat.buffers()[1]])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), held, few], ["doc_id", "node", "n", "print", "few"])
+
+    return run
+
+
+def index_shape(nodes: int, similarity: float) -> tuple[int, int, int]:
+    """Bits of a segment, segments, and the radius of CHECK bits, for so many nodes."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    width = min(48, max(12, math.ceil(math.log2(max(nodes, 1) / LOAD))))
+    share = (1 - p) ** width
+    return width, 1 if share == 1 else math.ceil(math.log(MISS) / math.log1p(-share)), math.floor(CHECK * p + 6 * math.sqrt(CHECK * p * (1 - p)))
+
+
+def segments(width: int, count: int) -> np.ndarray:
+    """The bits of each segment, none of the first CHECK: disjoint until all are used, then drawn anew."""
+    draw, free = np.random.default_rng(20240705), BITS - CHECK
+    each = free // width
+    return CHECK + np.concatenate([draw.permutation(free)[: each * width].reshape(each, width) for _ in range(-(-count // each))])[:count]
+
+
+def _keys(width: int, count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits_of = segments(width, count)
+        weights = (1 << np.arange(width)).astype(np.float64)
+        for whole in batches:
+            for b in (whole.slice(lo, 1024) for lo in range(0, whole.num_rows, 1024)):
+                node, few = b.column(0).to_numpy(), b.column(2)
+                raw = np.frombuffer(b.column(1).buffers()[2], np.uint8)
+                first = b.column(1).offset * (BITS // 8)
+                raw = raw[first : first + len(node) * (BITS // 8)].reshape(len(node), BITS // 8)
+                check = np.ascontiguousarray(raw[:, : CHECK // 8]).view(np.int64)
+                bits = np.unpackbits(raw, axis=1)
+                keys = np.empty((count, len(node)), np.int64)
+                for i, own in enumerate(bits_of):
+                    value = (bits[:, own] @ weights).astype(np.uint64)
+                    keys[i] = mix(value + np.uint64((i + 1) << 48)).view(np.int64) >> 32
+                runs = few.flatten().to_numpy()
+                row = np.concatenate((np.tile(np.arange(len(node)), count), np.repeat(np.arange(len(node)), np.diff(few.offsets.to_numpy()))))
+                key = np.concatenate((keys.ravel(), mix(runs.view(np.uint64)).view(np.int64) >> 32)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node[row], check[row, 0], check[row, 1])], ["key", "node", "c0", "c1"])
+
+    return run
+
+
+def _near(c: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(c[i] ^ c[j]).sum(axis=1, dtype=np.int64) <= radius
+
+
+def _meet(small: int, radius: int):
+    """Rows come by key and node. Yields (a, b, false) for pairs within the radius, (key, node, true) for members of large buckets."""
+
+    def out(*parts):
+        parts = [(x, y, m) for x, y, m in parts if len(x)]
+        if parts:
+            x, y = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.repeat([p[2] for p in parts], [len(p[0]) for p in parts]))], ["a", "b", "many"])
+
+    def large(key, node, c, first):
+        """Members of one large bucket, whose first row is given."""
+        near = (np.bitwise_count(c ^ first[1]).sum(axis=1, dtype=np.int64) <= radius) & (node != first[0])
+        yield from out((np.full(near.sum(), first[0]), node[near], False), (np.full(len(node), key, np.int64), node, True))
+
+    def whole(key, node, c):
+        """Buckets that are complete."""
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(new, len(key)))
+        for at, n in zip(new[size > small], size[size > small]):
+            yield from large(key[at], node[at : at + n], c[at : at + n], (node[at], c[at]))
+        few = np.repeat(size <= small, size)
+        left = np.repeat(new + size, size) - np.arange(len(key))  # rows of the bucket from this one on
+        i = np.flatnonzero(few & (left > 1))
+        step = 1
+        while len(i):
+            near = i[_near(c, i, i + step, radius)]
+            a, b = node[near], node[near + step]
+            yield from out((np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], False))
+            step += 1
+            i = i[left[i] > step]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None  # rows of the last bucket, or the first row of a large one whose rows are no longer held
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node, c = b.column(0).to_numpy(), b.column(1).to_numpy(), np.column_stack([b.column(i).to_numpy() for i in (2, 3)]).view(np.uint64)
+            if first is not None:
+                same = int(np.searchsorted(key, first[2], "right"))
+                if same:
+                    yield from large(first[2], node[:same], c[:same], first)
+                if same == len(key):
+                    continue
+                key, node, c, first = key[same:], node[same:], c[same:], None
+            if held is not None:
+                key, node, c = (np.concatenate(x) for x in zip(held, (key, node, c)))
+            last = int(np.searchsorted(key, key[-1], "left"))
+            if last:
+                yield from whole(key[:last], node[:last], c[:last])
+            held = key[last:], node[last:], c[last:]
+            if len(held[0]) > small:
+                first = held[1][0], held[2][0], held[0][0]
+                yield from large(held[0][0], held[1], held[2], first)
+                held = None
+        if held is not None:
+            yield from whole(*held)
 
     return run
 
@@ -96,7 +221,7 @@ def _sets(size: int):
 
 def _within(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
+        full = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
         for b in batches:
             yield b.select(["doc_id", "text"]).filter(pa.array(full[b.column(2).to_numpy()]))
 
@@ -138,32 +263,18 @@ def _prefixes(counts, similarity: float):
     return run
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, after, members): members of the buckets of two and more. nodes: distinct (node, n, bands)."""
-    after = F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1)
-    keys = nodes.where("n > 0").select("node", "n", "bands", F.posexplode("bands").alias("band", "key"))
-    keys = keys.select("node", "n", F.xxhash64("band", "key").alias("key"), after.alias("after"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    return checkpoint(keys.join(sizes, "key"))
-
-
-def candidates(shared: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
-    """(a, b) with a < b: pairs within the small buckets, and of members and centres in the large ones."""
-    few, many = shared.where(F.col("members") <= small), shared.where(F.col("members") > small)
-    one, two = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    parts = [one.join(two, "key").where("a < b")]
-    within = many.select("node", "n", F.explode(F.array("key", F.xxhash64("key", "after"))).alias("key"))
-    centres = within.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
-    met = within.join(centres.select("key", "c"), "key").where("node <> c.node")
-    low = F.col("node") < F.col("c.node")
-    parts.append(met.select(*(F.when(low, x).otherwise(y).alias(z) for x, y, z in ((F.col("node"), F.col("c.node"), "a"), (F.col("c.node"), F.col("node"), "b"), (F.col("n"), F.col("c.n"), "n_a"), (F.col("c.n"), F.col("n"), "n_b")))))
-    out = [p.select("a", "b", "n_a", "n_b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b") for p in parts]
-    return out[0].unionByName(out[1]).distinct()
-
-
-def unsettled(shared: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
-    """(node, root): members of large buckets that hold more than one class."""
-    many = shared.where(F.col("members") > small).select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def proposals(nodes: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
+    """(a, b, many): distinct pairs within the radius, and (key, node, true) for members of large buckets, written out. nodes: distinct (node, n, print, few)."""
+    some = nodes.where("n > 0")
+    width, count, radius = index_shape(some.count(), similarity)
+    keys = some.select("node", "print", "few").mapInArrow(_keys(width, count), "key int, node long, c0 long, c1 long")
+    met = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet(small, radius), "a long, b long, many boolean")
+    return stored(met.distinct())
+
+
+def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root): members (key, node) of large buckets that hold more than one class."""
+    many = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = many.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     return many.join(mixed, "key").select("node", "root").distinct()
 
@@ -171,9 +282,9 @@ def unsettled(shared: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFr
 def across(sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) with a < b: all pairs of different classes that can reach the similarity. sets: (node, root, runs)."""
     slot = F.col("run").bitwiseAND(F.lit(RARITY - 1).cast("long"))
+    found = sets.select(F.explode("runs").alias("run")).groupBy(slot.alias("slot")).count().toArrow()
     counts = np.zeros(RARITY, np.int64)
-    for r in sets.select(F.explode("runs").alias("run")).groupBy(slot.alias("slot")).count().toLocalIterator():
-        counts[r[0]] = r[1]
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
     counts = sets.sparkSession.sparkContext.broadcast(counts.tobytes())
     first = stored(sets.select("node", "root", "runs").mapInArrow(_prefixes(counts, similarity), ", ".join(["node long, root long, n int, run long, rank int, leads boolean", *(f"{w} long" for w in PARITY)])))
     groups = first.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("leads").alias("leads"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -194,9 +305,11 @@ def across(sets: DataFrame, similarity: float) -> DataFrame:
 def run_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, runs) of the nodes (node, rep), written out: each one's distinct runs, read from the text of its representative."""
     # before the join, rows pass a bitmap of fixed size: however many are wanted, that only lets more through
-    slots = np.zeros(SLOTS, bool)
-    slots[[r[0] for r in nodes.select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).cast("int")).distinct().toLocalIterator()]] = True
-    bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(slots).tobytes())
+    slot = nodes.select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot"))
+    found = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))")).toArrow()
+    slots = np.zeros(SLOTS // 64, np.int64)
+    slots[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    bitmap = docs.sparkSession.sparkContext.broadcast(slots.tobytes())
     some = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")).mapInArrow(_within(bitmap), "doc_id long, text string")
     return stored(some.join(nodes, some["doc_id"] == nodes["rep"]).select("node", "text").mapInArrow(_sets(size), "node long, runs array<long>"))
 
@@ -211,21 +324,25 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """(doc_id, component_id) for each row of docs (doc_id, text): classes of texts linked at the similarity. doc_id names one row each and is not null."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stored(docs.mapInArrow(_bands(size), "doc_id long, node long, n int, bands array<long>"))
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("n", "doc_id").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
-    shared = buckets(nodes)
-    pairs = checkpoint(candidates(shared, similarity, small))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.where(F.col("members") > small).select("node"))
-    wanted = checkpoint(wanted.distinct().join(nodes.select("node", "rep"), "node"))
+    rows = stored(docs.mapInArrow(_prints(size), "doc_id long, node long, n int, print binary, few array<long>"))
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("n", "print", "few"))))
+    met = proposals(nodes, similarity, small)
+    pairs, members = met.where("not many").select("a", "b"), met.where("many").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node"))
+    wanted = stored(wanted.distinct().join(nodes.select("node", "rep"), "node"))
     sets = run_sets(docs, wanted, size)
-    edges = checkpoint(alike(pairs, sets, similarity))
-    roots = components(edges)
-    rest = checkpoint(unsettled(shared, roots, small))
+    roots = stored(components(alike(pairs, sets, similarity)))
+    rest = stored(unsettled(members, roots))
     if not rest.isEmpty():
         held = sets.join(rest, "node")
-        more = checkpoint(alike(across(held, similarity), held, similarity))
-        if not more.isEmpty():
-            roots = components(edges.unionByName(more))
+        more = alike(across(held, similarity), held, similarity)
+        # classes that these links join: the least of them names all
+        for x in "ab":
+            more = more.join(rest.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x)
+        joined = components(more.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+        # roots has no row for a root itself
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = roots.unionByName(rest.select(F.col("root").alias("node"), "root").distinct()).join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = named.join(least, "root").select("node", "component_id")
