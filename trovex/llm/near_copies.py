@@ -39,7 +39,7 @@ from .simhash import components
 SIZE, SIMILARITY = 5, 0.8
 BITS, CHECK = 2048, 128  #: of a fingerprint, and of its part that is verified
 MISS = 2e-4  #: probability that a pair at the bound shares no segment
-LOAD = 16  #: nodes in a bucket at most, on average, where texts have nothing in common
+LOAD = 32  #: nodes in a bucket at most, on average, where texts have nothing in common
 SHORT = 8  #: runs of a text that is filed under each of them, too
 SMALL = 64  #: members of a bucket that are verified one with another
 SLOTS = 1 << 22  #: of the bitmap
@@ -219,15 +219,6 @@ def _sets(size: int):
     return run
 
 
-def _within(bitmap):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
-        for b in batches:
-            yield b.select(["doc_id", "text"]).filter(pa.array(full[b.column(2).to_numpy()]))
-
-    return run
-
-
 PARITY = [f"w{i}" for i in range(WORDS)]
 
 
@@ -304,13 +295,10 @@ def across(sets: DataFrame, similarity: float) -> DataFrame:
 
 def run_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, runs) of the nodes (node, rep), written out: each one's distinct runs, read from the text of its representative."""
-    # before the join, rows pass a bitmap of fixed size: however many are wanted, that only lets more through
-    slot = nodes.select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot"))
-    found = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))")).toArrow()
-    slots = np.zeros(SLOTS // 64, np.int64)
-    slots[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    bitmap = docs.sparkSession.sparkContext.broadcast(slots.tobytes())
-    some = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")).mapInArrow(_within(bitmap), "doc_id long, text string")
+    # before the join, rows pass a bitmap of fixed size, 64 slots a row: however many are wanted, that only lets more through
+    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(SLOTS))
+    bitmap = nodes.select(slot("rep").alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    some = docs.withColumn("slot", slot("doc_id")).join(F.broadcast(bitmap), F.shiftright("slot", 6) == F.col("at")).where("shiftright(bits, cast(slot & 63 as int)) & 1 = 1").select("doc_id", "text")
     return stored(some.join(nodes, some["doc_id"] == nodes["rep"]).select("node", "text").mapInArrow(_sets(size), "node long, runs array<long>"))
 
 
