@@ -73,8 +73,8 @@ def sim7_knn_approx(spark, sf):
     q, p = fx.queries(spark, sf), fx.vectors(spark, sf)
     index = ann.hash_tables(p)
     budget = int(0.28 * index.rows)
-    cands = stored(ann.candidates(q, index, budget, exclude_self=True))
-    return _checked(spark, sf, ann.exact_scores(cands, q, p, 10), cands.count() < 0.3 * index.rows * q.count())
+    made = ann.chosen(q, index, budget, exclude_self=True)
+    return _checked(spark, sf, ann.best_chosen(made, 10), (made.rows.agg(F.sum("found")).first()[0] or 0) < 0.3 * index.rows * q.count())
 
 
 SPARSE = fx.sql("weights", ", qw AS (SELECT 'q' || substring(docid, 2) AS qid, token, weight FROM weights WHERE substring(docid, 2)::BIGINT % 50 = 0), s AS (SELECT qid, docid, round(sum(q.weight * d.weight), 6) AS score FROM qw q JOIN weights d USING (token) GROUP BY qid, docid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM s) SELECT qid, docid, rank::BIGINT AS rank, round(score, 3) AS score FROM r WHERE rank <= 20")
