@@ -82,3 +82,23 @@ def test_no_row_for_each_candidate(spark, many):
     found = ann.knn_approx(q, p, 10, int(0.28 * index.rows), True, index)
     found.collect()
     assert most_rows(found) <= 10 * (3000 + 120)
+
+
+def test_candidates_of_a_query_leave_one_task(spark, many, monkeypatch):
+    """However many partitions a shuffle has; shares of the file and of the queries change no row."""
+    q, p = many
+    index = ann.ivf_index(p, nlist=30)
+    want = rows(ann.knn_ivf(q, p, 5, index, nprobe=20, refine=50, exclude_self=True))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(kept, ("24", "false")):
+            spark.conf.set(c, v)
+        found = ann.knn_ivf(q, p, 5, index, nprobe=20, refine=50, exclude_self=True)
+        assert rows(found) == want
+        assert most_rows(found) <= 120 * 50 + 3 * 3000
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    for name, size in (("FILE_BYTES", 20_000), ("SHARE", 16), ("HELD", 500), ("QUERIES", 7)):
+        monkeypatch.setattr(ann, name, size)
+        assert rows(ann.knn_ivf(q, p, 5, index, nprobe=20, refine=50, exclude_self=True)) == want

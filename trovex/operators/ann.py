@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import stored
@@ -26,6 +26,8 @@ from .search import _matrix, _with_own, dot, grid, named, ranked
 
 BLOCK = 4096  #: vectors of a cell or bucket in one row of an index
 QUERIES = 256  #: queries that are scored at once
+SHARE = 1024  #: queries of a task that searches an inverted file
+FILE_BYTES, ROW_BYTES = 64 << 20, 16  #: of an inverted file that a task reads, and of each of its rows beside the code
 SPAN = 1 << 16  #: vectors of a block of hash tables
 CODES = 256  #: of a codebook
 FULL = 5  #: times a budget: rows in all the buckets that a query probes, counted in each table
@@ -100,9 +102,9 @@ def ivf_index(p: DataFrame, nlist: int | None = None, spill: int = 3, part: int
     cuts = _parts(width, part)
 
     def filed(x: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row and cell numbers: each row's nearest cells."""
-        s = x @ centres.T
-        cells = np.argpartition(-s, times - 1, axis=1)[:, :times] if times < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(x), 1))
+        """Row and cell numbers: each row's nearest cells. QUERIES rows at once, as cells grow with the rows."""
+        near = lambda part: np.argpartition(-(part @ centres.T), times - 1, axis=1)[:, :times] if times < len(centres) else np.tile(np.arange(len(centres)), (len(part), 1))
+        cells = np.concatenate([near(x[lo : lo + QUERIES]) for lo in range(0, max(len(x), 1), QUERIES)])
         return np.repeat(np.arange(len(x)), times), cells.reshape(-1)
 
     def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,57 +151,71 @@ def _foremost(t: pa.Table, k: int) -> pa.Table:
 def knn_ivf(q: DataFrame, p: DataFrame, k: int, index: Ivf | None = None, nprobe: int | None = None, refine: int | None = None, exclude_self: bool = False) -> DataFrame:
     """The best k of what nprobe cells (a quarter of all, unless given) hold: the best `refine` (20 k) by their codes, ranked by their vectors.
 
-    Queries are grouped by the cells they probe, so a block of a cell is read once for QUERIES of them.
+    Queries and the file meet in a grid: a task has up to SHARE queries and as much of the file as FILE_BYTES, so a query's candidates leave one task for each such share.
     """
     index = ivf_index(p) if index is None else index
     refine = max(k, 20 * k if refine is None else refine)
     centres, books = index.centres, index.books
     nprobe = max(1, min(len(centres), len(centres) // 4 if nprobe is None else nprobe))
-    queries = _with_own(q, exclude_self).select("qid", "own", F.col("embedding").cast("array<double>").alias("embedding"))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows or not books:
-                continue
-            s = _matrix(b.column(2)) @ centres.T
-            cells = np.argsort(-s, axis=1, kind="stable")[:, :nprobe]
-            row = pa.array(np.repeat(np.arange(b.num_rows), nprobe))
-            yield pa.RecordBatch.from_arrays([*[c.take(row) for c in b.columns], pa.array(cells.reshape(-1).astype(np.int32))], ["qid", "own", "embedding", "cell"])
-
-    probes = queries.mapInArrow(probe, "qid string, own string, embedding array<double>, cell int")
-    share = F.pmod(F.xxhash64("qid"), F.ceil(F.count("*").over(Window.partitionBy("cell")) / QUERIES))
-    grouped = probes.withColumn("_share", share).groupBy("cell", "_share").agg(F.collect_list(F.struct("qid", "own", "embedding")).alias("asked"))
-    met = index.blocks.join(grouped, "cell").select("cell", "docids", "codes", "asked.qid", "asked.own", "asked.embedding")
+    queries = _with_own(q, exclude_self).where("qid is not null and embedding is not null").select("qid", "own", F.col("embedding").cast("array<double>").alias("embedding"))
+    cuts = _parts(centres.shape[1], books[0].shape[1]) if books else []
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = centres.shape[1]
-        cuts = _parts(width, books[0].shape[1]) if books else []
+        asked: list[pa.StructArray] = []
         held: list[pa.Table] = []
-        n = limit = 0
-        for b in batches:
-            for i in range(b.num_rows):
-                docs = np.array(b.column(1)[i].as_py(), object)
-                codes = np.frombuffer(b"".join(b.column(2)[i].as_py()), np.uint8).reshape(len(docs), -1)
-                qids, own = (np.array(b.column(c)[i].as_py(), object) for c in (3, 4))
-                x = np.array(b.column(5)[i].as_py())
-                s = np.repeat((x @ centres[b.column(0)[i].as_py()])[:, None], len(docs), axis=1)
-                for m, (c, table) in enumerate(zip(cuts, books)):
-                    s += (x[:, c] @ table.T)[:, codes[:, m]]
-                s[own[:, None] == docs[None, :]] = -np.inf
-                ok = np.isfinite(s)
-                if len(docs) > refine:
-                    ok &= s >= np.partition(s, len(docs) - refine, axis=1)[:, len(docs) - refine, None]
-                r, c = np.nonzero(ok)
-                held.append(pa.table({"qid": pa.array(qids[r], pa.string()), "docid": pa.array(docs[c], pa.string()), "score": s[r, c]}))
-                n += len(r)
-                if n > max(HELD, limit):
-                    held = [_foremost(pa.concat_tables(held), refine)]
-                    n = held[0].num_rows
-                    limit = 2 * n  # what stays is at most refine rows a query
+        n, limit, probed = 0, HELD, None
+        for side, rows in _sides(batches):
+            if side == "q":
+                asked.append(rows)
+                continue
+            if not asked:
+                continue
+            if probed is None:
+                mine = pa.concat_arrays(asked)
+                own, x = np.array(mine.field("own").to_pylist(), object), _matrix(mine.field("embedding"))
+                base = x @ centres.T
+                probed = np.zeros(base.shape, bool)
+                for lo in range(0, len(x), QUERIES):
+                    near = np.argsort(-base[lo : lo + QUERIES], axis=1, kind="stable")[:, :nprobe]
+                    np.put_along_axis(probed[lo : lo + QUERIES], near, True, 1)
+                adds = [x[:, c] @ table.T for c, table in zip(cuts, books)]
+                least = np.full(len(x), -np.inf)  # what a query's candidate must reach
+            for i in range(len(rows)):
+                cell, ids = rows.field("list")[i].as_py(), rows.field("docids")[i].values
+                docs = np.array(ids.to_pylist(), object)
+                codes = np.frombuffer(b"".join(rows.field("codes")[i].as_py()), np.uint8).reshape(len(docs), -1)
+                at_doc = {d: c for c, d in enumerate(docs)} if exclude_self else {}
+                who = np.flatnonzero(probed[:, cell])
+                for lo in range(0, len(who), QUERIES):
+                    some = who[lo : lo + QUERIES]
+                    s = np.repeat(base[some, cell][:, None], len(docs), axis=1)
+                    for m, table in enumerate(adds):
+                        s += table[some][:, codes[:, m]]
+                    for r, o in enumerate(own[some] if at_doc else ()):
+                        if (c := at_doc.get(o)) is not None:
+                            s[r, c] = -np.inf
+                    ok = np.isfinite(s) & (s >= least[some][:, None])
+                    if len(docs) > refine:
+                        ok &= s >= np.partition(s, len(docs) - refine, axis=1)[:, len(docs) - refine, None]
+                    r, c = np.nonzero(ok)
+                    held.append(pa.table({"qid": pa.array(some[r].astype(np.int32)), "docid": ids.take(pa.array(c)), "score": s[r, c]}))
+                    n += len(r)
+                    if n > limit:
+                        held = [_foremost(pa.concat_tables(held), refine)]
+                        n = held[0].num_rows
+                        limit = max(HELD, 2 * n)  # what stays is at most refine rows a query
+                        number, scores = held[0]["qid"].to_numpy(), held[0]["score"].to_numpy()
+                        full = np.flatnonzero(np.bincount(number, minlength=len(least)) >= refine)
+                        least[full] = scores[np.searchsorted(number, full, side="right") - 1]
         if held:
-            yield from _foremost(pa.concat_tables(held), refine).to_batches(max_chunksize=HELD)
-
-    near = met.mapInArrow(search, "qid string, docid string, score double")
+            best = _foremost(pa.concat_tables(held), refine)
+            names = mine.field("qid").take(best["qid"].combine_chunks())
+            yield from pa.table({"qid": names, "docid": best["docid"], "score": best["score"]}).to_batches(max_chunksize=1 << 16)
+
+    asked, size = queries.count(), index.blocks.agg(F.sum(F.size("docids"))).first()[0] or 0
+    columns = max(1, -(-size * (ROW_BYTES + len(books)) // FILE_BYTES))
+    rows = max(-(-asked // SHARE), min(-(-q.sparkSession.sparkContext.defaultParallelism // columns), -(-asked // 64)), 1)
+    near = grid(queries, index.blocks.withColumnRenamed("cell", "list"), rows, columns, "qid", "docids").mapInArrow(search, "qid string, docid string, score double")
     best = ranked(near.groupBy("qid", "docid").agg(F.max("score").alias("score")), k=refine).select("qid", "docid")
     return exact_scores(best, q, p, k)
 
