@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trovex.operators import ann, search
+from trovex.operators import ann, inverted, search
 
 from .test_judgements import most_rows
 
@@ -102,3 +102,23 @@ def test_candidates_of_a_query_leave_one_task(spark, many, monkeypatch):
     for name, size in (("FILE_BYTES", 20_000), ("SHARE", 16), ("HELD", 500), ("QUERIES", 7)):
         monkeypatch.setattr(ann, name, size)
         assert rows(ann.knn_ivf(q, p, 5, index, nprobe=20, refine=50, exclude_self=True)) == want
+
+
+def test_queries_in_passes_copy_no_part(spark, monkeypatch):
+    """However many queries there are, the index is read where it lies, and a document is dealt once while it is built."""
+    rng = np.random.default_rng(9)
+    made = [(f"d{d}", [f"t{t}" for t in sorted(set(rng.integers(0, 60, 12)))]) for d in range(300)]
+    dw = spark.createDataFrame([(d, t, [float(1 + (len(d) + int(w[1:])) % 5) for w in t]) for d, t in made], "docid string, tokens array<string>, weights array<double>")
+    qw = dw.where("substring(docid, -1) = '3'").select(F.concat(F.lit("q"), "docid").alias("qid"), F.explode(F.arrays_zip("tokens", "weights")).alias("p")).select("qid", F.col("p.tokens").alias("token"), F.col("p.weights").alias("weight"))
+    built = []
+    keep = inverted.stored
+    monkeypatch.setattr(inverted, "stored", lambda df, *name: built.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, *name))
+    index = inverted.build(dw, 16)
+    assert sum(plan.count("Join") for plan in built) == 0
+    want = rows(inverted.sparse_retrieve(qw, None, 6, index).select("qid", "docid", "score", "rank"))
+    built.clear()
+    monkeypatch.setattr(inverted, "QUERY_BYTES", 2500)
+    got = inverted.sparse_retrieve(qw, None, 6, index)
+    assert rows(got.select("qid", "docid", "score", "rank")) == want
+    searched = [plan for plan in [*built, got._jdf.queryExecution().executedPlan().toString()] if "MapInArrow" in plan]
+    assert len(searched) > 3 and not any("side#" in plan or "Generate" in plan for plan in searched)
