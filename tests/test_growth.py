@@ -170,3 +170,15 @@ def test_rows_of_a_passage_stand_together(spark, tmp_path):
         size[name] = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
     assert spark.read.parquet(str(tmp_path / "met")).count() == (n * (5 * n - 1) + n) * 60
     assert size["met"] * 5 < size["lists"]
+
+
+def test_written_rows_are_packed(spark, tmp_path):
+    """Every row is in its file, in files of at most five rows, in less than a third of the bytes of the text."""
+    lists = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.array(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: (F.col("id") * 31 + F.floor(i / 4) * j * 977).cast("int") % 30000)))
+    made = spark.range(23).select(F.array(F.col("id").cast("int")).alias("query"), lists.alias("positives"), F.slice(lists, 1, 2).alias("negatives"))
+    training.write_pretokenized(made, str(tmp_path / "out"), 5)
+    files = list((tmp_path / "out").glob("part-*"))
+    back = spark.read.schema(made.schema).json(str(tmp_path / "out"))
+    assert rows(back) == rows(made)
+    assert back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 5
+    assert sum(f.stat().st_size for f in files) * 3 < made.agg(F.sum(F.length(F.to_json(F.struct(*made.columns))))).first()[0]
